@@ -81,7 +81,24 @@ _LOWERED[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are hashed at a time; a block ends at white space.
-BLOCK = 1 << 20
+BLOCK = 1 << 16
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash's base and of its inverse; kept up to a few blocks."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    out = []
+    for base in (_P, _P_INVERSE):
+        power = np.full(max(n, BLOCK + 1), base, np.uint64)
+        power[0] = 1
+        with np.errstate(over="ignore"):
+            np.multiply.accumulate(power, out=power)
+        out.append(power)
+    if len(out[0]) <= 16 * BLOCK:
+        _POWERS[:] = out
+    return out[0][:n], out[1][:n]
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -109,18 +126,15 @@ def word_hashes(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray,
                     end = end + int(white[0]) if len(white) else min(end + BLOCK, n)
         part = data[at:end]
         word = ~_SPACE[part]
-        edge = np.flatnonzero(np.diff(word.astype(np.int8), prepend=0, append=0))
+        padded = np.zeros(len(word) + 2, bool)
+        padded[1:-1] = word
+        edge = np.flatnonzero(padded[1:] != padded[:-1])
         start, stop = edge[0::2], edge[1::2]
         with np.errstate(over="ignore"):
-            power = np.full(len(part) + 1, _P, np.uint64)
-            power[0] = 1
-            np.multiply.accumulate(power, out=power)
+            power, inverse = powers(len(part) + 1)
             total = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(table[part] * power[:-1], out=total[1:])
-            power[:] = _P_INVERSE
-            power[0] = 1
-            np.multiply.accumulate(power, out=power)
-            out.append((mix((total[stop] - total[start]) * power[start] + (stop - start).astype(np.uint64)), start + at, stop + at))
+            out.append((mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64)), start + at, stop + at))
         at = end
     if not out:
         nothing = np.zeros(0, np.int64)
