@@ -12,7 +12,7 @@ share prefix tokens under each of several orders, which are intersected before t
 3. Every order starts with the rarest tokens, with finer or coarser classes of frequency and with ties broken by
    hashes of their own. A document whose prefix holds unshared tokens only has no partner and drops out.
 4. Documents that share prefix tokens meet in blocks of bounded size: a document belongs to the block of the least
-   document with which it shares the most prefix tokens (large blocks are split by hash), and two blocks meet if they
+   document with which it shares the most prefix tokens, or of that one's (large blocks are split by hash), and two blocks meet if they
    share a prefix token. Within two blocks numpy intersects the filters of all orders and counts overlaps exactly.
    Links that span what is linked are returned, so a group of n near copies gives less than n of them for two blocks.
 5. Links are joined into components by star rounds.
@@ -42,6 +42,8 @@ HOT, HOT_LEAST, HOT_IN_FLUSH = 1024, 64, 16
 FLUSH, RANGE = 1 << 20, 1 << 21
 #: Documents and tokens of a block.
 BLOCK_DOCS, BLOCK_TOKENS = 256, 1 << 20
+#: How often a document's leader is replaced by its leader's leader before blocks are formed.
+HOPS = 3
 #: The orders: by how much the classes of frequency (eighths of a power of two) are coarsened.
 ORDERS = (1, 8, 24)
 MASK = np.uint64((1 << 48) - 1)
@@ -378,6 +380,11 @@ def meetings(found: DataFrame) -> DataFrame:
     leaders = postings.groupBy("token").agg(F.min("doc_id").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
     postings = materialize(postings.join(leaders, "token"))
     best = postings.groupBy("doc_id", "leader").count().groupBy("doc_id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
+    # Leaders of leaders gather what shares tokens step by step, such as many near copies, in few large blocks.
+    best = materialize(best)
+    for _ in range(HOPS):
+        onward = best.select(F.col("doc_id").alias("leader"), F.col("leader").alias("onward"))
+        best = materialize(best.join(onward, "leader", "left").select("doc_id", F.coalesce("onward", "leader").alias("leader")))
     best = best.join(found.select("doc_id", "n"), "doc_id")
     parts = best.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("parts"))
     blocks = materialize(best.join(parts, "leader").select("doc_id", F.xxhash64("leader", F.pmod(F.xxhash64("doc_id"), "parts")).alias("block")))

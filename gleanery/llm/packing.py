@@ -60,14 +60,12 @@ def _pieces(path: str, limit: int, end_id: int, schema: pa.Schema):
         for batch in batches:
             at, starts, lengths, totals, chunks = [], [], [], [], []
             for i, value in enumerate(batch.column(1)):
-                ids = encode.encode(value.as_py() or "", allowed_special="all")
-                ids.append(end_id)
-                data, start = np.array(ids, "<u4"), 0
-                for length in piece_lengths(len(ids), limit):
+                data, start = np.append(encode.encode_to_numpy(value.as_py() or "", allowed_special="all"), np.uint32(end_id)).astype("<u4"), 0
+                for length in piece_lengths(len(data), limit):
                     at.append(i)
                     starts.append(start)
                     lengths.append(length)
-                    totals.append(len(ids))
+                    totals.append(len(data))
                     chunks.append(data[start : start + length].tobytes())
                     start += length
             columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(totals, pa.int64()), pa.array(chunks, pa.binary())]
