@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+from .plans.bound import QUERIES, SQL, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """Ranked lexical retrieval over documents."""
+    return QUERIES["rk05_bm25"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    return SQL
