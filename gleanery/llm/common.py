@@ -60,9 +60,11 @@ def keep_ids(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     Up to BROADCAST_ROWS ids are broadcast, so that the documents do not move; more are shuffled.
     """
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    column = ids.columns[0]
-    ids = ids.select(F.col(column).alias("__id"))
-    return docs.join(F.broadcast(ids) if small else ids, docs[key] == F.col("__id"), how)
+    other = "__id"
+    while other in docs.columns:
+        other += "_"
+    ids = ids.select(F.col(ids.columns[0]).alias(other))
+    return docs.join(F.broadcast(ids) if small else ids, F.col(key) == F.col(other), how)
 
 
 def named(docs: DataFrame, **columns: str) -> DataFrame:

@@ -56,7 +56,8 @@ def shingles(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.nda
     with np.errstate(over="ignore"):
         rolled = words.copy()
         for k in range(1, width):
-            rolled[: len(words) - k] = mix(rolled[: len(words) - k] * np.uint64(31) + words[k:])
+            whole = max(0, len(words) - k)
+            rolled[:whole] = mix(rolled[:whole] * np.uint64(31) + words[k:])
     out, sizes = [], np.zeros(len(texts) + 1, np.int64)
     for i, n in enumerate(many):
         if n >= width:
