@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import more  # noqa: F401  registers its queries
 from .plans.bound import QUERIES, SQL, Query
 
 
