@@ -186,7 +186,7 @@ def _(s, d):
     return table(s, d, "events").select("event_id", F.regexp_replace(F.lower(line), "0x[0-9a-f]+|[0-9]{6,}", "<value>").alias("line"))
 
 
-@query("fn22_freshness", "SELECT o_orderkey, CASE WHEN age <= 30 THEN 1.0 WHEN age <= 180 THEN 0.75 WHEN age <= 365 THEN 0.5 ELSE 0.25 END AS freshness FROM (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-01-01') AS age FROM orders)")
+@query("fn22_freshness", "SELECT o_orderkey, CAST(CASE WHEN age <= 30 THEN 1.0 WHEN age <= 180 THEN 0.75 WHEN age <= 365 THEN 0.5 ELSE 0.25 END AS DOUBLE) AS freshness FROM (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-01-01') AS age FROM orders)")
 def _(s, d):
     age = F.datediff(F.to_date(F.lit("2001-01-01")), F.to_date("o_orderdate"))
     return table(s, d, "orders").select("o_orderkey", F.when(age <= 30, 1.0).when(age <= 180, 0.75).when(age <= 365, 0.5).otherwise(0.25).alias("freshness"))

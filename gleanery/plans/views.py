@@ -17,9 +17,9 @@ FEEDBACK_SQL = (
 )
 CALLS_SQL = """(SELECT l_partkey AS source, nxt AS target, 'calls' AS relation, 1 - l_discount AS confidence FROM (
     SELECT l_partkey, l_discount, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nxt FROM lineitem) WHERE nxt IS NOT NULL)"""
-PLACES_SQL = """(SELECT 'nation:' || n_nationkey AS target, 'region:' || n_regionkey AS source, 'contains' AS relation, 1.0 AS confidence FROM nation
-    UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'contains', 0.9 FROM customer
-    UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'emits', 0.4 FROM supplier)"""
+PLACES_SQL = """(SELECT 'nation:' || n_nationkey AS target, 'region:' || n_regionkey AS source, 'contains' AS relation, CAST(1.0 AS DOUBLE) AS confidence FROM nation
+    UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'contains', CAST(0.9 AS DOUBLE) FROM customer
+    UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'emits', CAST(0.4 AS DOUBLE) FROM supplier)"""
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
