@@ -39,7 +39,7 @@ WIDTH, PERCENT = 5, 75
 #: A token is hot if it occurs in more than one of HOT documents, or in HOT_LEAST of them if that is more.
 HOT, HOT_LEAST, HOT_IN_FLUSH = 1024, 64, 16
 #: Tokens that a task gathers before it deals them out, and tokens of a range.
-FLUSH, RANGE = 1 << 20, 1 << 21
+FLUSH, RANGE = 1 << 19, 1 << 20
 #: Documents and tokens of a block.
 BLOCK_DOCS, BLOCK_TOKENS = 256, 1 << 20
 #: How often a document's leader is replaced by its leader's leader before blocks are formed.
@@ -185,6 +185,7 @@ def _dealt(width: int, bits: int, hot):
                 rows += packed(shared, doc[is_hot], size[is_hot], token[is_hot], often_class[at[is_hot]])
                 doc, size, token = doc[~is_hot], size[~is_hot], token[~is_hot]
             rows += packed((token >> np.uint64(48 - bits)).astype(np.int64), doc, size, token, None)
+            pa.default_memory_pool().release_unused()
             return _table(rows).combine_chunks().to_batches()
 
         size = 0
