@@ -180,3 +180,25 @@ def _(s, d):
     weak, sources = F.count_if(F.col("confidence") < 0.93), F.countDistinct("source")
     scored = views.calls(s, d).groupBy("target").agg((F.least(F.lit(35), 8 * weak) + F.least(F.lit(30), 10 * sources) + 10).alias("risk"))
     return scored.withColumn("band", F.when(F.col("risk") >= 70, "high").when(F.col("risk") >= 30, "medium").otherwise("low"))
+
+
+@query("ag32_recall_precision", f"""
+    SELECT record_id, round(hit / nullif(expected, 0), 6) AS recall, coalesce(round(hit / nullif(found, 0), 6), 0.0) AS precision FROM (
+    SELECT record_id, count(*) FILTER (verified AND outcome = 'helpful') AS hit, count(*) FILTER (verified) AS expected, count(*) FILTER (outcome = 'helpful') AS found FROM {FEEDBACK_SQL} GROUP BY record_id)""")
+def _(s, d):
+    helpful = F.col("outcome") == "helpful"
+    sizes = views.feedback(s, d).groupBy("record_id").agg(F.count_if(F.col("verified") & helpful).alias("hit"), F.count_if("verified").alias("expected"), F.count_if(helpful).alias("found"))
+    share = lambda of: F.round(F.col("hit") / F.nullif(F.col(of), F.lit(0)), 6)
+    return sizes.select("record_id", share("expected").alias("recall"), F.coalesce(share("found"), F.lit(0.0)).alias("precision"))
+
+
+@query("gr09_expected_near", f"SELECT source, target, confidence FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, target) AS r FROM (SELECT DISTINCT source, target, confidence FROM {CALLS_SQL})) WHERE r <= 4")
+def _(s, d):
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("confidence"), "target"))
+    return views.calls(s, d).select("source", "target", "confidence").distinct().withColumn("r", place).where("r <= 4").drop("r")
+
+
+@query("gr16_layer_violations", f"SELECT source, target, CASE WHEN source % 10 = 0 THEN 'error' ELSE 'warning' END AS severity FROM {CALLS_SQL} WHERE source % 10 IN (0, 1) AND target % 10 = 9")
+def _(s, d):
+    crossing = views.calls(s, d).where("source % 10 IN (0, 1) AND target % 10 = 9")
+    return crossing.select("source", "target", F.when(F.col("source") % 10 == 0, "error").otherwise("warning").alias("severity"))
