@@ -1,11 +1,12 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree; elements that never hold an article's text (by tag, role, or a word of their class or id) are
-taken out. Every node gets its composite density: characters a tag, lowered by the share of characters inside links.
+A page becomes a tree; elements that never hold an article's text (by tag, role, or a name among their classes or as
+id) are taken out. A name counts as a whole, or in a compound of such names and words for places and boxes; ids of
+headings and paragraphs, and in an article of all but boxes, are made from text and do not count. Every node gets its composite density: characters a tag, lowered by the share of characters inside links.
 The sum of its children's densities tells how much a node gathers; the subtree of the largest sum is chosen. From
 there the choice climbs towards the body: to an enclosing article or main element, and else as long as all that a
 parent adds is dense enough for the threshold, the least density on the path from the chosen node to the body, or a
-heading. Inside the choice only blocks that are mostly links fall away.
+heading. Inside the choice only blocks that are mostly links fall away, and none that an article or main element holds.
 
 A block is what one block-level element holds between others. Character references are decoded, white space inside a
 block becomes one space, and blocks are joined by a line feed, in page order. A tag that the end of the page cuts off
@@ -39,16 +40,20 @@ BORDERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 CLOSE_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 OUT = {"head", "nav", "footer", "aside", "form", "script", "style", "noscript", "template", "button", "select", "textarea", "iframe", "svg", "canvas", "object", "embed", "dialog", "input", "menu", "title", "noembed", "noframes", "audio", "video", "math"}
 OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
-#: Words of a class or id that tell of what is no article.
+#: Names of a class or id that tell of what is no article.
 OUT_NAMES = re.compile(r"^(ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|comment|comments|commentlist|disqus|respond|replies|sidebar|side|aside|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|header|masthead|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|widget|toolbar|copyright|legal|skip)$")
+#: Words that may stand beside these in a compound name.
+BESIDE = {"", "area", "bar", "bottom", "box", "btn", "button", "buttons", "container", "form", "global", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "posts", "primary", "right", "secondary", "site", "slot", "top", "unit", "wrap", "wrapper"}
+#: Elements whose id counts in an article, where those of others are made from headings.
+BOXES = {"div", "ul", "ol", "table"}
 MAIN_NAMES = re.compile(r"^(article|main|story)$")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "main", "chars", "tags", "link_chars", "link_tags", "density", "gathered")
+    __slots__ = ("tag", "parent", "children", "main", "inside", "chars", "tags", "link_chars", "link_tags", "density", "gathered")
 
-    def __init__(self, tag: str, parent: Node | None, main: bool = False):
-        self.tag, self.parent, self.main = tag, parent, main
+    def __init__(self, tag: str, parent: Node | None, main: bool = False, inside: bool = False):
+        self.tag, self.parent, self.main, self.inside = tag, parent, main, inside
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.gathered = 0.0
@@ -67,8 +72,17 @@ def is_out(tag: str, told: dict[str, str], in_article: bool) -> bool:
         return True
     if tag in ("html", "body", "main", "article"):
         return False
-    names = re.split(r"[\s_-]+", f"{told.get('class', '')} {told.get('id', '')}".lower())
-    return any(OUT_NAMES.match(n) for n in names)
+    names = told.get("class", "").lower().split()
+    box = tag in BOXES and "section" not in names if in_article else tag not in HEADINGS and tag != "p"
+    return any(names_out(n, in_article) for n in names + told.get("id", "").lower().split() * box)
+
+
+def names_out(name: str, in_article: bool) -> bool:
+    """Whether a class or id is one of OUT_NAMES or a compound of nothing but these and BESIDE."""
+    rest = [w for w in re.split("[_-]", name) if w not in BESIDE]
+    if in_article and rest == ["header"]:
+        return False  # as the element of this name
+    return bool(rest) and all(OUT_NAMES.match(w) for w in rest)
 
 
 def parsed(page: str) -> Node:
@@ -144,7 +158,8 @@ def parsed(page: str) -> Node:
                 now.children.append(Node(tag, now))
             continue
         names = f"{told.get('class', '')} {told.get('id', '')}".lower().split()
-        node = Node(tag, now, tag in ("article", "main") or told.get("role") in ("main", "article") or any(MAIN_NAMES.match(n) for n in names))
+        article_itself = tag in ("article", "main") or told.get("role") in ("main", "article")
+        node = Node(tag, now, article_itself or any(MAIN_NAMES.match(n) for n in names), now.inside or article_itself)
         now.children.append(node)
         if not raw and tag not in VOID:
             article += tag in ("article", "main")
@@ -228,7 +243,7 @@ def blocks(top: Node) -> list[str]:
             now.append(" ")
         elif x.tag in INLINE:
             todo += reversed(x.children)
-        elif x is not top and x.tag in ("ul", "ol", "div", "table", "section") and x.link_chars * 2 > x.chars:
+        elif x is not top and not x.inside and x.tag in ("ul", "ol", "div", "table", "section") and x.link_chars * 2 > x.chars:
             end()
         else:
             end()

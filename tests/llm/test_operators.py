@@ -270,6 +270,18 @@ def test_pages_without_article_element():
     assert pages.main_text(page) == f"T\n{long.strip()}\n{long}& end"
 
 
+def test_pages_keep_links_and_headings_of_the_article():
+    kept = [
+        '<div class="entry-header"><h1>Title</h1></div>',
+        '<h2 id="social-impact">Impact</h2><p class="side-effects">Effects</p>',
+        '<section id="related-work"><h2 id="legal">Law</h2><ul><li><a href="/a">First source</a></li><li><a href="/b">Second source</a></li></ul></section>',
+        '<table><tr><td><a href="/c">Linked cell</a></td></tr></table>',
+    ]
+    gone = ['<div class="share-buttons">Gone</div>', '<ul class="related_posts"><li>Gone</li></ul>', '<div id="comments">Gone</div>', '<ul role="navigation"><li>Gone</li></ul>', '<nav>Gone</nav>']
+    page = f"<body><ul><li><a href=/>Gone</a></li></ul><article>{''.join(kept + gone)}<p>{'word ' * 60}</p></article></body>"
+    assert pages.main_text(page) == "\n".join(["Title", "Impact", "Effects", "Law", "First source", "Second source", "Linked cell", ("word " * 60).strip()])
+
+
 def test_odd_pages(spark):
     df = spark.createDataFrame([(1, None, None), (2, "u", ""), (3, "u", "plain"), (4, "u", "<p>a<b"), (5, "u", "<div>" * 3000 + "deep"), (None, "u", "<!-- x")], "page_id long, url string, html string")
     assert {r["page_id"]: (r["text"], r["n_chars"]) for r in pages.extract(df).collect()} == {1: ("", 0), 2: ("", 0), 3: ("plain", 5), 4: ("a", 1), 5: ("deep", 4), None: ("", 0)}
