@@ -213,6 +213,25 @@ def test_chats(spark):
     assert told[3]["n_turns"] == 2 and told[None]["loss_chars"] == 1
 
 
+def test_chats_of_long_conversations_come_in_parts(spark):
+    said = [(c, i, ("user", "assistant")[i % 2], f"### {i} é " * 9) for c in (None, 1) for i in range(400)] + [(2, 0, "assistant", "short")]
+    chats = chat.format_chats(spark.createDataFrame(said, "conv_id long, turn long, role string, text string").repartition(3), most=4000)
+    rows = sorted(chats.collect(), key=lambda r: r["part"])
+    told = {r["conv_id"]: r for r in chat.digests(chats).collect()}
+    for c in (None, 1, 2):
+        turns = [(role, text) for i, _, role, text in said if i == c]
+        parts = [r for r in rows if r["conv_id"] == c]
+        whole = "".join(r["formatted"] for r in parts)
+        assert chat.read_back(whole) == turns and len(parts) == parts[0]["n_parts"] and (len(parts) > 4) == (c != 2)
+        assert max(r["n_turns"] for r in parts) < 200
+        learned = [whole[r["begins"] + x["start"] : r["begins"] + x["end"]] for r in parts for x in r["loss"]]
+        assert [chat.unescape(x) for x in learned] == [text for role, text in turns if role == "assistant"]
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        want = (c, len(turns), sha("".join(f"{role}\n{text}\n" for role, text in turns)), sum(len(chat.unescape(x)) for x in learned), sha("".join(map(chat.unescape, learned))), len(whole))
+        assert tuple(told[c]) == want
+    assert len(told) == 3
+
+
 # --- 6, 8 -----------------------------------------------------------------------------------------------------------
 
 
