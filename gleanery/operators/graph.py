@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -33,6 +34,31 @@ def callers(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return reached.where("depth > 0").select("node", F.col("depth").cast("long").alias("depth"))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that executors share, or an own one where none is set (tests)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='gleanery-')}")
+    return df.checkpoint()
+
+
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node): all that seeds lead to, in any number of steps; seeds are left out. Goes on until no new node appears."""
+    step = edges.select("source", "target").distinct().persist()
+    seeds = _written(seeds.select("node").distinct())
+    front = reached = seeds
+    rounds = 0
+    while not front.isEmpty():
+        found = step.join(front.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node")).distinct()
+        front = _written(found.join(reached, "node", "left_anti"))
+        reached = reached.union(front)
+        rounds += 1
+        if rounds % 16 == 0:  # plans stay short in deep graphs
+            reached = _written(reached)
+    step.unpersist()
+    return reached.join(seeds, "node", "left_anti")
+
+
 def lineage(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(node, score): reverse lineage of seeds (node, score); each hop multiplies by .72 + .2 confidence; no node twice on a trail."""
     step = edges.groupBy("source", "target").agg(F.max("confidence").alias("confidence"))

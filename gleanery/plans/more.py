@@ -206,9 +206,15 @@ def _(s, d):
 
 @query("gr14_reachable", f"WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM {PLACES_SQL}), r(node) AS (SELECT 'region:0' UNION SELECT e.target FROM e JOIN r ON e.source = r.node) SELECT node FROM r WHERE node <> 'region:0'")
 def _(s, d):
-    # Against the arrows: what leads to a seed over reversed edges is what the seed reaches.
-    edges = views.places(s, d).select(F.col("target").alias("source"), F.col("source").alias("target"))
-    return graph.callers(edges, s.createDataFrame([("region:0",)], "node string"), 2).select("node")
+    return graph.reachable(views.places(s, d), s.createDataFrame([("region:0",)], "node string"))
+
+
+@query("gr11_callers_of_brand", f"""
+    WITH e AS (SELECT DISTINCT source, target FROM {CALLS_SQL}), s AS (SELECT p_partkey AS node FROM part WHERE p_brand = 'Brand#1'),
+         a AS (SELECT DISTINCT source AS node FROM e JOIN s ON target = node), b AS (SELECT DISTINCT source AS node FROM e JOIN a ON target = node), c AS (SELECT DISTINCT source AS node FROM e JOIN b ON target = node)
+    SELECT node, min(depth) AS depth FROM (SELECT node, CAST(1 AS BIGINT) AS depth FROM a UNION ALL SELECT node, 2 FROM b UNION ALL SELECT node, 3 FROM c) WHERE node NOT IN (SELECT node FROM s) GROUP BY node""")
+def _(s, d):
+    return graph.callers(views.calls(s, d), table(s, d, "part").where("p_brand = 'Brand#1'").select(F.col("p_partkey").alias("node")), 3)
 
 
 @query("gr25_graph_quality", f"WITH e AS {CALLS_SQL}, n AS (SELECT p_partkey AS node FROM part) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM n WHERE node NOT IN (SELECT source FROM e UNION SELECT target FROM e)) AS orphans")

@@ -3,8 +3,10 @@ from datetime import datetime
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
+from gleanery import catalog
 from gleanery.functions import text as T
-from gleanery.operators import ranking, tables
+from gleanery.operators import graph, ranking, tables
+from gleanery.plans import views
 from gleanery.sources import records
 from gleanery.streaming import events
 
@@ -41,6 +43,18 @@ def test_insert_is_idempotent(spark):
     assert sorted(r["id"] for r in once.collect()) == [1, 2, 4, 6]
 
 
+def test_reachable_follows_deep_chains_and_cycles(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(20, 3), (30, 31)], "source long, target long")
+    found = graph.reachable(edges, spark.createDataFrame([(0,)], "node long"))
+    assert sorted(r["node"] for r in found.collect()) == list(range(1, 21))
+
+
+def test_gr14_goes_beyond_two_steps(spark, monkeypatch):
+    chain = spark.createDataFrame([(f"region:{i}", f"region:{i + 1}") for i in range(5)], "source string, target string")
+    monkeypatch.setattr(views, "places", lambda s, d: chain)
+    assert sorted(r["node"] for r in catalog.queries()["gr14_reachable"](spark, "").collect()) == [f"region:{i}" for i in range(1, 6)]
+
+
 def test_similar_sets(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c", "d"]), (2, ["a", "b", "c"]), (3, ["x"])], "id long, t array<string>")
     assert [tuple(r) for r in ranking.similar_sets(df, "id", "t", 0.55).collect()] == [(1, 2, 0.75)]
