@@ -39,6 +39,15 @@ def insert_new(current: DataFrame, incoming: DataFrame, key: str, order: list[Co
     return current.unionByName(fresh.select(*current.columns)).unionByName(incoming.where(F.col(key).isNull()).select(*current.columns))
 
 
+def chain_breaks(df: DataFrame, group: str, sequence: str, digest: str, previous: str) -> DataFrame:
+    """(group, entries, broken, gaps): entries whose stored previous digest is not that of the entry before (null at
+    first), and entries whose number does not follow that of the entry before (1 at first)."""
+    order = Window.partitionBy(group).orderBy(sequence)
+    linked = df.withColumns({"__digest": F.lag(digest).over(order), "__sequence": F.lag(sequence).over(order)})
+    follows = F.col(sequence).eqNullSafe(F.coalesce("__sequence", F.lit(0)) + 1)
+    return linked.groupBy(group).agg(F.count("*").alias("entries"), F.count_if(~F.col(previous).eqNullSafe(F.col("__digest"))).alias("broken"), F.count_if(~follows).alias("gaps"))
+
+
 def nearest_rank(df: DataFrame, group: list[str], value: str, percent: list[float]) -> DataFrame:
     """Percentiles at the place round((n - 1) * p), halves to even, of each group's ordered values."""
     by = Window.partitionBy(*group)

@@ -359,3 +359,12 @@ def _(s, d):
 def _(s, d):
     events = table(s, d, "events").select("event_id", F.col("user_id").alias("event_key"))
     return tables.insert_new(events.limit(0), events, "event_key", [F.col("event_id")])
+
+
+@query("mu03_insert_into_known", """
+    WITH held AS (SELECT -user_id AS event_id, user_id AS event_key FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 3 = 0))
+    SELECT event_id, event_key FROM held UNION ALL SELECT min(event_id), user_id FROM events WHERE user_id NOT IN (SELECT event_key FROM held) GROUP BY user_id""")
+def _(s, d):
+    events = table(s, d, "events").select("event_id", F.col("user_id").alias("event_key"))
+    held = events.where("event_key % 3 = 0").select((-F.col("event_key")).alias("event_id"), "event_key").distinct()
+    return tables.insert_new(held, events, "event_key", [F.col("event_id")])

@@ -137,6 +137,20 @@ def _(s, d):
     return chained.groupBy("user_id").agg(F.max("place").alias("entries"), F.bool_and((F.col("place") == 1) == F.col("before").isNull()).alias("contiguous"))
 
 
+@query("wn08_chain_breaks", """
+    WITH e AS (SELECT user_id, event_id, row_number() OVER w AS n, lag(sha256(CAST(event_id AS VARCHAR))) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+         s AS (SELECT user_id, n, sha256(CAST(event_id AS VARCHAR)) AS digest, CASE WHEN event_id % 97 = 0 THEN 'altered' ELSE p END AS previous FROM e WHERE event_id % 101 <> 0),
+         b AS (SELECT *, lag(digest) OVER w AS d, coalesce(lag(n) OVER w, 0) AS m FROM s WINDOW w AS (PARTITION BY user_id ORDER BY n))
+    SELECT user_id, count(*) AS entries, count(*) FILTER (previous IS DISTINCT FROM d) AS broken, count(*) FILTER (n <> m + 1) AS gaps FROM b GROUP BY user_id""")
+def _(s, d):
+    # Planted: an altered previous digest in one of 97 entries, and one of 101 missing.
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    chained = table(s, d, "events").select("user_id", "event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("digest"))
+    chained = chained.withColumn("n", F.row_number().over(order).cast("long")).withColumn("previous", F.lag("digest").over(order))
+    stored = chained.where("event_id % 101 <> 0").withColumn("previous", F.when(F.col("event_id") % 97 == 0, "altered").otherwise(F.col("previous")))
+    return tables.chain_breaks(stored, "user_id", "n", "digest", "previous")
+
+
 @query("wn09_delta_to_previous", "SELECT event_id, round(value - coalesce(lag(value) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id), value), 6) AS delta FROM events")
 def _(s, d):
     before = F.lag("value").over(Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id"))

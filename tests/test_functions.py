@@ -43,6 +43,12 @@ def test_insert_is_idempotent(spark):
     assert sorted(r["id"] for r in once.collect()) == [1, 2, 4, 6]
 
 
+def test_chain_breaks_finds_altered_missing_and_reordered_entries(spark):
+    rows = [("ok", 1, "a", None), ("ok", 2, "b", "a"), ("altered", 1, "a", None), ("altered", 2, "b", "x"), ("missing", 1, "a", None), ("missing", 3, "c", "b"), ("reordered", 1, "b", "a"), ("reordered", 2, "a", None)]
+    found = tables.chain_breaks(spark.createDataFrame(rows, "g string, n long, digest string, previous string"), "g", "n", "digest", "previous")
+    assert {r["g"]: tuple(r)[1:] for r in found.collect()} == {"ok": (2, 0, 0), "altered": (2, 1, 0), "missing": (2, 1, 1), "reordered": (2, 2, 0)}
+
+
 def test_reachable_follows_deep_chains_and_cycles(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(20, 3), (30, 31)], "source long, target long")
     found = graph.reachable(edges, spark.createDataFrame([(0,)], "node long"))
