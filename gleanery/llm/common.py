@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,33 +75,14 @@ def named(docs: DataFrame, **columns: str) -> DataFrame:
 
 # --- word hashes ---------------------------------------------------------------------------------------------------
 
-_RNG = np.random.default_rng(20240607)
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWERED = _BYTE.copy()
-_LOWERED[65:91] = _BYTE[97:123]
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Bytes of text that are hashed at a time; a block ends at white space.
-BLOCK = 1 << 16
-_POWERS: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash's base and of its inverse; kept up to a few blocks."""
-    if _POWERS and len(_POWERS[0]) >= n:
-        return _POWERS[0][:n], _POWERS[1][:n]
-    out = []
-    for base in (_P, _P_INVERSE):
-        power = np.full(max(n, BLOCK + 1), base, np.uint64)
-        power[0] = 1
-        with np.errstate(over="ignore"):
-            np.multiply.accumulate(power, out=power)
-        out.append(power)
-    if len(out[0]) <= 16 * BLOCK:
-        _POWERS[:] = out
-    return out[0][:n], out[1][:n]
+#: Bytes up to which numpy hashes pieces, eight bytes at a time; longer ones go through xxhash one by one.
+SHORT_PIECE = 64
+#: Which bytes of eight count, by how many are left of a piece.
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -112,36 +94,33 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def piece_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the pieces [start, stop) of bytes: each eight bytes are mixed into the hash so far."""
+    size = stop - start
+    out = mix(size.astype(np.uint64), 1)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= SHORT_PIECE))
+    done = 0
+    while len(live):
+        left = size[live] - done
+        out[live] = mix(out[live] ^ (eight[start[live] + done] & _LEFT[np.minimum(left, 8)]), 2)
+        live = live[left > 8]
+        done += 8
+    long = np.flatnonzero(size > SHORT_PIECE)
+    if len(long):
+        view = memoryview(data)
+        out[long] = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start[long].tolist(), stop[long].tolist(), strict=True)]
+    return out
+
+
 def word_hashes(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end (byte offsets) of each word of UTF-8 bytes; with lower, A-Z count as a-z."""
-    table = _LOWERED if lower else _BYTE
-    out, n, at = [], len(data), 0
-    while at < n:
-        end = min(at + BLOCK, n)
-        if end < n:
-            white = np.flatnonzero(_SPACE[data[at:end]])
-            if len(white):
-                end = at + int(white[-1]) + 1
-            else:  # one word is longer than a block
-                while end < n and not _SPACE[data[end]]:
-                    white = np.flatnonzero(_SPACE[data[end : end + BLOCK]])
-                    end = end + int(white[0]) if len(white) else min(end + BLOCK, n)
-        part = data[at:end]
-        word = ~_SPACE[part]
-        padded = np.zeros(len(word) + 2, bool)
-        padded[1:-1] = word
-        edge = np.flatnonzero(padded[1:] != padded[:-1])
-        start, stop = edge[0::2], edge[1::2]
-        with np.errstate(over="ignore"):
-            power, inverse = powers(len(part) + 1)
-            total = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(table[part] * power[:-1], out=total[1:])
-            out.append((mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64)), start + at, stop + at))
-        at = end
-    if not out:
-        nothing = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), nothing, nothing
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    padded = np.zeros(len(data) + 2, bool)
+    np.logical_not(_SPACE[data], out=padded[1:-1])
+    edge = np.flatnonzero(padded[1:] != padded[:-1])
+    start, stop = edge[0::2], edge[1::2]
+    return piece_hashes(_LOWERED[data] if lower else data, start, stop), start, stop
 
 
 def grouped(texts: list[bytes], most: int = 1 << 21):

@@ -21,3 +21,18 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The code points of all texts, one after the other, and where each text's begin (one entry more than texts)."""
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     return points, np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+@cache
+def unassigned() -> np.ndarray:
+    """Code points of the first four planes that Python's Unicode database does not know (a library's may)."""
+    out = np.zeros(0x110000, bool)
+    out[:0x40000] = [unicodedata.category(chr(i)) == "Cn" for i in range(0x40000)]
+    return out

@@ -7,7 +7,8 @@ at once, the maps compose through a parallel prefix scan, and a second reading f
 
 The second reads the bytes of a word. Its states are what the encoding of later bytes can depend on: the bytes that
 may still begin a token, the last token before each of them, and the tokens emitted between. Each transition is
-annotated with the change of the number of tokens so far. The transducer is compiled as far as texts need it, kept
+annotated with the change of the number of tokens so far; the chunks of a long word become maps of (state, count),
+which compose through the same scan. The transducer is compiled as far as texts need it, kept
 for later batches of a task and dropped beyond KEPT transitions. A token may follow another exactly if the two
 together encode to these two, which is decided once for each pair.
 
@@ -25,13 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 from .common import grouped, named, ready
-from .letters import categories, code_points
+from .letters import byte_letters, categories, code_points, unassigned
 from .words import Encodings
 
 #: Transitions that a task keeps, and characters of a chunk.
 KEPT, CHUNK = 1 << 22, 256
+#: Bytes from which a word is counted by chunks.
+LONG_WORD = 2 * CHUNK
 #: The split pattern of word-end vocabularies, which the first transducer compiles. Fixed value.
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -78,6 +83,14 @@ def classes() -> np.ndarray:
     """The class of each code point."""
     if not _CLASSES:
         table = np.array([OTHER, LETTER, NUMBER, SPACE], np.uint8)[categories()]
+        # Of characters newer than Python's database the library's own pattern tells the class.
+        split = Split(Regex(PATTERN), "removed", True)
+        new = np.flatnonzero(unassigned())
+        for before, kind in (("!", NUMBER), ("a", LETTER)):
+            pieces = {x for x, _ in split.pre_tokenize_str(" ".join(before + chr(i) for i in new))}
+            for i in new:
+                if (before + chr(i) in pieces) == (kind == LETTER):
+                    table[i] = kind
         for letters, kind in (("stmd", SHORT), ("rv", PENDING), ("l", ELL), ("e", EE), ("'", APOSTROPHE)):
             table[[ord(c) for c in letters]] = kind
         _CLASSES.append(table)
@@ -121,13 +134,6 @@ def words(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, edge[np.searchsorted(edge, start, "right")]
 
 
-def byte_letters() -> dict[str, int]:
-    """The byte that each letter of a byte-level vocabulary stands for."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Transducer:
     """The second transducer. Symbols are bytes; a word's last byte counts 256 more."""
 
@@ -155,6 +161,7 @@ class Transducer:
             self.ranks[symbols(a), symbols(b)] = rank
         self.prefixes = {s[:k] for s in self.token for k in range(1, len(s) + 1)}
         self.longest = max(map(len, self.token))
+        self.normalizer = Tokenizer.from_file(path).normalizer
         self.clear()
         self.kept = Encodings(self.fresh)
 
@@ -208,18 +215,37 @@ class Transducer:
         after = self.state(string[keep:], last[keep:], tuple(c - base for c in count[keep:]))
         return self.edges.setdefault(state << 9 | symbol, after << 8 | change + 128)
 
-    def count(self, word: bytes) -> int:
-        state = total = 0
-        edges = self.edges
-        for b in word[:-1]:
-            edge = edges.get(state << 9 | b)
+    def read(self, state: int, symbols: tuple[int, ...] | bytes) -> tuple[int, int]:
+        """The state behind symbols that are read from a state, and by how much the number of tokens changes."""
+        total, edges = 0, self.edges
+        for s in symbols:
+            edge = edges.get(state << 9 | s)
             if edge is None:
-                edge = self.compile(state, b)
+                edge = self.compile(state, s)
             state = edge >> 8
             total += (edge & 255) - 128
-        last = state << 9 | word[-1] + 256
-        edge = edges.get(last)
-        return total + ((edge if edge is not None else self.compile(state, word[-1] + 256)) & 255) - 128
+        return state, total
+
+    def count(self, word: bytes) -> int:
+        """The number of tokens of a word; long words by maps of their chunks, composed through a prefix scan."""
+        if len(word) <= LONG_WORD:
+            state, total = self.read(0, word[:-1])
+            return total + self.read(state, (word[-1] + 256,))[1]
+        symbols = (*word[:-1], word[-1] + 256)
+        chunks = [symbols[i : i + CHUNK] for i in range(0, len(symbols), CHUNK)]
+        # The states in which a chunk may be entered: as the chunk before leaves it if that began the word (mostly the
+        # state itself, as what came earlier is soon forgotten), and what the maps before then give.
+        entries = [{0}, *({self.read(0, c)[0]} for c in chunks[:-1])]
+        maps = []
+        for k, chunk in enumerate(chunks):
+            maps.append({e: self.read(e, chunk) for e in entries[k]})
+            if k + 1 < len(chunks):
+                entries[k + 1] |= {after for after, _ in maps[k].values()}
+        reach = 1
+        while reach < len(maps):
+            maps[reach:] = [{e: (late[x][0], n + late[x][1]) for e, (x, n) in early.items()} for early, late in zip(maps[:-reach], maps[reach:], strict=True)]
+            reach *= 2
+        return maps[-1][0][1]
 
     def fresh(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.edges) > KEPT:
@@ -235,6 +261,8 @@ class Transducer:
                 specials[i] = len(self.special.findall(text))
                 text = self.special.sub(" ", text)
             if not text.isascii():
+                if unassigned()[code_points([text])[0]].any():
+                    text = self.normalizer.normalize_str(text)  # newer characters than Python's database has
                 # Each character is lowered by itself, so a final sigma is like any other.
                 text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
             clean.append(text.lower() + "\n")

@@ -3,69 +3,46 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 
-from .common import _BYTE, BLOCK, mix, powers
-
-#: Pieces that a task keeps; beyond that it starts afresh.
-KEPT = 1 << 20
-
-
-def piece_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the pieces [start, stop) of bytes; pieces are ascending and do not overlap."""
-    out = np.zeros(len(start), np.uint64)
-    first = 0
-    with np.errstate(over="ignore"):
-        while first < len(start):
-            last = max(first + 1, int(np.searchsorted(stop, start[first] + BLOCK)))
-            low, high = int(start[first]), int(stop[last - 1])
-            power, inverse = powers(high - low + 1)
-            total = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(_BYTE[data[low:high]] * power[:-1], out=total[1:])
-            a, b = start[first:last] - low, stop[first:last] - low
-            out[first:last] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
-            first = last
-    return out
-
-
-def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct values, where one of each stands, and which of them each entry is."""
-    order = np.argsort(x)
-    ordered = x[order]
-    new = np.ones(len(x), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    inverse = np.empty(len(x), np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    return ordered[new], order[new], inverse
+#: Pieces, and bytes of pieces, that a task keeps; beyond either it starts afresh.
+KEPT, KEPT_BYTES = 1 << 20, 1 << 26
 
 
 class Encodings:
-    """Integers for each piece, made by `encode` for pieces not seen before: list of bytes -> (flat integers, counts)."""
+    """Integers for each piece, made by `encode` for pieces not seen before: list of bytes -> (flat integers, counts).
+
+    Pieces are told apart by their bytes, never by a hash of them alone.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
+        self.bytes = 0
         self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def __call__(self, text: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The integers of all pieces, one after the other, and how many each piece has."""
-        if len(self.known) > KEPT:
+        if len(self.known) > KEPT or self.bytes > KEPT_BYTES:
             self.clear()
-        hashes, first, inverse = distinct(piece_hashes(np.frombuffer(text, np.uint8), start, stop))
-        at = np.fromiter((self.known.get(h, -1) for h in hashes.tolist()), np.int64, len(hashes))
-        fresh = np.flatnonzero(at < 0)
-        if len(fresh):
-            a, b = start[first[fresh]].tolist(), stop[first[fresh]].tolist()
-            flat, counts = self.encode([text[x:y] for x, y in zip(a, b, strict=True)])
-            at[fresh] = np.arange(len(fresh)) + len(self.start) - 1
-            self.known.update(zip(hashes[fresh].tolist(), at[fresh].tolist(), strict=True))
+        known, n = self.known, len(self.known)
+        pieces = [text[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+        at = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unseen = np.flatnonzero(at < 0)
+        if len(unseen):
+            at[unseen] = [known.setdefault(pieces[i], len(known)) for i in unseen.tolist()]
+            first = np.unique(at[unseen], return_index=True)[1]
+            fresh = [pieces[i] for i in unseen[first].tolist()]
+            assert len(fresh) == len(known) - n
+            self.bytes += sum(map(len, fresh))
+            flat, counts = self.encode(fresh)
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
             self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
-        at = at[inverse]
         begin, count = self.start[at], self.start[at + 1] - self.start[at]
         total = np.cumsum(count)
         within = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - count, count)
