@@ -8,27 +8,32 @@ from pyspark.sql import functions as F
 from .common import forget, materialize
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """For each node u, the least of u and its neighbours v."""
-    return pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("least"))
+#: A node with more than 1 of so many link ends (and more than LEAST_HOT) is hot; so at most twice as many are.
+HOT_NODES, LEAST_HOT = 4096, 256
+
+
+def _with_least(pairs: DataFrame, most: int) -> DataFrame:
+    """Each pair with the least of u and all its neighbours v. Hot nodes' leasts are broadcast, so no node's pairs gather in one task."""
+    told = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("least"), F.count("*").alias("c"))
+    hot = F.broadcast(told.where(F.col("c") > most).select("u", "least"))
+    cold = told.where(F.col("c") <= most).select("u", "least")
+    return pairs.join(hot, "u").unionByName(pairs.join(hot.select("u"), "u", "left_anti").join(cold, "u"))
 
 
 def _both(links: DataFrame) -> DataFrame:
     return links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, most: int) -> DataFrame:
     """Link every larger neighbour of a node to the least node around it."""
-    pairs = _both(links)
-    return pairs.join(_least(pairs), "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+    return _with_least(_both(links), most).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, most: int) -> DataFrame:
     """Link every smaller neighbour of a node, and the node, to the least of them."""
     pairs = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(pairs)
-    moved = pairs.join(least, "u").where("v > least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-    return moved.union(least.select("u", F.col("least").alias("v"))).distinct()
+    moved = _with_least(pairs, most).where("v > least").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    return moved.union(pairs.groupBy("u").agg(F.min("v").alias("v"))).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -37,10 +42,11 @@ def components(links: DataFrame) -> DataFrame:
     Each round is written to the shared folder, so a lost executor costs one round at most. Rounds end when the links
     are stars already, after O(log n) of them in practice.
     """
-    now = materialize(links.where("u <> v").select("u", "v"))
+    now = materialize(links.where("u <> v").select("u", "v").distinct())
     seen = None
+    most = max(LEAST_HOT, 2 * now.count() // HOT_NODES)
     while True:
-        after = materialize(_small_star(_large_star(now)))
+        after = materialize(_small_star(_large_star(now, most), most))
         # The table of links is the same as before if its size and an order-free digest of its rows are.
         told = tuple(after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         forget(now)

@@ -7,15 +7,20 @@ share prefix tokens under each of several orders, which are intersected before t
 1. Documents with equal sets become one class: the least doc_id stands for it.
 2. Tokens are dealt by ranges of their hashes, packed in binary blocks of 6 bytes a token, and their document
    frequencies counted. A token that one document alone has can be in no overlap; only the others return to their
-   documents. Tokens in more than 1 of HOT documents (at most HOT times the mean size of a set) are found before, by
-   counts combined in the tasks, and stay with their documents, so that no range holds a long list.
+   documents. Tokens that take part in more than 1 of HOT (at most HOT of them) are found before, by counts combined in
+   the tasks, and stay with their documents, so that no range holds a long list. Of very many ranges, tokens go to
+   groups of ranges first and then on to their own.
 3. Every order starts with the rarest tokens, with finer or coarser classes of frequency and with ties broken by
    hashes of their own. A document whose prefix holds unshared tokens only has no partner and drops out.
-4. Documents that share prefix tokens meet in blocks of bounded size: a document belongs to the block of the least
-   document with which it shares the most prefix tokens, or of that one's (large blocks are split by hash), and two blocks meet if they
-   share a prefix token. Within two blocks numpy intersects the filters of all orders and counts overlaps exactly.
-   Links that span what is linked are returned, so a group of n near copies gives less than n of them for two blocks.
-5. Links are joined into components by star rounds.
+4. Documents gather around leaders: the least document with which one shares the most prefix tokens, or that one's
+   leader. They are compared in blocks of bounded size, each of which holds the leader too; what does not link with
+   the leader is compared with all of the block. So n near copies cost n comparisons and become one component.
+5. Documents that are linked, directly or not, need not meet. Two blocks meet only if, under every order, a document of
+   the one shares a prefix token with a document of the other that is in another component: the joins of the orders are
+   intersected before any overlap is counted. Pairs of documents pass the filters of all orders as well.
+6. Links are joined into components by star rounds.
+
+Tokens count as equal if 48 bits of their hashes are.
 
 Null texts, empty texts and texts without words have no shingles and link with nothing; so do rows with a null
 doc_id, whose component is null. A repeated row is returned as often as it occurs. Texts that share a doc_id are one
@@ -32,14 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, grouped, keep_ids, materialize, mix, named, ready, words_of
+from .common import BROADCAST_ROWS, forget, grouped, keep_ids, materialize, mix, named, ready, words_of
 from .components import components
 
 WIDTH, PERCENT = 5, 75
-#: A token is hot if it occurs in more than one of HOT documents, or in HOT_LEAST of them if that is more.
-HOT, HOT_LEAST, HOT_IN_FLUSH = 1024, 64, 16
+#: A token is hot if it is more than 1 of HOT entries of all sets, or in HOT_LEAST of them if that is more. Tasks report what
+#: occurs HOT_IN_FLUSH times among HOT_FLUSH tokens.
+HOT, HOT_LEAST, HOT_IN_FLUSH, HOT_FLUSH = 1 << 18, 64, 4, 1 << 21
 #: Tokens that a task gathers before it deals them out, and tokens of a range.
 FLUSH, RANGE = 1 << 19, 1 << 20
+#: Bits of a range that are dealt in one step.
+HOP = 12
 #: Documents and tokens of a block.
 BLOCK_DOCS, BLOCK_TOKENS = 256, 1 << 20
 #: How often a document's leader is replaced by its leader's leader before blocks are formed.
@@ -110,7 +118,7 @@ def _summaries(width: int):
                 yield rows(0, batch.column(0).slice(first, last - first).cast(pa.int64()), np.diff(at), a, b)
                 held.append(tokens)
                 size += len(tokens)
-                if sum(map(len, held)) >= FLUSH:
+                if sum(map(len, held)) >= HOT_FLUSH:
                     yield hot()
         if held:
             yield hot()
@@ -127,8 +135,8 @@ def packed(part: np.ndarray, doc: np.ndarray, size: np.ndarray, token: np.ndarra
     order = np.lexsort((token, part)) if klass is None else np.lexsort((token, doc, part))
     part, doc, size, token = part[order], doc[order], size[order], token[order]
     klass = None if klass is None else klass[order]
-    edge = np.flatnonzero(fresh(part))
-    for first, last in zip(edge, [*edge[1:], len(part)], strict=True):
+    edge = np.append(np.flatnonzero(fresh(part)), len(part))
+    for first, last in zip(edge[:-1], edge[1:], strict=True):
         docs, one, at = np.unique(doc[first:last], return_index=True, return_inverse=True)
         t = token[first:last]
         yield [int(part[first]), docs.astype("<i8").tobytes(), size[first:last][one].astype("<u4").tobytes(), at.astype("<u2" if len(docs) <= 1 << 16 else "<u4").tobytes(),
@@ -167,6 +175,15 @@ def frequency_class(count: np.ndarray) -> np.ndarray:
     return np.minimum(255, 8 * np.log2(count)).astype(np.uint8)
 
 
+def _part(x: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """The upper bits of numbers of that width."""
+    return (x >> np.uint64(width - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+
+
+def _spread(doc: np.ndarray) -> np.ndarray:
+    return mix(doc.astype(np.uint64), 5)
+
+
 def _dealt(width: int, bits: int, hot):
     """Packed rows by range of tokens; those of hot tokens have a negative part and their class with them."""
 
@@ -174,17 +191,16 @@ def _dealt(width: int, bits: int, hot):
         often, often_class = hot.value
         held: list[tuple] = []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> list[pa.RecordBatch]:
             doc, size, token = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             rows = []
             if len(often):
                 at = np.minimum(np.searchsorted(often, token), len(often) - 1)
                 is_hot = often[at] == token
-                shared = -1 - (mix(doc[is_hot].astype(np.uint64), 5) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.full(int(is_hot.sum()), -1)
-                rows += packed(shared, doc[is_hot], size[is_hot], token[is_hot], often_class[at[is_hot]])
+                rows += packed(-1 - _part(_spread(doc[is_hot]), 64, bits), doc[is_hot], size[is_hot], token[is_hot], often_class[at[is_hot]])
                 doc, size, token = doc[~is_hot], size[~is_hot], token[~is_hot]
-            rows += packed((token >> np.uint64(48 - bits)).astype(np.int64), doc, size, token, None)
+            rows += packed(_part(token, 48, bits), doc, size, token, None)
             pa.default_memory_pool().release_unused()
             return _table(rows).combine_chunks().to_batches()
 
@@ -205,6 +221,44 @@ def _dealt(width: int, bits: int, hot):
     return go
 
 
+def _dealt_on(bits: int):
+    """Rows of the first step dealt on to their own ranges, or to documents if they have classes already."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def flush() -> list[pa.RecordBatch]:
+            out = []
+            for kind in (True, False):
+                own = [r for r in held if (r["class"] != b"") == kind]
+                if own:
+                    doc, size, token, klass = (np.concatenate(x) for x in zip(*map(unpacked, own), strict=True))
+                    part = _part(_spread(doc), 64, bits) if kind else _part(token, 48, bits)
+                    out += packed(-1 - part if kind and own[0]["part"] < 0 else part, doc, size, token, klass if kind else None)
+            held.clear()
+            return _table(out).combine_chunks().to_batches()
+
+        size = 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and (size >= FLUSH or (row["part"] < 0) != (held[0]["part"] < 0)):
+                    yield from flush()
+                    size = 0
+                held.append(row)
+                size += len(row["low"]) // 4
+        if held:
+            yield from flush()
+
+    return go
+
+
+def _in_steps(dealt: DataFrame, bits: int) -> DataFrame:
+    """Rows that were dealt by the upper HOP bits, dealt by all bits where there are more."""
+    if bits <= HOP:
+        return dealt
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_dealt_on(bits), PACKED)
+
+
 def _returned(bits: int):
     """From the entries of one range, those of tokens that two documents have, dealt by document with their class."""
 
@@ -224,8 +278,7 @@ def _returned(bits: int):
         count = run_lengths(token)
         shared = count >= 2
         doc, size, token, klass = doc[shared], size[shared], token[shared], frequency_class(count[shared])
-        part = (mix(doc.astype(np.uint64), 5) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(doc), np.int64)
-        return _table(list(packed(part, doc, size, token, klass)))
+        return _table(list(packed(_part(_spread(doc), 64, bits), doc, size, token, klass)))
 
     return go
 
@@ -252,8 +305,8 @@ def _prefix_mask(doc: np.ndarray, n: np.ndarray, token: np.ndarray, klass: np.nd
     return mask
 
 
-RECORD = "doc_id long, n long, tokens binary, classes binary, prefix array<long>"
-RECORD_TYPE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("classes", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+RECORD = "doc_id long, n long, tokens binary, classes binary, prefixes array<array<long>>"
+RECORD_TYPE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("classes", pa.binary()), ("prefixes", pa.list_(pa.list_(pa.int64())))])
 
 
 def _records(percent: int):
@@ -262,72 +315,96 @@ def _records(percent: int):
         order = np.lexsort((token, doc))
         order = order[fresh(doc[order], token[order])]
         doc, size, token, klass = doc[order], size[order], token[order], klass[order]
-        mask = _prefix_mask(doc, size, token, klass, 0, percent)
-        first = np.flatnonzero(fresh(doc))
+        masks = [_prefix_mask(doc, size, token, klass, order, percent) for order in range(len(ORDERS))]
+        edge = np.append(np.flatnonzero(fresh(doc)), len(doc))
         kept = []
-        for a, b in zip(first, [*first[1:], len(doc)], strict=True):
-            if mask[a:b].any():
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            if masks[0][a:b].any():
                 t = token[a:b]
-                kept.append((int(doc[a]), int(size[a]), t.astype("<u8").tobytes(), klass[a:b].tobytes(), t[mask[a:b]].astype(np.int64)))
+                kept.append((int(doc[a]), int(size[a]), t.astype("<u8").tobytes(), klass[a:b].tobytes(), [t[m[a:b]].astype(np.int64) for m in masks]))
         return pa.Table.from_arrays([pa.array([r[i] for r in kept], f.type) for i, f in enumerate(RECORD_TYPE)], schema=RECORD_TYPE)
 
     return go
 
 
-def overlaps(token: np.ndarray, at: np.ndarray, n: int, chosen: np.ndarray | None = None) -> np.ndarray:
-    """Matrix of how many (chosen) tokens each two of n documents share; products of bounded matrices."""
-    if chosen is not None:
-        token, at = token[chosen], at[chosen]
-    out = np.zeros((n, n), np.float32)
-    _, column, count = np.unique(token, return_inverse=True, return_counts=True)
-    shared = count[column] >= 2
-    at, column = at[shared], np.unique(column[shared], return_inverse=True)[1]
+def overlaps(token: np.ndarray, at: np.ndarray, n: int, rows: np.ndarray) -> np.ndarray:
+    """How many tokens each of some rows shares with each of n documents; products of bounded matrices."""
+    out = np.zeros((len(rows), n), np.float32)
+    place = np.full(n, -1)
+    place[rows] = np.arange(len(rows))
+    told = np.unique(token[place[at] >= 0])
+    if not len(told):
+        return out
+    column = np.minimum(np.searchsorted(told, token), len(told) - 1)
+    own = told[column] == token
+    at, column = at[own], column[own]
     order = np.argsort(column, kind="stable")
     at, column = at[order], column[order]
     step = 4096
-    last = int(column[-1]) + 1 if len(column) else 0
-    for low in range(0, last, step):
+    for low in range(0, len(told), step):
         a, b = np.searchsorted(column, (low, low + step))
-        dense = np.zeros((n, min(step, last - low)), np.float32)
+        dense = np.zeros((n, min(step, len(told) - low)), np.float32)
         dense[at[a:b], column[a:b] - low] = 1
-        out += dense @ dense.T
+        out += dense[rows] @ dense.T
     return out
 
 
-def links_of(ids: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], classes: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that span what is linked among documents of two blocks (side 0 and 1), or of one (all on side 0)."""
-    many = np.array([len(t) for t in tokens])
-    at = np.repeat(np.arange(len(ids)), many)
-    token, klass = np.concatenate(tokens), np.concatenate(classes)
-    size = np.repeat(n, many)
-    passed = (side[:, None] != side[None, :]) if side.any() else ~np.eye(len(ids), dtype=bool)
-    passed &= np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * percent
-    for order in range(len(ORDERS)):
-        if not passed.any():
-            return []
-        passed &= overlaps(token, at, len(ids), _prefix_mask(at, size, token, klass, order, percent)) > 0
-    if not passed.any():
-        return []
-    both = overlaps(token, at, len(ids)).astype(np.int64)
-    passed &= 100 * both >= percent * (n[:, None] + n[None, :] - both)
-    parent = list(range(len(ids)))
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    out = []
-    for a, b in np.argwhere(np.triu(passed | passed.T, 1)):
-        x, y = top(int(a)), top(int(b))
-        if x != y:
-            parent[y] = x
-            out.append((int(ids[a]), int(ids[b])))
-    return out
+class Block:
+    """Documents that are compared with each other, or those of side 0 with those of side 1."""
+
+    def __init__(self, rows: list[tuple], percent: int):
+        ids, n, tokens, classes, self.side, component, lead = zip(*rows, strict=True)
+        self.percent, self.ids, self.n, self.side = percent, ids, np.array(n, np.int64), np.array(self.side)
+        tokens = [np.frombuffer(t, "<u8") for t in tokens]
+        self.at = np.repeat(np.arange(len(ids)), [len(t) for t in tokens])
+        self.token, klass = np.concatenate(tokens), np.frombuffer(b"".join(classes), np.uint8)
+        size = self.n[self.at]
+        self.prefixes = [m for m in (_prefix_mask(self.at, size, self.token, klass, order, percent) for order in range(len(ORDERS)))]
+        self.component = np.unique(component, return_inverse=True)[1]
+        self.lead = [i for i, x in enumerate(lead) if x]
+        self.links: list[tuple[int, int]] = []
+
+    def compare(self, rows: np.ndarray) -> None:
+        """Link some rows with what they are similar to and not yet linked with."""
+        if not len(rows):
+            return
+        n = len(self.ids)
+        low, high = np.minimum(self.n[rows, None], self.n), np.maximum(self.n[rows, None], self.n)
+        passed = (self.component[rows, None] != self.component) & (low * 100 >= high * self.percent)
+        if self.side.any():
+            passed &= self.side[rows, None] != self.side
+        for prefix in self.prefixes:
+            live = passed.any(1)
+            rows, passed = rows[live], passed[live]
+            if not len(rows):
+                return
+            passed &= overlaps(self.token[prefix], self.at[prefix], n, rows) > 0
+        live = passed.any(1)
+        rows, passed = rows[live], passed[live]
+        if not len(rows):
+            return
+        both = overlaps(self.token, self.at, n, rows).astype(np.int64)
+        passed &= 100 * both >= self.percent * (self.n[rows, None] + self.n - both)
+        for i, j in np.argwhere(passed):
+            a, b = self.component[rows[i]], self.component[j]
+            if a != b:
+                self.component[self.component == b] = a
+                self.links.append((int(self.ids[rows[i]]), int(self.ids[j])))
+
+    def found(self) -> list[tuple[int, int]]:
+        """Links that join whatever is linked."""
+        for i in self.lead:
+            self.compare(np.array([i]))
+        if self.side.any():
+            rows = np.flatnonzero(self.side == 0)
+        else:
+            rows = np.flatnonzero(self.component != self.component[self.lead[0]]) if self.lead else np.arange(len(self.ids))
+        self.compare(rows)
+        return self.links
 
 
 def _verified(percent: int):
-    """Links from rows sorted by meeting; one meeting of two blocks is held at a time."""
+    """Links from rows sorted by meeting; one meeting is held at a time."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -335,10 +412,7 @@ def _verified(percent: int):
 
         def links() -> list[tuple[int, int]]:
             rows = [*dict.fromkeys(held)]
-            if len(rows) < 2:
-                return []
-            ids, n, side = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 4))
-            return links_of(ids, n, [np.frombuffer(r[2], "<u8") for r in rows], [np.frombuffer(r[3], np.uint8) for r in rows], side, percent)
+            return Block(rows, percent).found() if len(rows) > 1 else []
 
         def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
@@ -357,51 +431,89 @@ def _verified(percent: int):
     return go
 
 
-def _hot_tokens(summary: DataFrame):
-    """The hot tokens and their classes, broadcast: at most HOT times the mean size of a set."""
-    total = summary.where("kind = 0").count()
-    least = max(HOT_LEAST, total // HOT)
-    rows = summary.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
+def _compared(met: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links among documents that meet: rows (meeting, doc_id, side, component, lead)."""
+    met = met.join(found.select("doc_id", "n", "tokens", "classes"), "doc_id").select("meeting", "doc_id", "n", "tokens", "classes", "side", "component", "lead")
+    return met.repartition("meeting").sortWithinPartitions("meeting", "side", "doc_id").mapInArrow(_verified(percent), "u long, v long")
+
+
+def _hot_tokens(summary: DataFrame, total: int):
+    """The hot tokens and their classes, broadcast. The tasks' counts add up to `total` at most, so HOT tokens is the most."""
+    rows = summary.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT_LEAST, total // HOT + 1)).toPandas()
     token, order = np.unique(rows["k1"].to_numpy(np.int64).astype(np.uint64), return_index=True)
     return summary.sparkSession.sparkContext.broadcast((token, frequency_class(np.maximum(2, rows["n"].to_numpy(np.int64)[order]))))
 
 
 def records(docs: DataFrame, summary: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Of documents (doc_id, text) that may have a partner: their shared tokens, classes and prefix under the first order."""
-    total = summary.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = max(0, min(16, (int(total) // RANGE).bit_length()))
-    dealt = docs.mapInArrow(_dealt(width, bits, _hot_tokens(summary)), PACKED)
+    """Of documents (doc_id, text) that may have a partner: their shared tokens, classes and prefix under each order."""
+    total = int(summary.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    bits = min(31, (total // RANGE).bit_length())
+    dealt = docs.mapInArrow(_dealt(width, min(bits, HOP), _hot_tokens(summary, total)), PACKED)
     # Hot rows have negative parts, one for each part of the documents and sender.
-    shared = dealt.groupBy("part").applyInArrow(_returned(bits), PACKED)
-    return shared.groupBy("part").applyInArrow(_records(percent), RECORD)
+    shared = _in_steps(dealt, bits).groupBy("part").applyInArrow(_returned(min(bits, HOP)), PACKED)
+    return _in_steps(shared, bits).groupBy("part").applyInArrow(_records(percent), RECORD)
 
 
-def meetings(found: DataFrame) -> DataFrame:
-    """(doc_id, meeting, side): which documents meet where. Any two that share a prefix token meet; a block is of bounded size."""
-    postings = found.select("doc_id", F.explode("prefix").alias("token"))
+def blocks_of(found: DataFrame) -> DataFrame:
+    """(doc_id, leader, block) of documents that share prefix tokens; a block is of bounded size."""
+    postings = found.select("doc_id", F.explode(F.col("prefixes")[0]).alias("token"))
     leaders = postings.groupBy("token").agg(F.min("doc_id").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
-    postings = materialize(postings.join(leaders, "token"))
-    best = postings.groupBy("doc_id", "leader").count().groupBy("doc_id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
+    best = postings.join(leaders, "token").groupBy("doc_id", "leader").count().groupBy("doc_id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
     # Leaders of leaders gather what shares tokens step by step, such as many near copies, in few large blocks.
     best = materialize(best)
     for _ in range(HOPS):
         onward = best.select(F.col("doc_id").alias("leader"), F.col("leader").alias("onward"))
-        best = materialize(best.join(onward, "leader", "left").select("doc_id", F.coalesce("onward", "leader").alias("leader")))
-    best = best.join(found.select("doc_id", "n"), "doc_id")
-    parts = best.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("parts"))
-    blocks = materialize(best.join(parts, "leader").select("doc_id", F.xxhash64("leader", F.pmod(F.xxhash64("doc_id"), "parts")).alias("block")))
-    seen = postings.join(blocks, "doc_id").select("token", "block").distinct()
-    pairs = seen.alias("a").join(seen.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.block") < F.col("b.block"))).select(F.col("a.block").alias("a"), F.col("b.block").alias("b")).distinct()
-    pairs = pairs.select(F.xxhash64("a", "b").alias("meeting"), F.explode(F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side")))).alias("x"))
-    alone = blocks.groupBy("block").count().where("count > 1").select(F.xxhash64("block", F.lit("alone")).alias("meeting"), "block", F.lit(0).alias("side"))
-    return pairs.select("meeting", "x.block", "x.side").union(alone).join(blocks, "block").select("doc_id", "meeting", "side")
+        after = materialize(best.join(onward, "leader", "left").select("doc_id", F.coalesce("onward", "leader").alias("leader")))
+        forget(best)
+        best = after
+    sized = best.join(found.select("doc_id", "n"), "doc_id")
+    parts = sized.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("parts"))
+    blocks = materialize(best.join(parts, "leader").select("doc_id", "leader", F.xxhash64("leader", F.pmod(F.xxhash64("doc_id"), "parts")).alias("block")))
+    forget(best)
+    return blocks
+
+
+def around_leaders(blocks: DataFrame) -> DataFrame:
+    """Each block as one meeting, with its leader."""
+    with_leader = blocks.select(F.col("leader").alias("doc_id"), "leader", "block").distinct()
+    each = blocks.union(with_leader).groupBy("doc_id", "leader", "block").agg(F.lit(1))
+    return each.select(F.col("block").alias("meeting"), "doc_id", F.lit(0).alias("side"), F.col("doc_id").alias("component"), (F.col("doc_id") == F.col("leader")).alias("lead"))
+
+
+def across_components(found: DataFrame, blocks: DataFrame, joined: DataFrame) -> DataFrame | None:
+    """Meetings of blocks that share, under every order, prefix tokens across components; None if there are none."""
+    labelled = found.select("doc_id", "prefixes").join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", "prefixes", F.coalesce("component", "doc_id").alias("component"))
+
+    def across(postings: DataFrame) -> DataFrame:
+        """Postings of tokens that documents of several components share under an order."""
+        several = postings.groupBy("nth", "token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("nth", "token")
+        return postings.join(several, ["nth", "token"])
+
+    first = labelled.select("doc_id", "component", F.lit(0).alias("nth"), F.explode(F.col("prefixes")[0]).alias("token"))
+    open_ = materialize(across(first).select("doc_id").distinct())
+    if open_.isEmpty():
+        forget(open_)
+        return None
+    each = labelled.join(open_, "doc_id").select("doc_id", "component", F.posexplode("prefixes").alias("nth", "tokens"))
+    live = across(each.select("doc_id", "component", "nth", F.explode("tokens").alias("token"))).join(blocks.select("doc_id", "block"), "doc_id")
+    live = materialize(live)
+    seen = live.select("nth", "token", "block", "component").distinct()
+    a, b = (seen.select("nth", "token", F.col("block").alias(f"block_{x}"), F.col("component").alias(f"component_{x}")) for x in "ab")
+    met = a.join(b, ["nth", "token"]).where("block_a < block_b and component_a <> component_b").select("nth", "block_a", "block_b").distinct()
+    pairs = met.groupBy("block_a", "block_b").agg(F.count("*").alias("orders")).where(F.col("orders") == len(ORDERS))
+    sides = F.array(*(F.struct(F.col(f"block_{x}").alias("block"), F.lit(i).alias("side")) for i, x in enumerate("ab")))
+    pairs = pairs.select(F.xxhash64("block_a", "block_b").alias("meeting"), F.explode(sides).alias("x")).select("meeting", "x.block", "x.side")
+    # Of a block, those documents meet that share tokens across components under every order.
+    members = live.groupBy("doc_id", "component", "block").agg(F.countDistinct("nth").alias("orders")).where(F.col("orders") == len(ORDERS))
+    return pairs.join(members, "block").select("meeting", "doc_id", "side", "component", F.lit(False).alias("lead"))
 
 
 def similar_links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(u, v): links that join whatever is linked, of documents given by records()."""
-    met = meetings(found).join(found.select("doc_id", "n", "tokens", "classes"), "doc_id")
-    met = met.select("meeting", "doc_id", "n", "tokens", "classes", "side").repartition("meeting").sortWithinPartitions("meeting", "side", "doc_id")
-    return met.mapInArrow(_verified(percent), "u long, v long")
+    blocks = blocks_of(found)
+    near = materialize(_compared(around_leaders(blocks), found, percent))
+    met = across_components(found, blocks, components(near))
+    return near if met is None else near.union(materialize(_compared(met, found, percent)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
