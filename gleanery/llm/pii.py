@@ -4,7 +4,8 @@ One Aho-Corasick pass over a text finds anchors: at-signs, schemes, digits, plus
 anchor a deterministic local parser expands to both sides and validates what it finds. The base kinds are email, ip,
 card and phone; within a kind, spans are leftmost and do not overlap, and what fails its validation is dropped. The
 method adds url (scheme and host), account (IBANs that pass mod 97, and numbers after an account cue) and address
-(number and street word, in either order, after a capital).
+(number and street word, in either order, after a capital; at most STREET_WORDS words of any length between them).
+Parsers never look at a place twice as often as there are kinds, so the time follows the length of the text.
 
 A null text counts as empty and has no spans. Texts are read whole; positions are code points. Every row gives one
 row, so repeated rows are repeated; other columns are not looked at. An empty table gives an empty result.
@@ -29,10 +30,14 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s<>\"']*[^\s<>\"'.,;:!?)]")
+URL_REST = re.compile(r"://[^\s<>\"']*[^\s<>\"'.,;:!?)]")
+SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-ACCOUNT = re.compile(r"(?:\s*(?:no|nr|number|nummer|numéro|número)\b)?[\s.:#=-]{0,4}(?=[A-Z0-9-]*[0-9]{4})([A-Z]{0,4}[0-9][A-Z0-9-]{4,29}[A-Z0-9])(?![A-Za-z0-9])")
-STREET_AFTER = re.compile(r"(?<![\w.])[0-9]{1,5}[A-Za-z]?,? (?:[A-ZÀ-Þ][\w'-]* ){1,3}$")
+ACCOUNT = re.compile(r"(?:\s*(?:no|nr|number|nummer|numéro|número)\b)?[\s.:#=-]{0,4}(?=[A-Z0-9-]{0,31}[0-9]{4})([A-Z]{0,4}[0-9][A-Z0-9-]{4,29}[A-Z0-9])(?![A-Za-z0-9])")
+#: Words that may stand between the number of a house and the street word.
+STREET_WORDS = 3
+NAME = re.compile(r"[A-ZÀ-Þ][\w'-]*")
+NUMBER_BEFORE = re.compile(r"(?<![\w.])[0-9]{1,5}[A-Za-z]?,?$")
 STREET_BEFORE = re.compile(r",? (?:[A-ZÀ-Þa-zà-ÿ'-]+ ){0,3}[A-ZÀ-Þ][\w'-]* ?,? ?[0-9]{1,5}\b|,? ?[0-9]{1,5}[a-z]?\b")
 
 #: Words that stand before an account or personal number.
@@ -75,6 +80,19 @@ def automaton():
     return found
 
 
+def number_before(text: str, at: int) -> int | None:
+    """Where the number begins that stands, with one to STREET_WORDS names behind it, before a place; the leftmost."""
+    found, end = None, at
+    for _ in range(STREET_WORDS):
+        start = text.rfind(" ", 0, end) + 1
+        if not start or not NAME.fullmatch(text, start, end):
+            break
+        end = start - 1
+        if m := NUMBER_BEFORE.search(text[max(0, end - 8) : end]):
+            found = max(0, end - 8) + m.start()
+    return found
+
+
 _AUTOMATON: list = []
 
 
@@ -85,6 +103,7 @@ def spans_of(text: str) -> dict[str, list[tuple[int, int]]]:
     out: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
     last = dict.fromkeys(KINDS, 0)
     run = -2  # the last digit seen: only the first of a run is an anchor
+    letters_from = letters_to = 0  # letters before the last joined street word: looked at once
     for end, (kind, size) in _AUTOMATON[0].iter(text):
         at = end - size + 1
         if kind == "digit":
@@ -117,26 +136,29 @@ def spans_of(text: str) -> dict[str, list[tuple[int, int]]]:
                     out["phone"].append(m.span())
         elif kind == "scheme":
             start = at
-            while start > last["url"] and at - start < 32 and text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "+.-"):
+            while start > last["url"] and text[start - 1] in SCHEME:
                 start -= 1
-            if start < at and (m := URL.match(text, start)):
+            while start < at and not text[start].isalpha():
+                start += 1
+            if start < at and (m := URL_REST.match(text, at)):
                 last["url"] = m.end()
-                out["url"].append(m.span())
+                out["url"].append((start, m.end()))
         elif kind == "cue":
             if (at == 0 or not text[at - 1].isalnum()) and (m := ACCOUNT.match(text, at + size)) and m.start(1) >= last["account"]:
                 last["account"] = m.end(1)
                 out["account"].append(m.span(1))
         elif kind == "last":
-            head = text[max(0, at - 80) : at + 1]
-            if (at + size == len(text) or not text[at + size].isalnum()) and (m := STREET_AFTER.search(head)):
-                start = max(0, at - 80) + m.start()
-                if start >= last["address"]:
-                    last["address"] = at + size
-                    out["address"].append((start, at + size))
+            if (at + size == len(text) or not text[at + size].isalnum()) and (start := number_before(text, at)) is not None and start >= last["address"]:
+                last["address"] = at + size
+                out["address"].append((start, at + size))
         else:
             start = at
-            while kind == "joined" and start > 0 and text[start - 1].isalpha():
-                start -= 1
+            if kind == "joined":  # the street's name begins with the letters before
+                while start > letters_to and text[start - 1].isalpha():
+                    start -= 1
+                if start == letters_to and at > 0:
+                    start = letters_from
+                letters_from, letters_to = start, at
             whole = kind == "first" or text[start].isupper()
             if whole and (start == 0 or not text[start - 1].isalnum()) and (m := STREET_BEFORE.match(text, at + size - (kind == "first"))) and start >= last["address"]:
                 last["address"] = m.end()
