@@ -133,24 +133,40 @@ def score_texts(model: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(letters, best, -1), np.where(letters, score, 0.0)
 
 
+def predictions(model: dict, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text, in groups by size and of at most 512 texts, so that matrices stay small."""
+    names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    if model:
+        for a, b in grouped([t.encode() for t in texts]):
+            for c in range(a, b, 512):
+                best, score = score_texts(model, texts[c : min(b, c + 512)])
+                names[c : c + len(best)] = [model["languages"][k] if k >= 0 else UNKNOWN for k in best]
+                scores[c : c + len(best)] = score
+    return names, scores
+
+
+def _texts(column: pa.Array) -> list[str]:
+    return [x or "" for x in column.to_pylist()]
+
+
 def _predicted(shared):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            if model:
-                # Groups by size, and of at most 512 texts, so that matrices stay small.
-                for a, b in grouped([t.encode() for t in texts]):
-                    for c in range(a, b, 512):
-                        best, score = score_texts(model, texts[c : min(b, c + 512)])
-                        names[c : c + len(best)] = [model["languages"][k] if k >= 0 else UNKNOWN for k in best]
-                        scores[c : c + len(best)] = score
+            names, scores = predictions(shared.value, _texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return go
 
 
+def _known(shared, at: int, least: float):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = predictions(shared.value, _texts(batch.column(at)))
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return go
+
+
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score, from the text alone."""
     ready(docs.sparkSession)
@@ -173,8 +189,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def filter_known(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The documents whose language is known with at least the given score, with all their columns."""
-    found = identify(docs).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id").where("doc_id is not null").distinct()
-    from .common import keep_ids, materialize
+    """The rows whose text has a known language with at least the given score, with all their columns.
 
-    return keep_ids(docs, materialize(found), "doc_id", "left_anti")
+    Each row is judged by its own text: rows that share a doc_id, or have none, do not matter to each other.
+    """
+    ready(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(learn(named(docs, doc_id="doc_id", text="text", lang="lang"), ~held_out()))
+    return docs.mapInArrow(_known(shared, docs.columns.index("text"), least), docs.schema)
