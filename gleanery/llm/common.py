@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -30,20 +32,28 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; an own one only where all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='gleanery-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_WRITTEN: list[list[DataFrame]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    if _WRITTEN:
+        _WRITTEN[-1].append(written)
+    return written
 
 
 def forget(df: DataFrame) -> None:
@@ -55,15 +65,46 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at its end, the tables that materialize() wrote inside, but for those given to the function it yields."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _WRITTEN.append([])
+    try:
+        yield keep
+    finally:
+        for df in _WRITTEN.pop():
+            if not any(df is k for k in kept):
+                forget(df)
+        if _WRITTEN:
+            _WRITTEN[-1].extend(kept)
+
+
+def fresh_names(docs: DataFrame, *names: str) -> list[str]:
+    """Names that no column of a table has (Spark does not tell capitals from small letters)."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     """Semi or anti join of whole documents with a written one-column table of ids.
 
     Up to BROADCAST_ROWS ids are broadcast, so that the documents do not move; more are shuffled.
     """
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    other = "__id"
-    while other in docs.columns:
-        other += "_"
+    (other,) = fresh_names(docs, "id")
     ids = ids.select(F.col(ids.columns[0]).alias(other))
     return docs.join(F.broadcast(ids) if small else ids, F.col(key) == F.col(other), how)
 

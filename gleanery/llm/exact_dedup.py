@@ -2,14 +2,15 @@
 
 A text is cut where its own content says so: after LEAST characters, behind the first space that follows one of
 CUT_AFTER and one more letter, or after MOST characters. So equal passages give equal chunks wherever they stand. A
-chunk's identifier is the 64-bit hash of its content and length. A dictionary of the distinct chunks (hash and
-SHA-256) verifies that no identifier stands for two chunks; if one does, the 256-bit digests are the identifiers.
-Documents are equal if their ordered lists of identifiers are. No text is shuffled: a chunk moves as 40 bytes,
-map-side combined, and a document as 8 bytes for each chunk.
-
-Null texts count as empty, and all empty texts are equal. Rows that share a doc_id are one document: all of them
-are reported with the same keep_id, and deduplicate() leaves one. A null doc_id sorts last and is kept only if its
-group has no other id. Other columns are not looked at. An empty table gives an empty result.
+chunk's identifier is the 64-bit hash of its content and length. Texts are read and cut once; identifiers and SHA-256
+digests of the chunks, 40 bytes each, are written. From them comes the dictionary of distinct chunks, which verifies that
+no identifier stands for two; if one does, the digests are the identifiers. Documents are equal if their ordered lists of
+identifiers are. Large groups (more than 1 of LARGE documents, so less than LARGE of them) are broadcast, and so are
+their lists, which hold at most LARGE times the mean; no group gathers in one task.
+
+Null texts count as empty, and all empty texts are equal. Rows that share a doc_id are reported with the same keep_id
+if their texts are equal. A null doc_id sorts last and is kept only if its group has no other id. Other columns are not
+looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, keep_ids, materialize, named
+from .common import BROADCAST_ROWS, WHITE, fresh_names, materialize, named
 
 LEAST, MOST, CUT_AFTER = 256, 2048, "bdgkmpx"
 
@@ -32,49 +33,67 @@ def chunks_of(text: Column, least: int = LEAST, most: int = MOST) -> Column:
     return F.regexp_extract_all(text, F.lit(cut), F.lit(0))
 
 
-def dictionary(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The distinct chunks of all documents: hash (of content and length), digest and how often each occurs."""
-    chunk = F.explode(chunks_of(normalised(docs[text]))).alias("chunk")
-    return (
-        docs.select(chunk)
-        .select(F.xxhash64("chunk", F.length("chunk")).alias("hash"), F.unhex(F.sha2("chunk", 256)).alias("digest"))
-        .groupBy("hash", "digest")
-        .agg(F.count("*").alias("occurrences"))
-    )
+#: Groups of more than 1 of so many documents, and of LARGE_LEAST, are joined by broadcast.
+LARGE, LARGE_LEAST = 1024, 64
+
+
+def recipes(docs: DataFrame) -> DataFrame:
+    """doc_id, text_sha256, and the identifiers and digests of the chunks of each text, in order."""
+    clean = docs.select("doc_id", normalised(docs["text"]).alias("text")).withColumn("chunks", chunks_of(F.col("text")))
+    identifiers = F.transform("chunks", lambda c: F.xxhash64(c, F.length(c)))
+    digests = F.transform("chunks", lambda c: F.unhex(F.sha2(c, 256)))
+    return clean.select("doc_id", F.sha2("text", 256).alias("text_sha256"), identifiers.alias("recipe"), digests.alias("digests"))
+
 
+def dictionary(listed: DataFrame) -> DataFrame:
+    """The distinct chunks of recipes: identifier, digest and how often each occurs."""
+    return listed.select(F.inline(F.arrays_zip("recipe", "digests"))).groupBy("recipe", "digests").agg(F.count("*").alias("occurrences"))
 
-def recipes(docs: DataFrame, verified: bool) -> DataFrame:
-    """doc_id, text_sha256 and the ordered identifiers of the chunks of each text."""
-    identifier = (lambda c: F.xxhash64(c, F.length(c))) if verified else (lambda c: F.unhex(F.sha2(c, 256)))
-    clean = docs.select("doc_id", normalised(docs["text"]).alias("text"))
-    return clean.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.transform(chunks_of(F.col("text")), identifier).alias("recipe"))
+
+def verified(listed: DataFrame) -> DataFrame:
+    """doc_id, text_sha256 and the recipe: identifiers, or digests if an identifier stands for two chunks."""
+    clashes = dictionary(listed).groupBy("recipe").agg(F.count("*").alias("c")).where("c > 1")
+    if clashes.isEmpty():
+        return listed.drop("digests")
+    return listed.select("doc_id", "text_sha256", F.col("digests").alias("recipe"))
+
+
+def grouped_by_recipe(listed: DataFrame) -> DataFrame:
+    """The rows of verified() with keep_id and group_size."""
+    groups = listed.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    most = max(LARGE_LEAST, listed.count() // LARGE)
+    large = F.broadcast(groups.where(F.col("group_size") > most))
+    others = listed.join(large.select("recipe"), "recipe", "left_anti").join(groups.where(F.col("group_size") <= most), "recipe", "left")
+    return listed.join(large, "recipe").unionByName(others)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    docs = named(docs, doc_id=id_col, text=text_col)
-    collided = dictionary(docs).groupBy("hash").agg(F.count("*").alias("digests")).where("digests > 1")
-    listed = recipes(docs, verified=collided.isEmpty())
-    groups = listed.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    listed = materialize(recipes(named(docs, doc_id=id_col, text=text_col)))
     return (
-        listed.join(groups, "recipe", "left")
-        .select(
-            "doc_id",
-            F.coalesce("keep_id", "doc_id").alias("keep_id"),
-            F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-            "text_sha256",
-        )
+        grouped_by_recipe(verified(listed))
+        .select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "text_sha256")
         .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     )
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; repeated rows of one id leave one row."""
-    found = materialize(exact_groups(docs, id_col, text_col).where("group_size > 1").select("doc_id", "kept"))
-    twice = materialize(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    gone = found.where("not kept").select("doc_id").distinct()
-    kept = keep_ids(docs, materialize(gone), id_col, "left_anti")
+    """The rows that stay, with all their columns: one of each group of equal texts.
+
+    Rows are told apart by id and text, so rows that share an id but not a text do not matter to each other. Of rows
+    that share both, one stays.
+    """
+    found = materialize(exact_groups(docs, id_col, text_col).where("group_size > 1").select("doc_id", "text_sha256", "kept"))
+    twice = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", "text_sha256", F.lit(True).alias("twice"))
+    gone = found.where("not kept").select("doc_id", "text_sha256", F.lit(False).alias("twice")).distinct()
+    marked = materialize(gone.unionByName(twice))
+    small = marked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    names = fresh_names(docs, "id", "sha", "twice")
+    marked = marked.toDF(*names)
+    own, sha, flag = names
+    joined = docs.join(F.broadcast(marked) if small else marked, docs[id_col].eqNullSafe(F.col(own)) & (F.sha2(normalised(docs[text_col]), 256) == F.col(sha)), "left")
+    once = joined.where(F.col(flag).isNull()).select(*docs.columns)
     if twice.isEmpty():
-        return kept
-    repeated = keep_ids(kept, twice, id_col, "left_semi").dropDuplicates([id_col])
-    return keep_ids(kept, twice, id_col, "left_anti").unionByName(repeated)
+        return once
+    repeated = joined.where(flag).groupBy(own, sha).agg(*(F.first(F.col(c)).alias(c) for c in docs.columns)).select(*docs.columns)
+    return once.unionByName(repeated)
