@@ -4,6 +4,10 @@ A document is its token ids and one end-of-document id. It is cut into as many p
 into the powers of two that make up the rest, largest first. Pieces of one length form a bucket, and each piece is a
 sequence of its own: no sequence crosses documents and none needs padding. `limit` is a power of two.
 
+Pieces are written, dealt into their buckets (parts of about PART pieces, by content) and numbered there in the order of
+document, start and ids. So a sequence_id tells bucket, part and place, and does not depend on how the input was
+partitioned or on retries. Equal rows are interchangeable. write_buckets() stores one folder for each length.
+
 A null or empty text gives one piece with the end id alone. Every row gives its own pieces (repeated rows too), other
 columns are not looked at, and an empty table gives an empty result. Long texts are tokenised whole.
 """
@@ -15,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import named, ready
+from .common import materialize, named, ready
 from .letters import byte_letters
 
 #: GPT-2's split pattern, as the pre-tokenizer of byte-level vocabularies applies it. Fixed value.
@@ -68,10 +72,15 @@ def _pieces(path: str, limit: int, end_id: int, schema: pa.Schema):
     return go
 
 
+#: Pieces of one part of a bucket, on average.
+PART = 1 << 15
+
+
 def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length (also the bucket), doc_tokens, ids, sequence_id, offset.
 
-    ids: little-endian unsigned 32-bit. sequence_id is unique; offset is 0, as each sequence holds one piece.
+    ids: little-endian unsigned 32-bit. sequence_id is unique: the exponent of the length in 5 bits, part, and place in 34
+    bits; offset is 0, as each sequence holds one piece.
     """
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")
@@ -82,9 +91,19 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, end_id: int = 0, id
 
     arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
     pieces = docs.mapInArrow(_pieces(tokenizer, limit, end_id, arrow), schema)
-    return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    pieces = materialize(pieces)
+    parts = 1 << max(0, (pieces.count() // PART).bit_length())
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(parts)))
+    place = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids"))
+    number = F.shiftleft(F.log2("length").cast("long"), 58) + F.shiftleft(F.col("part"), 34) + place
+    return pieces.withColumn("sequence_id", number).withColumn("offset", F.lit(0).cast("long")).drop("part")
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """The pieces of pack(), one folder for each length."""
+    pieces.write.partitionBy("length").parquet(path)
 
 
-def digests(pieces: DataFrame) -> DataFrame:
-    """The contract's columns, from the pieces of pack()."""
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+def digests(pieces: DataFrame, *more: str) -> DataFrame:
+    """The contract's columns, from the pieces of pack(), and what else is asked for."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", *more)
