@@ -37,7 +37,7 @@ def _small_star(links: DataFrame, most: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): each linked node and the least node of its component. links: columns u and v, no nulls.
+    """(node, component), written: each linked node and the least node of its component. links: columns u and v, no nulls.
 
     Each round is written to the shared folder, so a lost executor costs one round at most. Rounds end when the links
     are stars already, after O(log n) of them in practice.
@@ -55,4 +55,6 @@ def components(links: DataFrame) -> DataFrame:
             break
         seen = told
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = materialize(nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    forget(now)
+    return found

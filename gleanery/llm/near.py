@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, forget, grouped, keep_ids, materialize, mix, named, ready, words_of
+from .common import BROADCAST_ROWS, forget, grouped, keep_ids, materialize, mix, named, ready, scratch, words_of
 from .components import components
 
 WIDTH, PERCENT = 5, 75
@@ -521,19 +521,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ready(docs.sparkSession)
     docs = named(docs, doc_id=id_col, text=text_col)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    summary = materialize(docs.mapInArrow(_summaries(width), "kind int, doc_id long, n long, k1 long, k2 long"))
-    rows = summary.where("kind = 0").drop("kind")
-    classes = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("c")).where("c > 1").drop("c")
-    small = classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    classed = rows.join(F.broadcast(classes) if small else classes, ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
-    classed = materialize(classed)
-    copies = materialize(classed.where("doc_id <> class_id or n = 0").select("doc_id").distinct())
-    found = materialize(records(keep_ids(docs.where("doc_id is not null"), copies, "doc_id", "left_anti"), summary, width, percent))
-    # A doc_id on several rows with different texts is one node, so its classes are linked as well.
-    several = classed.where("doc_id <> class_id").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))
-    twice = classed.groupBy("doc_id").agg(F.countDistinct("class_id").alias("c")).where("c > 1").select(F.col("doc_id").alias("u"))
-    links = similar_links(found, percent).union(several.join(twice, "u", "left_semi"))
-    joined = materialize(components(links))
+    with scratch() as keep:
+        summary = materialize(docs.mapInArrow(_summaries(width), "kind int, doc_id long, n long, k1 long, k2 long"))
+        rows = summary.where("kind = 0").drop("kind")
+        classes = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("c")).where("c > 1").drop("c")
+        small = classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        classed = rows.join(F.broadcast(classes) if small else classes, ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
+        classed = keep(materialize(classed))
+        copies = materialize(classed.where("doc_id <> class_id or n = 0").select("doc_id").distinct())
+        found = materialize(records(keep_ids(docs.where("doc_id is not null"), copies, "doc_id", "left_anti"), summary, width, percent))
+        # A doc_id on several rows with different texts is one node, so its classes are linked as well.
+        several = classed.where("doc_id <> class_id").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))
+        twice = classed.groupBy("doc_id").agg(F.countDistinct("class_id").alias("c")).where("c > 1").select(F.col("doc_id").alias("u"))
+        joined = keep(components(similar_links(found, percent).union(several.join(twice, "u", "left_semi"))))
     small = joined.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = F.broadcast(joined) if small else joined
     return classed.join(joined, classed["class_id"] == joined["node"], "left").select(
@@ -542,6 +542,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The documents that stay, with all their columns: of each component the one with the least id."""
-    gone = near_duplicates(docs, id_col, text_col, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return keep_ids(docs, materialize(gone), id_col, "left_anti")
+    """The documents that stay, with all their columns: of each component the one with the least id.
+
+    Rows that share a doc_id are one document and stay or go together. Rows without a doc_id link with nothing and stay.
+    """
+    with scratch() as keep:
+        gone = near_duplicates(docs, id_col, text_col, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
+        gone = keep(materialize(gone))
+    return keep_ids(docs, gone, id_col, "left_anti")
