@@ -2,7 +2,9 @@
 
 Language ID drops documents without a known language; exact dedup leaves one of equal texts; the n-gram join leaves one
 of each group of near copies; personal data are replaced by their kinds; packing cuts what is left into sequences.
-Each stage reads what the one before wrote. Null texts have no known language and go first.
+Each stage reads what the one before wrote. Null texts have no known language and go first. Rows are judged by their own
+text, except that rows which share a doc_id are one document to the n-gram join. The last stage gives the sequences: the
+contract's columns and the token ids.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import exact_dedup, language, near, packing, pii
-from gleanery.llm.common import materialize
+from gleanery.llm.common import forget, materialize, scratch
 from gleanery.llm.vocabularies import vocabulary
 
 #: Least score of a language that is trusted.
@@ -37,7 +39,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.digests(packing.pack(docs, vocabulary("byte_bpe_50k.json")))
+    return packing.digests(packing.pack(docs, vocabulary("byte_bpe_50k.json")), "ids")
 
 
 STAGES = [
@@ -54,6 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch() as keep:  # what a stage wrote on its way is deleted with it
+            after = keep(materialize(stage(spark, docs, sf_dir)))
+        if i:
+            forget(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
