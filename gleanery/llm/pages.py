@@ -3,10 +3,11 @@
 A page becomes a tree; elements that never hold an article's text (by tag, role, or a name among their classes or as
 id) are taken out. A name counts as a whole, or in a compound of such names and words for places and boxes; ids of
 headings and paragraphs, and in an article of all but boxes, are made from text and do not count. Every node gets its composite density: characters a tag, lowered by the share of characters inside links.
-The sum of its children's densities tells how much a node gathers; the subtree of the largest sum is chosen. From
-there the choice climbs towards the body: to an enclosing article or main element, and else as long as all that a
-parent adds is dense enough for the threshold, the least density on the path from the chosen node to the body, or a
-heading. Inside the choice only blocks that are mostly links fall away, and none that an article or main element holds.
+The sum of its children's densities tells how much a node gathers; the subtree of the largest sum is chosen, whatever its
+elements are called. From there the choice climbs towards the body as long as what a parent adds belongs to it: headings,
+plain blocks, and boxes like the chosen one that are dense enough for the threshold, the least density on the path from
+the first choice to the body. Outside an article or main element all that is added must belong, inside one three quarters.
+Inside the choice only blocks that are mostly links fall away, and none that an article or main element holds.
 
 A block is what one block-level element holds between others. Character references are decoded, white space inside a
 block becomes one space, and blocks are joined by a line feed, in page order. A tag that the end of the page cuts off
@@ -46,16 +47,17 @@ OUT_NAMES = re.compile(r"^(ad|ads|adv|advert|adverts|advertisement|advertising|b
 BESIDE = {"", "area", "bar", "bottom", "box", "btn", "button", "buttons", "container", "form", "global", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "posts", "primary", "right", "secondary", "site", "slot", "top", "unit", "wrap", "wrapper"}
 #: Elements whose id counts in an article, where those of others are made from headings.
 BOXES = {"div", "ul", "ol", "table"}
-MAIN_NAMES = re.compile(r"^(article|main|story)$")
+#: Blocks that hold text, not other parts of a page.
+PLAIN = {"p", "ul", "ol", "dl", "pre", "blockquote", "table", "figure", "li", "dd", "dt", "tr", "td", "th", "tbody", "thead", "hr", "details", "summary", "figcaption", "caption"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "main", "inside", "chars", "tags", "link_chars", "link_tags", "density", "gathered")
+    __slots__ = ("tag", "parent", "children", "look", "main", "inside", "chars", "tags", "link_chars", "link_tags", "heading_chars", "density", "gathered")
 
-    def __init__(self, tag: str, parent: Node | None, main: bool = False, inside: bool = False):
-        self.tag, self.parent, self.main, self.inside = tag, parent, main, inside
+    def __init__(self, tag: str, parent: Node | None, look: str = "", main: bool = False, inside: bool = False):
+        self.tag, self.parent, self.look, self.main, self.inside = tag, parent, look, main, inside
         self.children: list[Node | str] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.heading_chars = 0
         self.density = self.gathered = 0.0
 
 
@@ -157,9 +159,8 @@ def parsed(page: str) -> Node:
             elif tag not in INLINE:
                 now.children.append(Node(tag, now))
             continue
-        names = f"{told.get('class', '')} {told.get('id', '')}".lower().split()
         article_itself = tag in ("article", "main") or told.get("role") in ("main", "article")
-        node = Node(tag, now, article_itself or any(MAIN_NAMES.match(n) for n in names), now.inside or article_itself)
+        node = Node(tag, now, told.get("class", ""), tag == "main" or told.get("role") == "main", now.inside or article_itself)
         now.children.append(node)
         if not raw and tag not in VOID:
             article += tag in ("article", "main")
@@ -184,8 +185,11 @@ def measure(root: Node) -> list[Node]:
                 node.tags += child.tags + 1
                 node.link_chars += child.link_chars
                 node.link_tags += child.link_tags + (child.tag == "a")
+                node.heading_chars += child.heading_chars
         if node.tag == "a":
             node.link_chars = node.chars
+        if node.tag in HEADINGS:
+            node.heading_chars = node.chars
     whole = max(1, root.chars)
     links = root.link_chars / whole
     for node in order:
@@ -200,25 +204,32 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def belongs(added: Node | str, best: Node, threshold: float) -> bool:
+    """Whether what a parent adds to the choice is of the same text."""
+    if isinstance(added, str) or added.tag in HEADINGS or added.heading_chars == added.chars:
+        return True
+    if added.link_chars * 2 > added.chars:
+        return False
+    if added.tag in PLAIN or added.tag in INLINE:
+        return True
+    return (added.inside or (added.tag, added.look) == (best.tag, best.look)) and added.density >= threshold
+
+
 def chosen(root: Node) -> Node:
     order = measure(root)
-    best = max(reversed(order), key=lambda n: n.gathered)
-    path, node = [], best
-    while node is not None:
-        path.append(node)
-        if node.tag == "body":
-            break
-        node = node.parent
-    threshold = min((n.density for n in path if n.density), default=0.0)
-    mains = [n for n in path if n.main]
-    if mains:
-        return mains[-1]
-    while best.parent is not None and best.tag != "body":
-        parent = best.parent
-        rest = [c for c in parent.children if c is not best and (c.strip() if isinstance(c, str) else c.chars)]
-        if not all(isinstance(c, Node) and (c.tag in HEADINGS or c.tag in INLINE or c.density >= threshold) for c in rest):
+    best = node = max(reversed(order), key=lambda n: n.gathered)
+    path = []
+    while node is not None and node is not root:
+        path.append(node.density)
+        node = None if node.tag == "body" else node.parent
+    threshold = min((d for d in path if d), default=0.0)
+    while best.parent is not None and best.tag != "body" and not best.main:
+        added = [c for c in best.parent.children if c is not best and (c.strip() if isinstance(c, str) else c.chars)]
+        size = [len(c) if isinstance(c, str) else c.chars for c in added]
+        other = sum(n for c, n in zip(added, size, strict=True) if not belongs(c, best, threshold))
+        if other * 4 > (sum(size) + best.chars) * best.parent.inside:
             break
-        best = parent
+        best = best.parent
     return best
 
 
