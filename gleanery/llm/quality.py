@@ -1,12 +1,24 @@
-"""Quality rules with a character model.
-
-The base rules count words, symbols, repeated lines and repeated windows of eight words of each text. The verdict of
-the method is a perplexity: a modified Kneser-Ney model of four symbols for each language, counted over all documents
-by Spark (packed counts, combined in the tasks, then summed by language and range), is kept in arrays sorted by the
-24-bit number of an n-gram, which is a perfect hash. Sizes have a bound, 64^4 n-grams a language, whatever the corpus
-holds. A document is rejected if its perplexity lies outside its language's band: BAND quartile distances of the
-logarithm beyond the quartiles, over all documents of the language, and more for short texts, whose perplexity varies
-with the root of their length (SHORT characters: twice the band).
+"""Quality rules with a byte model of words.
+
+The base rules count words, symbols, repeated lines and repeated windows of eight words of each text. The verdict of the
+method is a perplexity a word, of a modified Kneser-Ney model of ORDER bytes whose contexts end at the white space before
+the word. All documents are counted, by language and fold (half of the texts, told by their hash, so that exact copies
+stay together), and each document is scored by the other fold's model; so a text never vouches for itself. The number of
+n-grams has no bound but 256^ORDER and grows with the corpus.
+
+1. Documents are dealt into chunks of about CHUNK bytes. A task turns a chunk into its distinct n-grams and their counts:
+   sorted arrays of their numbers (a perfect hash), one pair for each language and part.
+2. A part is the two bytes before the last. All that smoothing needs for orders 3 and up (contexts, shorter n-grams,
+   continuations) lies in the same part, so parts are summed (chunks first in groups of GROUP) and smoothed on their own.
+   Orders 1 and 2 (256^2 numbers) and the discounts are made for each language from what its parts tell.
+3. Each chunk's n-grams meet the other fold's part and return with their probabilities. Nothing of the model comes to
+   the driver, and no task holds more than a part or a chunk.
+4. Chunks meet their answers, and each text's probabilities are summed.
+
+A document is rejected if its perplexity lies outside its language's band: BAND quartile distances of the logarithm
+beyond the quartiles, over all documents of the language that pass the base rules, and more for short texts, whose
+perplexity varies with the root of their length (SHORT characters: twice the band). Quartiles are those of the logarithm
+in thousandths, by counting, so they do not depend on how the table is partitioned.
 
 The language is the column `lang`; rows without one form a language of their own. A null text has no words and fails
 the base rules. Every row gives one row; other columns are not looked at; an empty table gives an empty result.
@@ -18,52 +30,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import grouped, materialize, mix, named, ready, words_of
-from .letters import categories, code_points
+from .common import BROADCAST_ROWS, grouped, materialize, mix, named, ready, words_of
 
 LEAST_WORDS, REPEATED_PERCENT, WINDOW = 20, 30, 8
-BAND, SHORT = 2.0, 400
-SYMBOLS, ORDER = 64, 4
+BAND, SHORT = 3.0, 400
+#: Bytes of an n-gram (7 at most), and the lowest order that parts hold.
+ORDER, LOWEST = 7, 3
+#: Bytes of text of a chunk, and chunks whose counts are summed at a time.
+CHUNK, GROUP = 1 << 25, 256
 #: Characters that count as symbols, by the rule's definition.
 MARKS = "#*$%&|<>"
 
-_TABLE: list[np.ndarray] = []
-
-
-def symbol_table() -> np.ndarray:
-    """The model's symbol of each code point: space, a to z, digit, some punctuation, marks, capitals, other letters, rest."""
-    if not _TABLE:
-        kind = categories()
-        table = np.full(0x110000, 63, np.uint32)
-        table[kind == 1] = 42 + np.flatnonzero(kind == 1) % 20
-        table[kind == 2] = 27
-        table[kind == 3] = 0
-        for i in range(26):
-            table[97 + i] = 1 + i
-            table[65 + i] = 40
-        for i, c in enumerate(".,!?'\"-:;()"):
-            table[ord(c)] = 28 + i
-        for c in MARKS:
-            table[ord(c)] = 39
-        capital = [ord(c) for c in map(chr, range(192, 0x250)) if c.isupper()]
-        table[capital] = 41
-        _TABLE.append(table)
-    return _TABLE[0]
-
-
-def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of the n-grams that end at each character of each text (spaces stand before it), and where each text's begin."""
-    points, begin = code_points(["   " + t for t in texts])
-    s = symbol_table()[points]
-    code = np.zeros(len(s), np.uint32)
-    code[3:] = ((s[:-3] * 64 + s[1:-2]) * 64 + s[2:-1]) * 64 + s[3:]
-    own = np.ones(len(s), bool)
-    for k in range(3):
-        own[begin[:-1] + k] = False
-    return code[own], begin - 3 * np.arange(len(begin))
+_WHITE = np.zeros(256, bool)
+_WHITE[[0, 9, 10, 11, 12, 13, 32]] = True
+
+
+def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that end at each byte of each text, as numbers, and where each text's begin.
+
+    An n-gram reaches back to the white space before the word (that of a space: before the word it ends); the bytes
+    before that are 0.
+    """
+    pad = bytes(ORDER - 1)
+    data = np.frombuffer(b"".join(pad + t for t in texts), np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    code = np.zeros(len(data), np.uint64)
+    for k in range(ORDER):
+        code[k:] |= data[: len(data) - k].astype(np.uint64) << np.uint64(8 * k)
+    place = np.arange(len(data))
+    white = _WHITE[data]
+    last = np.maximum.accumulate(np.where(white, place, -1))
+    before = np.where(white, np.concatenate([[-1], last[:-1]]), last)
+    code &= _MASK[np.minimum(ORDER, place - before + 1)]
+    own = np.repeat((ORDER - 1) * np.arange(1, len(texts) + 1), size) + np.arange(int(begin[-1]))
+    return code[own], begin
+
+
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(ORDER + 1)], np.uint64)
 
 
 # --- counts and model ----------------------------------------------------------------------------------------------
@@ -71,98 +79,196 @@ def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     code, count = np.concatenate(codes), np.concatenate(counts)
-    order = np.argsort(code)
+    order = np.argsort(code, kind="stable")
     code, count = code[order], count[order]
     first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
     return code[first], np.add.reduceat(count, first) if len(first) else count
 
 
-COUNTS = "lang string, part int, codes binary, counts binary"
+NOTHING = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+#: Codes and counts of both folds.
+ARRAYS = "codes0 binary, counts0 binary, codes1 binary, counts1 binary"
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The n-gram counts of a task, by language, one row for each first symbol."""
-    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        texts, langs = [x or "" for x in batch.column(0).to_pylist()], batch.column(1).to_pylist()
-        for a, b in grouped([t.encode() for t in texts]):
-            codes, begin = grams_of(texts[a:b])
-            for lang in set(langs[a:b]):
-                own = np.sort(np.concatenate([codes[begin[i] : begin[i + 1]] for i in range(b - a) if langs[a + i] == lang]))
-                first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
-                fresh = own[first], np.diff(np.append(first, len(own))).astype(np.int64)
-                old = held.get(lang)
-                held[lang] = fresh if old is None else _merged([old[0], fresh[0]], [old[1], fresh[1]])
-    rows = []
-    for lang, (codes, counts) in held.items():
-        edge = np.searchsorted((codes >> np.uint32(18)).astype(np.int64), np.arange(SYMBOLS + 1))
-        rows += [(lang, k, codes[edge[k] : edge[k + 1]].astype("<u4").tobytes(), counts[edge[k] : edge[k + 1]].astype("<i8").tobytes()) for k in range(SYMBOLS) if edge[k] < edge[k + 1]]
-    kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["lang", "part", "codes", "counts"])
+def _packed(code: np.ndarray, count: np.ndarray) -> tuple[bytes, bytes]:
+    return code.astype("<u8").tobytes(), count.astype("<u4" if not len(count) or count.max() < 1 << 32 else "<u8").tobytes()
 
 
-def _summed(table: pa.Table) -> pa.Table:
+def _unpacked(codes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    code = np.frombuffer(codes, "<u8")
+    return code, np.frombuffer(counts, "<u4" if len(counts) == 4 * len(code) else "<u8").astype(np.int64)
+
+
+def part_of(code: np.ndarray) -> np.ndarray:
+    return ((code >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)
+
+
+def fold_of(text: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text) & 1
+
+
+def _by_fold(texts: list[bytes], langs: list[str]) -> Iterator[tuple[tuple[str, int], np.ndarray, np.ndarray, np.ndarray]]:
+    """For each language and fold among texts: their places, n-grams and where each text's begin."""
+    kinds = [(lang, fold_of(text)) for lang, text in zip(langs, texts, strict=True)]
+    for kind in dict.fromkeys(kinds):
+        own = np.array([i for i, k in enumerate(kinds) if k == kind])
+        yield kind, own, *grams_of([texts[i] for i in own])
+
+
+def _table(rows: list[tuple], names: str, kinds: list[pa.DataType]) -> pa.Table:
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names.split(), kinds, strict=True))})
+
+
+_KINDS = {"lang": pa.string(), "part": pa.int64(), "salt": pa.int64(), "chunk": pa.int64()}
+
+
+def _arrays(keys: str, rows: list[tuple]) -> pa.Table:
+    return _table(rows, f"{keys} codes0 counts0 codes1 counts1", [*(_KINDS[k] for k in keys.split()), *[pa.binary()] * 4])
+
+
+def _counted(groups: int):
+    """The n-grams of each chunk and their counts, one row for each language and part."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            texts, langs, chunks = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()], batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for a, b in grouped(texts):
+                for (key, fold), _, codes, _ in _by_fold(texts[a:b], list(zip(chunks[a:b], langs[a:b], strict=True))):
+                    lists = held.setdefault((key, fold), [])
+                    lists.append(np.unique(codes, return_counts=True))
+                    if sum(len(x) for x, _ in lists) > 3 * len(lists[0][0]) + (1 << 18):
+                        lists[:] = [_merged(*zip(*lists, strict=True))]
+        for chunk, lang in {key: None for key, _ in held}:
+            parts: dict[int, list] = {}
+            for fold in (0, 1):
+                codes, counts = _merged(*zip(*held.pop(((chunk, lang), fold), [NOTHING]), strict=True))
+                order = np.argsort(part_of(codes), kind="stable")
+                codes, counts, part = codes[order], counts[order], part_of(codes[order])
+                edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else [], len(part)).astype(np.int64)
+                for x, y in zip(edge[:-1], edge[1:], strict=True):
+                    parts.setdefault(int(part[x]), [_packed(*NOTHING), _packed(*NOTHING)])[fold] = _packed(codes[x:y], counts[x:y])
+            yield from _arrays("lang part salt chunk", [(lang, part, chunk % groups, chunk, *x, *y) for part, (x, y) in parts.items()]).combine_chunks().to_batches()
+
+    return go
+
+
+def _sum(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of the rows of one part, the codes and counts of each fold."""
     rows = table.to_pylist()
-    code, count = _merged([np.frombuffer(r["codes"], "<u4") for r in rows], [np.frombuffer(r["counts"], "<i8") for r in rows])
-    return pa.table({"lang": pa.array([rows[0]["lang"]], pa.string()), "part": pa.array([rows[0]["part"]], pa.int32()), "codes": pa.array([code.tobytes()], pa.binary()), "counts": pa.array([count.tobytes()], pa.binary())})
+    return [_merged(*zip(*(_unpacked(r[f"codes{f}"], r[f"counts{f}"]) for r in rows), strict=True)) for f in (0, 1)]
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    row = [x for fold in _sum(table) for x in _packed(*fold)]
+    return _arrays("lang part", [(table["lang"][0].as_py(), table["part"][0].as_py(), *row)])
+
 
+def levels(code: np.ndarray, count: np.ndarray, lowest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """N-grams and their counts, from ORDER down; below, the counts are how many bytes stand before an n-gram."""
+    out = [(code, count)]
+    for k in range(ORDER - 1, lowest - 1, -1):
+        out.append(np.unique(out[-1][0] & _MASK[k], return_counts=True))
+    return out
 
-def discounts(count: np.ndarray) -> np.ndarray:
-    """The three discounts of modified Kneser-Ney smoothing, by count 1, 2 and more, at places 1 to 3."""
-    n = [max(1, int((count == k).sum())) for k in (1, 2, 3, 4)]
+
+def histogram(count: np.ndarray) -> np.ndarray:
+    """How many counts are 1, 2, 3 and 4."""
+    return np.bincount(np.minimum(count, 5), minlength=6)[1:5]
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """The discounts of modified Kneser-Ney smoothing for counts of 1, 2 and more, at places 1 to 3."""
+    n = np.maximum(1, n)
     y = n[0] / (n[0] + 2 * n[1])
     return np.array([0.0, *(min(float(k), max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3))])
 
 
-def smoothed(code: np.ndarray, count: np.ndarray) -> dict:
-    """Interpolated probabilities of the n-grams seen, and what each context leaves to shorter ones."""
-    levels = [(code, count)]
-    for order in range(ORDER - 1, 0, -1):  # continuation counts: how many symbols stand before an n-gram
-        levels.insert(0, np.unique(levels[0][0] & np.uint32((1 << 6 * order) - 1), return_counts=True))
-    below = np.full(1, 1 / SYMBOLS)  # what a shorter context gives, by the number of the n-gram
-    for order, (codes, counts) in enumerate(levels, 1):
-        within = (1 << 6 * (order - 1)) - 1
-        discount = discounts(counts)[np.minimum(3, counts)]
-        context = (codes >> np.uint32(6)).astype(np.int64)
-        total = np.bincount(context, counts, within + 1)
-        left = np.where(total > 0, np.bincount(context, discount, within + 1) / np.maximum(total, 1), 1.0)
-        p = (counts - discount) / total[context] + left[context] * below[codes.astype(np.int64) & within]
-        if order == ORDER:
-            return {"keys": codes.astype(np.uint32), "p": np.log(p).astype(np.float32), "left": np.log(left).astype(np.float32), "below": np.log(below).astype(np.float32)}
-        full = np.arange(1 << 6 * order)
-        dense = left[full >> 6] * below[full & within]
-        dense[codes.astype(np.int64)] = p
-        below = dense
-
-
-def train(docs: DataFrame) -> dict[str, dict]:
-    """A model of each language, from rows (text, lang); all documents are counted."""
-    counted = docs.select("text", "lang").mapInArrow(_counted, COUNTS)
-    summed = counted.groupBy("lang", "part").applyInArrow(_summed, COUNTS)
-    parts: dict[str, list] = {}
-    for row in summed.toLocalIterator():  # at most SYMBOLS^ORDER n-grams a language
-        parts.setdefault(row["lang"], []).append((row["part"], np.frombuffer(row["codes"], "<u4"), np.frombuffer(row["counts"], "<i8")))
-    models = {}
-    for lang, found in parts.items():
-        found.sort(key=lambda x: x[0])
-        models[lang] = smoothed(np.concatenate([x[1] for x in found]), np.concatenate([x[2] for x in found]))
-    return models
-
-
-def log_probabilities(model: dict, codes: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(model["keys"], codes), len(model["keys"]) - 1)
-    unseen = model["left"][codes >> np.uint32(6)] + model["below"][codes & np.uint32((1 << 18) - 1)]
-    return np.where(model["keys"][at] == codes, model["p"][at], unseen)
+def _told(table: pa.Table) -> pa.Table:
+    """What a part tells its language: histograms of the counts of orders from ORDER down to LOWEST, and its pairs of last bytes."""
+    row = []
+    for fold in _sum(table):
+        found = levels(*fold, LOWEST)
+        row += [np.concatenate([histogram(c) for _, c in found]).astype("<i8").tobytes(), np.unique(found[-1][0] & _MASK[2]).astype("<u2").tobytes()]
+    return _table([(table["lang"][0].as_py(), *row)], "lang hist0 pairs0 hist1 pairs1", [pa.string(), *[pa.binary()] * 4])
+
+
+def _low(table: pa.Table) -> pa.Table:
+    """For one language: discounts of all orders from ORDER down, and the probabilities of the last byte after each byte."""
+    rows, folds = table.to_pylist(), []
+    for f in (0, 1):
+        hist = sum(np.frombuffer(r[f"hist{f}"], "<i8") for r in rows).reshape(-1, 4)
+        two = sum(np.bincount(np.frombuffer(r[f"pairs{f}"], "<u2"), minlength=1 << 16) for r in rows).reshape(256, 256)
+        one = (two > 0).sum(0)
+        p = np.full(256, 1 / 256)
+        for count in (one[None, :], two):
+            d = discounts(histogram(count[count > 0]))[np.minimum(count, 3)]
+            total = count.sum(1, keepdims=True)
+            p = np.where(total > 0, (count - d + d.sum(1, keepdims=True) * p) / np.maximum(1, total), p)
+        folds.append((np.concatenate([discounts(h) for h in hist]), p))
+    out = [(rows[0]["lang"], b, b"".join(d.tobytes() + p[b].tobytes() for d, p in folds)) for b in range(256)]
+    return _table(out, "lang last low", [pa.string(), pa.int64(), pa.binary()])
+
+
+def smoothed(found: list[tuple[np.ndarray, np.ndarray]], discount: np.ndarray) -> list[tuple]:
+    """For each order from LOWEST up: n-grams, what each keeps of its probability, contexts and what each leaves to shorter n-grams."""
+    out = []
+    for (code, count), d in zip(reversed(found), reversed(discount), strict=True):
+        off = d[np.minimum(3, count)]
+        context = code >> np.uint64(8)
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(code) else np.zeros(0, np.int64)
+        total = np.add.reduceat(count, first) if len(first) else count
+        left = (np.add.reduceat(off, first) if len(first) else off) / np.maximum(1, total)
+        out.append((code, (count - off) / np.repeat(total, np.diff(np.append(first, len(code)))), context[first], left))
+    return out
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, without: float) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(wanted), without)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], without)
+
+
+def log_probabilities(model: list[tuple], low: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The logarithms of the interpolated probabilities of sorted n-grams of one part."""
+    need = [wanted]
+    for k in range(ORDER - 1, LOWEST - 1, -1):
+        need.append(np.unique(need[-1] & _MASK[k]))
+    need.reverse()
+    p = low[(need[0] & _MASK[1]).astype(np.int64)]
+    for k, (code, own, context, left) in enumerate(model):
+        if k:
+            p = p[np.searchsorted(need[k - 1], need[k] & _MASK[LOWEST + k - 1])]
+        p = _found(code, own, need[k], 0.0) + _found(context, left, need[k] >> np.uint64(8), 1.0) * p
+    return np.log(p)
+
+
+def _answered(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """The probabilities that the other fold's model gives the n-grams of each chunk, for one part."""
+    rows, told = asked.to_pylist(), model.to_pylist()[0]
+    low = np.frombuffer(told["low"], "<f8").reshape(2, -1)
+    out = [[r["chunk"], r["lang"]] for r in rows]
+    for f in (0, 1):
+        g = 1 - f
+        discount = low[g, :-256].reshape(-1, 4)
+        other = smoothed(levels(*_unpacked(told[f"codes{g}"], told[f"counts{g}"]), LOWEST), discount)
+        codes = [np.frombuffer(r[f"codes{f}"], "<u8") for r in rows]
+        wanted = np.unique(np.concatenate(codes))
+        answer = log_probabilities(other, low[g, -256:], wanted).astype("<f4") if len(wanted) else np.zeros(0, "<f4")
+        for row, r, c in zip(out, rows, codes, strict=True):
+            row += [r[f"codes{f}"], answer[np.searchsorted(wanted, c)].tobytes()]
+    return _table(out, "chunk lang codes0 p0 codes1 p1", [pa.int64(), pa.string(), *[pa.binary()] * 4])
 
 
 # --- base rules ----------------------------------------------------------------------------------------------------
 
 
-def repeated_lines(text: str) -> int:
+def repeated_lines(text: bytes) -> int:
     """Lines that hold a word and equal an earlier line."""
-    if "\n" not in text:
+    if b"\n" not in text:
         return 0
-    lines = [x for x in text.split("\n") if x.strip(" \t\n\v\f\r")]
+    lines = [x for x in text.split(b"\n") if x.strip(b" \t\n\v\f\r")]
     return len(lines) - len(set(lines))
 
 
@@ -189,68 +295,94 @@ def repeated_words(hashes: np.ndarray) -> int:
 
 
 SCORES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, perplexity double"
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in MARKS]] = True
+
+
+def base_counts(raw: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
+    hashes, start, stop, begin = words_of(raw, lower=False)
+    data = np.frombuffer(b"\n".join(raw), np.uint8)
+    heads = np.zeros(len(data) + 1, np.int64)  # bytes that begin a code point
+    np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
+    marks = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(_MARK[data], out=marks[1:])
+    chars = np.concatenate([[0], np.cumsum(heads[stop] - heads[start])])
+    edge = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
+    return [
+        (int(begin[i + 1] - begin[i]), int(chars[begin[i + 1]] - chars[begin[i]]), int(marks[edge[i + 1] - 1] - marks[edge[i]]), repeated_lines(raw[i]), repeated_words(hashes[begin[i] : begin[i + 1]]))
+        for i in range(len(raw))
+    ]
+
+
+def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """Base counts and perplexity of the documents of one chunk."""
+    told: dict[tuple, list] = {}
+    for r in answers.to_pylist():
+        for f in (0, 1):
+            told.setdefault((r["lang"], f), []).append((np.frombuffer(r[f"codes{f}"], "<u8"), np.frombuffer(r[f"p{f}"], "<f4")))
+    for key, x in told.items():
+        codes, p = (np.concatenate(y) for y in zip(*x, strict=True))
+        order = np.argsort(codes)
+        told[key] = codes[order], p[order].astype(np.float64)
+    texts, langs = docs["text"].combine_chunks(), docs["lang"].to_pylist()
+    raw = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
+    rows: list[tuple] = []
+    for a, b in grouped(raw):
+        score = np.zeros(b - a)
+        for key, own, codes, begin in _by_fold(raw[a:b], langs[a:b]):
+            if len(codes):
+                known, p = told[key]
+                total = np.concatenate([[0], np.cumsum(p[np.searchsorted(known, codes)])])
+                score[own] = np.diff(total[begin])
+        for counts, x in zip(base_counts(raw[a:b]), score.tolist(), strict=True):
+            rows.append((*counts, float(np.exp(min(700.0, -x / counts[0]))) if counts[0] else None))
+    kinds = [*[pa.int64()] * 5, pa.float64()]
+    names = "n_words word_chars n_symbols n_dup_lines n_repeat_words perplexity"
+    scores = _table(rows, names, kinds)
+    return pa.table([docs["doc_id"], docs["lang"], *scores.columns], names=["doc_id", "lang", *names.split()])
+
+
+def perplexities(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, the base counts and the perplexity a word of rows (doc_id, text, lang)."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    chunks = 8 + int(size) // CHUNK
+    groups = 1 + chunks // GROUP
+    dealt = docs.select("doc_id", "text", "lang", F.pmod(F.monotonically_increasing_id(), F.lit(chunks)).alias("chunk")).repartition("chunk")
+    asked = dealt.mapInArrow(_counted(groups), f"lang string, part long, salt long, chunk long, {ARRAYS}")
+    some = asked.groupBy("lang", "part", "salt").applyInArrow(_summed, f"lang string, part long, {ARRAYS}")
+    model = some.groupBy("lang", "part").applyInArrow(_summed, f"lang string, part long, {ARRAYS}")
+    told = some.groupBy("lang", "part").applyInArrow(_told, "lang string, hist0 binary, pairs0 binary, hist1 binary, pairs1 binary")
+    low = told.groupBy("lang").applyInArrow(_low, "lang string, last long, low binary").withColumnRenamed("lang", "of")
+    model = model.join(low, (F.col("lang") == F.col("of")) & (F.col("part") % 256 == F.col("last"))).drop("of", "last")
+    model = model.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    keys = ["lang", "part", "salt"]
+    answers = asked.groupBy(*keys).cogroup(model.groupBy(*keys)).applyInArrow(_answered, "chunk long, lang string, codes0 binary, p0 binary, codes1 binary, p1 binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored, f"doc_id {kind}, lang string, {SCORES}")
 
 
-def _scored(shared):
-    mark = np.zeros(256, bool)
-    mark[[ord(c) for c in MARKS]] = True
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        for batch in batches:
-            texts, langs = [x or "" for x in batch.column(1).to_pylist()], batch.column(2).to_pylist()
-            raw = [t.encode() for t in texts]
-            rows = []
-            for a, b in grouped(raw):
-                hashes, start, stop, begin = words_of(raw[a:b], lower=False)
-                data = np.frombuffer(b"\n".join(raw[a:b]), np.uint8)
-                heads = np.zeros(len(data) + 1, np.int64)  # bytes that begin a code point
-                np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
-                marks = np.zeros(len(data) + 1, np.int64)
-                np.cumsum(mark[data], out=marks[1:])
-                chars = np.concatenate([[0], np.cumsum(heads[stop] - heads[start])])
-                edge = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw[a:b]])])
-                codes, at = grams_of(texts[a:b])
-                scores = np.zeros(len(codes), np.float32)
-                of = np.array([langs[i] for i in range(a, b)], object)
-                for lang in set(of):
-                    own = np.repeat(of == lang, np.diff(at))
-                    if own.any():
-                        scores[own] = log_probabilities(models[lang], codes[own])
-                total = np.concatenate([[0], np.cumsum(scores, dtype=np.float64)])
-                for i in range(b - a):
-                    n = int(at[i + 1] - at[i])
-                    rows.append((
-                        int(begin[i + 1] - begin[i]),
-                        int(chars[begin[i + 1]] - chars[begin[i]]),
-                        int(marks[edge[i + 1] - 1] - marks[edge[i]]),
-                        repeated_lines(texts[a + i]),
-                        repeated_words(hashes[begin[i] : begin[i + 1]]),
-                        float(np.exp(-(total[at[i + 1]] - total[at[i]]) / n)) if n else None,
-                    ))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [*[pa.int64()] * 5, pa.float64()]
-            names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "perplexity"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
-
-    return go
+def quartiles(scored: DataFrame) -> DataFrame:
+    """(language, low, high): the quartiles of the logarithm of perplexity, in thousandths, by counting."""
+    bins = scored.where("perplexity is not null").groupBy("lang", F.round(1000 * F.log("perplexity")).alias("bin")).agg(F.count("*").alias("n"))
+    by = Window.partitionBy("lang")
+    placed = bins.withColumns({"upto": F.sum("n").over(by.orderBy("bin")), "all": F.sum("n").over(by)})
+    pick = lambda share: (F.min(F.when(F.col("upto") >= share * F.col("all"), F.col("bin"))) / 1000)
+    return placed.groupBy("lang").agg(pick(0.25).alias("low"), pick(0.75).alias("high")).withColumnRenamed("lang", "language")
 
 
 def assess(docs: DataFrame, band: float = BAND, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, the base counts, base_failed, kept, perplexity and the text's band (lower, upper)."""
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
     docs = named(docs, doc_id=id_col, text=text_col, lang=lang_col).withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    shared = spark.sparkContext.broadcast(train(docs))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = materialize(docs.mapInArrow(_scored(shared), f"doc_id {kind}, lang string, {SCORES}"))
+    scored = materialize(perplexities(docs))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
-    quartile = F.percentile_approx(F.log("perplexity"), F.array(F.lit(0.25), F.lit(0.75)), 1000)
-    bands = scored.where("not base_failed").groupBy("lang").agg(quartile.alias("q")).select(F.col("lang").alias("__lang"), "q")
-    # One row a language: no more than there are models in the broadcast above.
-    joined = scored.join(F.broadcast(bands), F.col("lang") == F.col("__lang"), "left")
-    margin = band * (F.col("q")[1] - F.col("q")[0]) * (1 + F.sqrt(SHORT / F.greatest(F.lit(1), "word_chars")))
-    joined = joined.withColumn("lower", F.exp(F.col("q")[0] - margin)).withColumn("upper", F.exp(F.col("q")[1] + margin))
+    bands = quartiles(scored.where("not base_failed"))
+    small = bands.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = scored.join(F.broadcast(bands) if small else bands, F.col("lang") == F.col("language"), "left")
+    margin = band * (F.col("high") - F.col("low")) * (1 + F.sqrt(SHORT / F.greatest(F.lit(1), "word_chars")))
+    joined = joined.withColumn("lower", F.exp(F.col("low") - margin)).withColumn("upper", F.exp(F.col("high") + margin))
     within = F.col("perplexity").between(F.col("lower"), F.col("upper"))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
