@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import more, wide  # noqa: F401  register their queries
+from .plans import judged, more, recall, wide  # noqa: F401  register their queries
 from .plans.bound import QUERIES, SQL, Query
 
 

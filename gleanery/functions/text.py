@@ -2,35 +2,231 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = "\\u4e00-\\u9fff"
 
 
+#: Words that say nothing about a request. Fixed values.
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "can", "cannot", "component", "could", "did", "do",
+    "does", "for", "from", "generated", "had", "has", "have", "if", "in", "into", "is", "it", "its", "may", "not", "of",
+    "on", "or", "page", "pages", "should", "that", "the", "their", "then", "this", "to", "was", "were", "when", "where",
+    "which", "while", "with", "would",
+)
+#: Triggers in a request and the terms that they add. Fixed values.
+EXPANSIONS = (
+    (("跳转", "路由", "导航", "打开页面", "页面跳", "白屏", "空白页", "打不开"), ("route", "routes", "router", "pushurl", "replaceurl", "navigation", "page", "pages", "pagestack")),
+    (("资源", "图片", "图标", "文案", "字符串", "显示不出来", "不显示", "找不到资源"), ("resource", "resources", "media", "image", "string", "app.media", "app.string", "$r")),
+    (("日志", "报错", "错误", "异常", "失败", "崩溃", "打印", "定位"), ("log", "logger", "console", "hilog", "error", "warning", "exception", "failed", "failure", "debug")),
+    (("加载", "请求", "接口", "网络", "用户", "资料", "数据"), ("load", "request", "fetch", "network", "profile", "account", "user", "data")),
+    (("权限", "授权", "网络权限", "依赖", "配置", "ability", "module"), ("permission", "permissions", "dependency", "dependencies", "ability", "module", "json5", "config")),
+    (("鸿蒙", "harmony", "harmonyos", "arkts", "ets"), ("harmonyos", "arkts", "ets", "entry", "ability", "stage")),
+    (("separator", "分隔线", "分割线"), ("divider", "strokewidth", "separator")),
+)
+#: Parts of paths that are too common to identify a file. Fixed values.
+GENERIC_PATH_TERMS = ("common", "content", "detail", "item", "main", "media", "service", "services", "src", "utils", "utility", "view", "views")
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?U)[\\w{CJK}]+"), F.lit(0))
+
+
+def folded(text: Column) -> Column:
+    """Lower case; a sharp s counts as two."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case word tokens in order; a token with CJK characters is followed by its two-character pieces."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"(?U)[\\w{CJK}]+"), F.lit(0))
+    """Case-folded word tokens in order; a token with CJK characters is followed by its two-character pieces."""
 
     def pieces(w: Column) -> Column:
         two = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
-        return F.when(w.rlike(f"[{CJK}]") & (F.length(w) > 2), F.concat(F.array(w), two)).otherwise(F.array(w))
+        return F.when(w.rlike(f"[{CJK}]") & (F.length(w) > 1), F.concat(F.array(w), two)).otherwise(F.array(w))
 
-    return F.flatten(F.transform(words, pieces))
+    return F.flatten(F.transform(_words(folded(text)), pieces))
+
+
+def _nothing() -> Column:
+    return F.array().cast("array<string>")
 
 
 def identifier_parts(name: Column) -> Column:
-    """The parts of an identifier, split at acronyms, camel case and separators; empty if it has one part only."""
+    """The parts of an identifier, split at acronyms, camel case and separators, but for one that is the whole name."""
     spaced = F.regexp_replace(F.regexp_replace(name, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")
-    parts = F.filter(F.split(F.lower(F.regexp_replace(spaced, "[^A-Za-z0-9]+", " ")), " "), lambda p: F.length(p) > 0)
-    return F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>"))
+    parts = F.transform(F.split(spaced, r"(?U)[_\W]+"), folded)
+    return F.filter(parts, lambda p: (F.length(p) > 0) & (p != folded(name)))
+
+
+def singulars(word: Column) -> Column:
+    """A list of a word's singular, if it looks like a plural of ASCII letters."""
+    plain = word.rlike("^[A-Za-z]{4,}$")
+    long_y = plain & word.rlike("(ies|ied)$") & (F.length(word) > 4)
+    ending = plain & word.rlike("s$") & ~word.rlike("(ss|us|is)$")
+    return F.when(long_y, F.array(F.concat(F.regexp_replace(word, "(ies|ied)$", ""), F.lit("y")))).when(ending, F.array(F.regexp_replace(word, "s$", ""))).otherwise(_nothing())
 
 
 def singular(word: Column) -> Column:
     """A word without its plural ending."""
-    long_y = word.rlike("(ies|ied)$") & (F.length(word) > 4)
-    plain = word.endswith("s") & ~word.rlike("(ss|us|is)$") & (F.length(word) >= 4)
-    return F.when(long_y, F.concat(F.regexp_replace(word, "(ies|ied)$", ""), F.lit("y"))).when(plain, F.regexp_replace(word, "s$", "")).otherwise(word)
+    return F.coalesce(F.try_element_at(singulars(word), F.lit(1)), word)
+
+
+def significant(token: Column) -> Column:
+    """Whether a token tells anything: no stop word, and more than one ASCII character."""
+    return ~token.isin(*STOPWORDS) & ((F.length(token) > 1) | token.rlike("[^\\x00-\\x7F]"))
+
+
+def query_tokens(query: Column) -> Column:
+    """Distinct terms of a request, in order: tokens, parts of identifiers, singulars of both, and what triggers add."""
+    told = F.filter(F.concat(tokens(query), F.flatten(F.transform(_words(query), identifier_parts))), significant)
+    low = F.lower(query)
+    added = [F.when(reduce(lambda x, y: x | y, (low.contains(t) for t in triggers)), F.array(*map(F.lit, terms))).otherwise(_nothing()) for triggers, terms in EXPANSIONS]
+    return F.array_distinct(F.concat(told, F.flatten(F.transform(told, singulars)), *added))
+
+
+def bounded_tokens(query: Column, most: int) -> Column:
+    """At most so many terms: the first half in order, then plain ones before others and longer before shorter."""
+    every = query_tokens(query)
+    head = F.slice(every, 1, max(1, most // 2))
+    rest = F.transform(F.slice(every, max(1, most // 2) + 1, 1 << 20), lambda t, i: F.struct((~t.rlike("^[A-Za-z0-9]+$")).cast("int").alias("odd"), (-F.length(t)).alias("short"), i.alias("i"), t.alias("t")))
+    return F.concat(head, F.transform(F.slice(F.array_sort(rest), 1, most - max(1, most // 2)), lambda x: x["t"]))
+
+
+def method_variants(token: Column) -> Column:
+    """A token, its singular, and its stem without -ing or -ed."""
+    ing, ed = F.regexp_replace(token, "ing$", ""), F.regexp_replace(token, "ed$", "")
+    stem_ing = F.when(ing.rlike(r"^.{2,}(.)\1$"), F.regexp_replace(ing, ".$", "")).otherwise(ing)
+    stem_ed = F.when(ed.endswith("i"), F.regexp_replace(ed, "i$", "y")).otherwise(ed)
+    stem = F.when(token.endswith("ing") & (F.length(token) > 6), F.array(stem_ing)).when(token.endswith("ed") & (F.length(token) > 5), F.array(stem_ed)).otherwise(_nothing())
+    return F.array_distinct(F.concat(F.array(token), singulars(token), stem))
+
+
+def json_or_csv(text: Column) -> Column:
+    """The entries of a JSON list, or those between commas; blank ones fall away."""
+    listed = F.when(F.trim(text).startswith("["), F.from_json(text, "array<string>"))
+    parts = F.when(listed.isNotNull(), listed).otherwise(F.transform(F.split(F.trim(text), ","), lambda v: F.trim(v)))
+    return F.filter(F.coalesce(parts, _nothing()), lambda v: F.length(F.trim(v)) > 0)
+
+
+def token_matches(token: Column, lowered: Column) -> Column:
+    """Whether a text holds a token; short plain ones only as a word."""
+    word = F.regexp_like(lowered, F.concat(F.lit("(?<![a-z0-9])"), token, F.lit("(?![a-z0-9])")))
+    return F.when(token.rlike("^[A-Za-z0-9]{1,3}$"), word).otherwise(lowered.contains(token))
+
+
+def path_terms(path: Column) -> Column:
+    """The distinct parts of a path that may identify it."""
+    return F.filter(F.array_distinct(F.split(F.lower(path), "[^a-z0-9]+")), lambda p: (F.length(p) > 0) & ~p.isin(*GENERIC_PATH_TERMS))
+
+
+def canonical(text: Column) -> Column:
+    """Case-folded words, one space between."""
+    return F.trim(F.regexp_replace(folded(text), f"(?U)[^\\w{CJK}]+", " "))
+
+
+def phrase_in(phrase: Column, text: Column) -> Column:
+    """Whether canonical text holds a canonical phrase as whole words."""
+    return (F.length(phrase) > 0) & F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), phrase, F.lit(" ")))
+
+
+#: What stands for values in a message template. Fixed value.
+PLACEHOLDER = r"\$\{[^{}]*\}|%\{(?:public|private)\}[A-Za-z]|%[-+0-9.#]*[A-Za-z]|\{[A-Za-z_][\w.]*\}"
+
+
+def literal_segments(template: Column) -> Column:
+    """What a message template says between its placeholders."""
+    return F.filter(F.transform(F.split(template, PLACEHOLDER), canonical), lambda x: F.length(x) > 0)
+
+
+def template_fingerprint(level: Column, logger: Column, template: Column, owner: Column) -> Column:
+    """A key of 16 hexadecimal digits of the event that a log statement reports."""
+    skeleton = canonical(F.regexp_replace(template, PLACEHOLDER, " <value> "))
+    return F.substring(F.sha2(F.concat_ws("|", F.lower(level), F.lower(logger), skeleton, owner), 256), 1, 16)
+
+
+def layer(path: Column) -> Column:
+    """The layer that a path tells of; the first rule that fits."""
+    low = F.lower(path)
+    has = lambda *terms: reduce(lambda x, y: x | y, (low.contains(t) for t in terms))
+    return (
+        F.when(has("test", "spec"), "test")
+        .when(low.rlike(r"\.(json|json5|yaml|yml|toml)$") | has("config"), "config")
+        .when(has("page", "view", "component", "/ui/"), "ui")
+        .when(has("repository", "storage", "database", "cache", "/data/"), "data")
+        .when(has("viewmodel", "/state/", "/store/"), "state")
+        .when(has("service", "client", "/api/"), "service")
+        .otherwise("core")
+    )
+
+
+def artifact_role(path: Column) -> Column:
+    """test by folder or by the ending of the name, else production."""
+    return F.when(path.rlike(r"(?i)(^|/)(__tests__|specs?|tests?)/") | path.rlike(r"(?i)([._-](spec|test)|(Spec|Test))(\.[^./]*)?$"), "test").otherwise("production")
+
+
+def artifact_family(path: Column) -> Column:
+    """What a file and its test have in common: the bare name without a test ending."""
+    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
+    return F.regexp_replace(F.lower(F.regexp_replace(stem, r"(?i)([._-](spec|test)|(spec|test))$", "")), "[^a-z0-9]", "")
+
+
+#: Words that tell what a request is after; the first rule with a word in it wins. Fixed values.
+INTENTS = (
+    ("semantic_correction", ("误导", "错误经验", "纠错", "冲突", "不要", "避免", "correction", "wrong", "misleading")),
+    ("code_business_semantics", ("what does", "业务语义", "业务含义", "语义", "semantic", "business meaning", "business_summary", "business_terms", "补充")),
+    ("memory_maintenance", ("maintain", "治理", "维护", "淘汰", "刷新", "合并", "stale", "archive", "refresh")),
+    ("runtime_log_diagnosis", ("日志", "报错", "错误", "异常", "失败", "崩溃", "incident", "log", "traceback", "exception", "error", "failed", "failure")),
+    ("procedure_reuse", ("如何", "怎么", "步骤", "流程", "方案", "procedure", "playbook", "workflow", "how to")),
+    ("code_location", ("代码", "函数", "文件", "调用", "当前", "source", "code", "function", "file", "在哪里", "位置", "path")),
+)
+#: Words of each goal. Fixed values.
+GOALS = (
+    ("design", ("设计", "方案", "重构", "模块划分", "接口设计", "状态流", "扩展点", "design", "refactor", "proposal", "tradeoff")),
+    ("change_impact", ("影响", "改动", "修改", "变更", "diff", "change", "impact", "回归", "测试范围")),
+    ("diagnosis", ("报错", "错误", "异常", "失败", "日志", "崩溃", "空白", "卡死", "定位", "原因", "事故", "debug", "error", "fail", "incident", "diagnos", "log")),
+    ("governance", ("治理", "维护", "淘汰", "冲突", "过期", "质量", "合并", "归档", "stale", "governance")),
+    ("experience_reuse", ("经验", "以前", "历史", "曾经", "复用", "教训", "规律", "experience", "lesson", "past")),
+)
+
+
+def intent(query: Column) -> Column:
+    """What a request is after, by the first rule with a word in it."""
+    low = F.lower(query)
+    return F.coalesce(*(F.when(reduce(lambda x, y: x | y, (low.contains(w) for w in words)), name) for name, words in INTENTS), F.lit("general_context"))
+
+
+def goal(query: Column) -> Column:
+    """The goal with the most words in a request; of equals the first, and without any code_understanding."""
+    low = F.lower(query)
+    hits = [(name, reduce(lambda x, y: x + y, (low.contains(w).cast("int") for w in words))) for name, words in GOALS]
+    most = F.greatest(*(n for _, n in hits))
+    return F.coalesce(*(F.when((n == most) & (n > 0), name) for name, n in hits), F.lit("code_understanding"))
+
+
+def key_values(text: Column) -> Column:
+    """A map of the key=value pairs of a log line; of equal keys the last counts."""
+    keys = r"(route|resource|request_id|session_id|trace_id|span_id|parent_span_id|trace_flags|event_name|service\.name|service\.version|span_kind|duration_ms|code|error_code|reason|result|page|module|ability)"
+    pairs = F.regexp_extract_all(text, F.lit(rf"\b{keys}=([^\s]+)"), F.lit(0))
+    entries = F.transform(pairs, lambda p: F.struct(F.regexp_replace(F.split(p, "=", 2)[0], "^code$", "error_code").alias("key"), F.split(p, "=", 2)[1].alias("value")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, 1 << 20), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+def event_type(message: Column, fields: Column) -> Column:
+    """The kind of event that a message reports; the first rule that fits."""
+    low = F.lower(message)
+    return (
+        F.when(low.contains("session invalid"), "session_invalid")
+        .when(low.contains("permission denied"), "permission_denied")
+        .when(low.contains("load profile start"), "profile_load_started")
+        .when(low.contains("load profile failed"), "profile_load_failed")
+        .when(low.contains("navigate") & F.try_element_at(fields, F.lit("route")).isNotNull(), "route_navigation")
+        .when(message.rlike("/[A-Za-z0-9_./-]+"), "network_request")
+        .otherwise("generic_runtime_event")
+    )
 
 
 def unique_list(values: Column) -> Column:
@@ -69,3 +265,8 @@ def token_estimate(text: Column) -> Column:
 def present(value: Column) -> Column:
     """Whether a value is neither null, blank, an empty list nor an empty map."""
     return F.coalesce(~F.trim(value.cast("string")).isin("", "[]", "{}"), F.lit(False))
+
+
+def digest_of(values: dict[str, Column]) -> Column:
+    """SHA-256 of values as JSON with sorted keys."""
+    return F.sha2(F.to_json(F.struct(*(values[k].alias(k) for k in sorted(values)))), 256)

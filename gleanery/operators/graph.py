@@ -29,15 +29,21 @@ def callers(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     reached, front = seeds.select("node", F.lit(0).alias("depth")), seeds.select("node")
     for d in range(1, depth + 1):
         found = step.join(front.withColumnRenamed("node", "target"), "target").select(F.col("source").alias("node")).distinct()
-        front = found.join(reached.select("node"), "node", "left_anti")
+        front = written(found.join(reached.select("node"), "node", "left_anti"))
         reached = reached.union(front.withColumn("depth", F.lit(d)))
     return reached.where("depth > 0").select("node", F.col("depth").cast("long").alias("depth"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that executors share, or an own one where none is set (tests)."""
+def written(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that executors share; an own one only where all run on one machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        found = context.getConf().get("spark.checkpoint.dir", None)
+        if found:
+            context.setCheckpointDir(found)
+            return df.checkpoint()
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='gleanery-')}")
     return df.checkpoint()
 
@@ -45,16 +51,16 @@ def _written(df: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node): all that seeds lead to, in any number of steps; seeds are left out. Goes on until no new node appears."""
     step = edges.select("source", "target").distinct().persist()
-    seeds = _written(seeds.select("node").distinct())
+    seeds = written(seeds.select("node").distinct())
     front = reached = seeds
     rounds = 0
     while not front.isEmpty():
         found = step.join(front.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node")).distinct()
-        front = _written(found.join(reached, "node", "left_anti"))
+        front = written(found.join(reached, "node", "left_anti"))
         reached = reached.union(front)
         rounds += 1
         if rounds % 16 == 0:  # plans stay short in deep graphs
-            reached = _written(reached)
+            reached = written(reached)
     step.unpersist()
     return reached.join(seeds, "node", "left_anti")
 

@@ -42,3 +42,77 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
         return table(spark, sf_dir, name).select(F.concat(F.lit(f"{child}:"), F.col(key)).alias("target"), F.concat(F.lit(f"{of}:"), F.col(parent)).alias("source"), F.lit(relation).alias("relation"), F.lit(confidence).alias("confidence"))
 
     return edge("nation", "n_regionkey", "n_nationkey", "nation", "region", "contains", 1.0).union(edge("customer", "c_nationkey", "c_custkey", "customer", "nation", "contains", 0.9)).union(edge("supplier", "s_nationkey", "s_suppkey", "supplier", "nation", "emits", 0.4))
+
+
+#: Experience records made of parts, as expressions that Spark and DuckDB read alike.
+EXPERIENCE = {
+    "id": "p_partkey",
+    "experience_type": "CASE p_size % 3 WHEN 0 THEN 'procedure_experience' WHEN 1 THEN 'correction_experience' ELSE 'semantic_patch_experience' END",
+    "status": "CASE WHEN p_partkey % 23 = 0 THEN 'archived' WHEN p_partkey % 29 = 0 THEN 'stale' ELSE 'active' END",
+    "is_stale": "p_partkey % 11 = 0",
+    "scope": "CASE WHEN p_size % 7 > 0 THEN lower(p_type) END",
+    "trigger_condition": "CASE WHEN p_size % 5 > 0 THEN concat('when a ', p_name, ' breaks') END",
+    "repair_action": "CASE WHEN p_size % 4 > 0 THEN concat('replace the ', p_name, ' of ', p_brand) END",
+    "verification_method": "CASE WHEN p_size % 4 = 1 THEN 'test' END",
+    "source_case": "CASE WHEN p_size % 5 = 0 THEN concat('file:', p_name) WHEN p_size % 5 = 1 THEN 'manual: seen once' END",
+    "evidence": "CASE WHEN p_partkey % 3 = 0 THEN p_type END",
+    "anti_pattern": "CASE WHEN p_partkey % 4 = 0 THEN p_type END",
+    "lesson": "CASE WHEN p_partkey % 2 = 0 THEN p_name END",
+    "superseded_by": "CASE WHEN p_partkey % 17 = 0 THEN p_partkey + 1 END",
+    "anchor_type": "CASE WHEN p_size % 3 = 2 THEN 'symbol' END",
+    "anchor_key": "CASE WHEN p_size % 3 = 2 THEN p_name END",
+    "semantic_field": "CASE WHEN p_size % 3 = 2 THEN p_type END",
+    "proposed_value": "CASE WHEN p_size % 3 = 2 THEN p_brand END",
+    "reuse_feedback": "CASE p_size % 6 WHEN 0 THEN 'It helped here' WHEN 1 THEN 'not tried' END",
+    "last_outcome": "CASE WHEN p_size % 13 = 0 THEN 'misleading' END",
+    "skill_candidate": "p_size % 9 = 0",
+    "use_count": "p_size % 5",
+    "misleading": "(p_size % 10) / 20.0",
+    "confidence": "0.3 + (p_partkey % 60) / 100.0",
+}
+EXPERIENCE_SQL = "(SELECT " + ", ".join(f"{v} AS {k}" for k, v in EXPERIENCE.items()) + " FROM part)"
+
+
+def experiences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr(*(f"{v} AS {k}" for k, v in EXPERIENCE.items()))
+
+
+_STAMP = "strftime(ts, '%m-%d %H:%M:%S')"
+#: Lines of a runtime log made of events, in the forms that the parser knows and one that it does not.
+_LINE = """concat(CASE event_id % 4 WHEN 0 THEN {stamp} WHEN 1 THEN concat(replace({stamp}, ' ', 'T'), ' pid=7 tid=9 app.main') WHEN 2 THEN concat({stamp}, ' com.app:ui') ELSE 'kernel' END,
+    CASE event_id % 4 WHEN 3 THEN '' ELSE CASE event_type WHEN 'error' THEN ' E' WHEN 'click' THEN ' I' WHEN 'view' THEN ' DEBUG' WHEN 'purchase' THEN ' WARN' ELSE ' INFO' END END,
+    CASE event_id % 4 WHEN 3 THEN ': ' ELSE ' Store: ' END,
+    CASE event_type WHEN 'error' THEN concat('Load profile failed code=E', user_id, ' reason=timeout request_id=', event_id)
+        WHEN 'click' THEN concat('Navigate route=pages/', user_id % 7, ' session_id=', user_id)
+        WHEN 'view' THEN concat('GET /api/items/', user_id) WHEN 'purchase' THEN concat('[Order] result=success duration_ms=', event_id % 90) ELSE 'Session invalid' END)"""
+LINES_SQL = "(SELECT event_id, user_id, event_type, ts, " + _LINE.format(stamp=_STAMP) + " AS line FROM events)"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr("event_id", "user_id", "event_type", "ts", _LINE.format(stamp="date_format(ts, 'MM-dd HH:mm:ss')") + " AS line")
+
+
+#: Edges with their evidence and time of validity, made of items: an item leads to the next of its order.
+EDGE = {
+    "edge_id": "l_orderkey * 10 + l_linenumber",
+    "source": "l_partkey",
+    "relation": "CASE l_suppkey % 4 WHEN 0 THEN 'calls' WHEN 1 THEN 'imports' WHEN 2 THEN 'routes_to' ELSE 'renders_component' END",
+    "confidence": "1 - l_discount",
+    "evidence_class": "CASE l_linestatus WHEN 'F' THEN 'exact' ELSE 'inferred' END",
+    "valid_to": "CASE WHEN l_returnflag = 'R' THEN l_shipdate END",
+}
+_NEXT = "lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
+EDGES_SQL = "(SELECT * FROM (SELECT " + ", ".join(f"{v} AS {k}" for k, v in EDGE.items()) + f", {_NEXT} AS target FROM lineitem) WHERE target IS NOT NULL)"
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*(f"{v} AS {k}" for k, v in EDGE.items()), f"{_NEXT} AS target").where("target is not null")
+
+
+#: Paths of files, made of the addresses of pages.
+PATHS_SQL = """(SELECT page_id, concat(CASE page_id % 5 WHEN 0 THEN 'src/pages/' WHEN 1 THEN 'src/test/' WHEN 2 THEN 'lib/data/' WHEN 3 THEN 'core/service/' ELSE 'config/' END,
+    'Item', page_id % 7, CASE page_id % 5 WHEN 1 THEN 'Test' ELSE '' END, CASE page_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' ELSE '.json' END) AS path FROM pages)"""
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {PATHS_SQL.replace('FROM pages', 'FROM {pages}')}", pages=table(spark, sf_dir, "pages").select("page_id"))
