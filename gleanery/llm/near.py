@@ -15,9 +15,10 @@ share prefix tokens under each of several orders, which are intersected before t
 4. Documents gather around leaders: the least document with which one shares the most prefix tokens, or that one's
    leader. They are compared in blocks of bounded size, each of which holds the leader too; what does not link with
    the leader is compared with all of the block. So n near copies cost n comparisons and become one component.
-5. Documents that are linked, directly or not, need not meet. Two blocks meet only if, under every order, a document of
-   the one shares a prefix token with a document of the other that is in another component: the joins of the orders are
-   intersected before any overlap is counted. Pairs of documents pass the filters of all orders as well.
+5. Documents that are linked, directly or not, need not meet. Two blocks meet only if, under every order, they share a
+   prefix token of documents in different components: the filters of the orders are intersected before records move and
+   before any overlap is counted. Pairs of documents pass the filters of all orders as well. Blocks of one great group
+   whose documents do not link still meet pair by pair (a 512^2th of the pairs of its documents).
 6. Links are joined into components by star rounds.
 
 Tokens count as equal if 48 bits of their hashes are.
@@ -49,7 +50,7 @@ FLUSH, RANGE = 1 << 19, 1 << 20
 #: Bits of a range that are dealt in one step.
 HOP = 12
 #: Documents and tokens of a block.
-BLOCK_DOCS, BLOCK_TOKENS = 256, 1 << 20
+BLOCK_DOCS, BLOCK_TOKENS = 512, 1 << 20
 #: How often a document's leader is replaced by its leader's leader before blocks are formed.
 HOPS = 3
 #: The orders: by how much the classes of frequency (eighths of a power of two) are coarsened.
@@ -497,10 +498,16 @@ def across_components(found: DataFrame, blocks: DataFrame, joined: DataFrame) ->
     each = labelled.join(open_, "doc_id").select("doc_id", "component", F.posexplode("prefixes").alias("nth", "tokens"))
     live = across(each.select("doc_id", "component", "nth", F.explode("tokens").alias("token"))).join(blocks.select("doc_id", "block"), "doc_id")
     live = materialize(live)
-    seen = live.select("nth", "token", "block", "component").distinct()
-    a, b = (seen.select("nth", "token", F.col("block").alias(f"block_{x}"), F.col("component").alias(f"component_{x}")) for x in "ab")
-    met = a.join(b, ["nth", "token"]).where("block_a < block_b and component_a <> component_b").select("nth", "block_a", "block_b").distinct()
-    pairs = met.groupBy("block_a", "block_b").agg(F.count("*").alias("orders")).where(F.col("orders") == len(ORDERS))
+    seen = live.where("nth = 0").groupBy("token", "block").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    a, b = (seen.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("block", "least", "most"))) for x in "ab")
+    one = "least_a = most_a and least_b = most_b and least_a = least_b"
+    pairs = a.join(b, "token").where(f"block_a < block_b and not ({one})").select("block_a", "block_b").distinct()
+    # The other orders: of pairs of blocks that the first lets pass, those whose tokens overlap as well.
+    for nth in range(1, len(ORDERS)):
+        of = live.where(F.col("nth") == nth).groupBy("block").agg(F.collect_set("token").alias("tokens"))
+        for x in "ab":
+            pairs = pairs.join(of.select(F.col("block").alias(f"block_{x}"), F.col("tokens").alias(f"tokens_{x}")), f"block_{x}")
+        pairs = pairs.where(F.arrays_overlap("tokens_a", "tokens_b")).select("block_a", "block_b")
     sides = F.array(*(F.struct(F.col(f"block_{x}").alias("block"), F.lit(i).alias("side")) for i, x in enumerate("ab")))
     pairs = pairs.select(F.xxhash64("block_a", "block_b").alias("meeting"), F.explode(sides).alias("x")).select("meeting", "x.block", "x.side")
     # Of a block, those documents meet that share tokens across components under every order.
