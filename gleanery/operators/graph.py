@@ -93,3 +93,16 @@ def superseded(edges: DataFrame) -> DataFrame:
     from .tables import top_per_group
 
     return top_per_group(edges, ["source", "relation", "target"], [F.desc("confidence"), F.desc("recorded"), F.col("edge_id")], 1)
+
+
+def unordered(edges: DataFrame) -> DataFrame:
+    """(node): steps that no order can place, as they lie on a cycle or behind one. Steps without an open step before them are
+    peeled off layer by layer until none is left."""
+    now = written(edges.where("source <> target").select("source", "target").distinct())
+    left = now.count()
+    while left:
+        now = written(now.join(now.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target"))
+        before, left = left, now.count()
+        if left == before:
+            break
+    return now.select(F.col("source").alias("node")).union(now.select("target")).distinct()
