@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -270,3 +271,19 @@ def present(value: Column) -> Column:
 def digest_of(values: dict[str, Column]) -> Column:
     """SHA-256 of values as JSON with sorted keys."""
     return F.sha2(F.to_json(F.struct(*(values[k].alias(k) for k in sorted(values)))), 256)
+
+
+def positive_query(query: str) -> tuple[list[str], list[str]]:
+    """The words of a request that it asks for, and those that it excludes by a clause with "not", "without" or "exclude"."""
+    asked, excluded = [], []
+    for clause in re.split(r"[,.;]", query.lower()):
+        head, told, rest = re.match(r"(.*?)(?:\b(not|without|except|exclude|excluding)\b(.*))?$", clause).groups()
+        asked += [w for w in re.findall(r"\w+", head) if w not in STOPWORDS]
+        excluded += [w for w in re.findall(r"\w+", rest or "") if told and w not in STOPWORDS]
+    return asked, [w for w in excluded if w not in asked]
+
+
+def in_order(path: Column, wanted: list[str]) -> Column:
+    """Whether an array holds the given values in this order, with others between."""
+    reached = F.aggregate(path, F.lit(0), lambda at, x: F.when(x == F.try_element_at(F.array(*map(F.lit, wanted)), at + 1), at + 1).otherwise(at))
+    return reached == len(wanted)

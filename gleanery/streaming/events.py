@@ -20,3 +20,20 @@ def sessions(events: DataFrame, by: str, time: str, gap: str = "10 minutes", del
     """Events of each key by sessions that a gap ends."""
     found = events.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("w"), by).agg(F.count("*").alias("events"))
     return found.select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
+
+
+def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there and gives what it wrote; state and output lie in the given shared folder."""
+    out = f"{folder}/out"
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def confirmed(events: DataFrame, group: list[str], task: str, time: str, window: str = "7 days", delay: str = "1 day") -> DataFrame:
+    """(window start, group, tasks) of signals that two tasks gave within a window: one event alone never confirms.
+
+    Approximate counts stand for distinct ones, which streams cannot keep; below a few they are exact.
+    """
+    found = events.withWatermark(time, delay).groupBy(F.window(time, window).alias("w"), *group).agg(F.approx_count_distinct(task, 0.01).alias("tasks"))
+    return found.where("tasks >= 2").select(F.col("w.start").alias("start"), *group, "tasks")
