@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -40,19 +40,17 @@ def fuse(rankings: DataFrame, weights: dict[str, float], k: int) -> DataFrame:
 
 
 def normalised(df: DataFrame, source: str, score: str) -> DataFrame:
-    """Scores as shares of the best of their source."""
-    return df.withColumn("relevance", F.round(F.col(score) / F.max(score).over(Window.partitionBy(source)), 6))
+    """Scores as shares of the best of their source: maxima are combined in the tasks and joined back, one row a source."""
+    best = df.groupBy(F.col(source).alias("__source")).agg(F.max(score).alias("__best"))
+    joined = df.join(best, F.col(source) == F.col("__source"))
+    return joined.withColumn("relevance", F.round(F.col(score) / F.col("__best"), 6)).drop("__source", "__best")
 
 
 def similar_sets(df: DataFrame, id_col: str, tokens_col: str, least: float) -> DataFrame:
-    """Pairs of rows whose token sets have at least that Jaccard similarity, found by shared tokens."""
-    sized = df.select(F.col(id_col).alias("id"), F.array_distinct(tokens_col).alias("t")).withColumn("n", F.size("t"))
-    each = sized.select("id", "n", F.explode("t").alias("token"))
-    a, b = each.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), "token"), each.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "token")
-    near = (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))
-    shared = a.join(b, (a["token"] == b["token"]) & (F.col("id_a") < F.col("id_b")) & near).groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    score = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
-    return shared.select("id_a", "id_b", F.round(score, 6).alias("similarity")).where(F.col("similarity") >= least)
+    """(id_a, id_b, similarity) of rows whose token sets have at least that Jaccard similarity, found by rare tokens."""
+    from .conflicts import similar_pairs
+
+    return similar_pairs(df, id_col, tokens_col, least)
 
 
 def best_per(df: DataFrame, group: str, score: str, tie: str) -> DataFrame:

@@ -49,11 +49,36 @@ def chain_breaks(df: DataFrame, group: str, sequence: str, digest: str, previous
 
 
 def nearest_rank(df: DataFrame, group: list[str], value: str, percent: list[float]) -> DataFrame:
-    """Percentiles at the place round((n - 1) * p), halves to even, of each group's ordered values."""
+    """Percentiles at the place round((n - 1) * p), halves to even, of each group's ordered values.
+
+    Values are dealt by ranges of group and value, so a large group is ordered by many tasks; the rows before each range
+    come from counts, one row for each group and task.
+    """
+    from .graph import written
+
+    known = df.where(F.col(value).isNotNull()).select(*group, value)
+    dealt = written(known.repartitionByRange(*group, value).withColumn("__task", F.spark_partition_id()))
+    counts = dealt.groupBy(*group, "__task").agg(F.count("*").alias("__c"), F.sum(value).alias("__s"))
     by = Window.partitionBy(*group)
-    placed = df.where(F.col(value).isNotNull()).withColumns({"__i": F.row_number().over(by.orderBy(value)) - 1, "__n": F.count("*").over(by)})
-    picks = [F.max(F.when(F.col("__i") == F.bround((F.col("__n") - 1) * p).cast("long"), F.col(value))).alias(f"p{round(100 * p)}") for p in percent]
-    return placed.groupBy(*group).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), *picks)
+    starts = counts.withColumns({"__before": F.sum("__c").over(by.orderBy("__task")) - F.col("__c"), "__n": F.sum("__c").over(by), "__mean": F.sum("__s").over(by) / F.sum("__c").over(by)})
+    placed = dealt.withColumn("__i", F.row_number().over(Window.partitionBy(*group, "__task").orderBy(value)) - 1).join(starts, [*group, "__task"])
+    wanted = [F.bround((F.col("__n") - 1) * p).cast("long") for p in percent]
+    here = F.col("__before") + F.col("__i")
+    picks = [F.max(F.when(here == w, F.col(value))).alias(f"p{round(100 * p)}") for w, p in zip(wanted, percent, strict=True)]
+    return placed.groupBy(*group).agg(F.count("*").alias("n"), F.round(F.max("__mean"), 6).alias("mean"), *picks)
+
+
+def overlapping(left: DataFrame, right: DataFrame, key: str, width: int, left_span: tuple[str, str] = ("a", "b"), right_span: tuple[str, str] = ("x", "y")) -> DataFrame:
+    """Rows of two tables with one key whose spans of whole numbers overlap.
+
+    Spans are cut into buckets of a width and meet by key and bucket, in the bucket where the later of both begins; so
+    pairs that lie far apart never meet, however many rows a key has.
+    """
+    buckets = lambda df, span: df.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(span[0]) / width), F.floor(F.col(span[1]) / width))))
+    met = buckets(left, left_span).join(buckets(right, right_span), [key, "__bucket"])
+    (a, b), (x, y) = left_span, right_span
+    first = F.floor(F.greatest(F.col(a), F.col(x)) / width) == F.col("__bucket")
+    return met.where((F.col(a) <= F.col(y)) & (F.col(b) >= F.col(x)) & first).drop("__bucket")
 
 
 def merged_intervals(df: DataFrame, group: list[str], start: str, end: str) -> DataFrame:

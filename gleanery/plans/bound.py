@@ -74,9 +74,10 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", "lang").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", "lang", F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
-@query("jn05_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("jn05_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def _(s, d):
-    return table(s, d, "customer").select("c_custkey").join(table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    urgent = table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(s, d, "customer").select("c_custkey").join(urgent, "c_custkey", "left_anti")
 
 
 @query("jn06_dangling_edges", f"WITH e AS {CALLS_SQL}, n AS (SELECT p_partkey FROM part WHERE p_size < 40) SELECT side, count(*) AS edges FROM (SELECT 'source' AS side FROM e WHERE source NOT IN (SELECT * FROM n) UNION ALL SELECT 'target' FROM e WHERE target NOT IN (SELECT * FROM n)) GROUP BY side")

@@ -237,11 +237,11 @@ def _(s, d):
     return conflicts.similar_pairs(named, "id", "t", 0.8)
 
 
-@query("jn12_similar_customers", f"""WITH p AS (SELECT item_id AS id, list_distinct({_words('text')}) AS t FROM benchmark)
-    SELECT a.id AS id_a, b.id AS id_b, round({_jac('a.t', 'b.t')}, 6) AS similarity FROM p a JOIN p b ON a.id < b.id WHERE {_jac('a.t', 'b.t')} >= 0.15""")
+@query("jn12_similar_parts", f"""WITH p AS (SELECT p_partkey AS id, list_distinct({_words("p_name || ' ' || p_type")}) AS t FROM part WHERE p_partkey < 250)
+    SELECT a.id AS id_a, b.id AS id_b, round({_jac('a.t', 'b.t')}, 6) AS similarity FROM p a JOIN p b ON a.id < b.id WHERE {_jac('a.t', 'b.t')} >= 0.45""")
 def _(s, d):
-    told = table(s, d, "benchmark").select(F.col("item_id").alias("id"), T.tokens(F.col("text")).alias("t"))
-    return conflicts.similar_pairs(told, "id", "t", 0.15)
+    told = table(s, d, "part").where("p_partkey < 250").select(F.col("p_partkey").alias("id"), T.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("t"))
+    return conflicts.similar_pairs(told, "id", "t", 0.45)
 
 
 @query("ql10_conflicting_procedures", f"""WITH e AS (SELECT *, list_distinct({_words('trigger_condition')}) AS t, list_distinct({_words('scope')}) AS s, list_distinct({_words('repair_action')}) AS r FROM {EXPERIENCE_SQL} WHERE trigger_condition IS NOT NULL AND repair_action IS NOT NULL AND scope IS NOT NULL AND experience_type <> 'semantic_patch_experience')

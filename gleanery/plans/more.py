@@ -103,7 +103,7 @@ def _(s, d):
     events = table(s, d, "events").select("event_id", "user_id", "event_type")
     w = events.where("event_type = 'error'").select("event_id", "user_id", F.col("event_id").alias("a"), (F.col("event_id") + 40).alias("b"))
     h = events.where("event_type = 'purchase'").select(F.col("event_id").alias("h"), "user_id", (F.col("event_id") - 5).alias("x"), (F.col("event_id") + 5).alias("y"))
-    return w.join(h, (w["user_id"] == h["user_id"]) & (F.col("a") <= F.col("y")) & (F.col("b") >= F.col("x"))).select("event_id", "h")
+    return tables.overlapping(w, h, "user_id", 64).select("event_id", "h")
 
 
 @query("jn23_prefix_terms", "SELECT t.term, count(*) AS names FROM (VALUES ('re'), ('wid'), ('small'), ('zzz')) t(term) JOIN (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) w ON starts_with(w.word, t.term) GROUP BY t.term")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import tables
 from ..sources.records import table
 from . import views
 from .bound import query
@@ -65,8 +66,11 @@ def _(s, d):
     ON o.user_id = e.user_id AND e.ts >= o.ts AND e.ts <= o.ts + o.width * INTERVAL 1 DAY GROUP BY e.event_id""")
 def _(s, d):
     events = table(s, d, "events").select("event_id", "user_id", "ts", "event_type")
-    owners = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("o_id"), F.col("ts").alias("o_ts"), (1 + F.col("event_id") % 30).cast("int").alias("width"))
-    held = events.join(owners, "user_id").where("ts >= o_ts AND ts <= o_ts + make_dt_interval(width)")
+    micros = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col("ts"))
+    points = events.select("event_id", "user_id", micros.alias("a"), micros.alias("b"))
+    owners = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("o_id"), micros.alias("x"), (1 + F.col("event_id") % 30).cast("int").alias("width"))
+    owners = owners.withColumn("y", F.col("x") + F.col("width") * 86_400_000_000)
+    held = tables.overlapping(points, owners, "user_id", 4 * 86_400_000_000)
     return held.groupBy("event_id").agg(F.min_by("o_id", F.struct("width", "o_id")).alias("owner"))
 
 
@@ -167,9 +171,9 @@ def _(s, d):
     return views.calls(s, d).where("target % 100 = 1 AND source % 100 <> 1").select(F.col("source").alias("consumer")).distinct()
 
 
-@query("gr18_missing_anchor", f"SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT target FROM {CALLS_SQL} WHERE confidence > 0.95)")
+@query("gr18_missing_anchor", f"SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT target FROM {CALLS_SQL} WHERE confidence > 0.985)")
 def _(s, d):
-    anchored = views.calls(s, d).where("confidence > 0.95").select(F.col("target").alias("p_partkey"))
+    anchored = views.calls(s, d).where("confidence > 0.985").select(F.col("target").alias("p_partkey"))
     return table(s, d, "part").select("p_partkey").join(anchored, "p_partkey", "left_anti")
 
 
