@@ -6,12 +6,12 @@ the word. All documents are counted, by language and fold (half of the texts, to
 stay together), and each document is scored by the other fold's model; so a text never vouches for itself. The number of
 n-grams has no bound but 256^ORDER and grows with the corpus.
 
-1. Documents are dealt into chunks of about CHUNK bytes. A task turns a chunk into its distinct n-grams and their counts:
-   sorted arrays of their numbers (a perfect hash), one pair for each language and part.
+1. Documents are dealt into chunks of about CHUNK bytes, as compressed batches. A task turns a chunk into its distinct
+   n-grams and their counts: sorted arrays of their numbers (a perfect hash), for each language and part.
 2. A part is the two bytes before the last. All that smoothing needs for orders 3 and up (contexts, shorter n-grams,
    continuations) lies in the same part, so parts are summed (chunks first in groups of GROUP) and smoothed on their own.
    Orders 1 and 2 (256^2 numbers) and the discounts are made for each language from what its parts tell.
-3. Each chunk's n-grams meet the other fold's part and return with their probabilities. Nothing of the model comes to
+3. Each chunk's n-grams meet the other fold's part; their probabilities return in the same order. Nothing of the model comes to
    the driver, and no task holds more than a part or a chunk.
 4. Chunks meet their answers, and each text's probabilities are summed.
 
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ LEAST_WORDS, REPEATED_PERCENT, WINDOW = 20, 30, 8
 BAND, SHORT = 3.0, 400
 #: Bytes of an n-gram (7 at most), and the lowest order that parts hold.
 ORDER, LOWEST = 7, 3
-#: Bytes of text of a chunk, and chunks whose counts are summed at a time.
-CHUNK, GROUP = 1 << 25, 256
+#: Bytes of text of a chunk (of CHUNKS chunks at least) and of a batch, and chunks whose counts are summed at a time.
+CHUNK, CHUNKS, BATCH, GROUP = 48 << 20, 8, 1 << 20, 256
 #: Characters that count as symbols, by the rule's definition.
 MARKS = "#*$%&|<>"
 
@@ -86,17 +87,21 @@ def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 
 
 NOTHING = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-#: Codes and counts of both folds.
-ARRAYS = "codes0 binary, counts0 binary, codes1 binary, counts1 binary"
+#: Of each fold: the bytes of n-grams before and behind the two that the part tells, and counts.
+ARRAYS = ", ".join(f"{x}{f} binary" for f in (0, 1) for x in ("upper", "lower", "counts"))
+_ARRAYS = ARRAYS.replace(" binary", "").replace(",", "")
 
 
-def _packed(code: np.ndarray, count: np.ndarray) -> tuple[bytes, bytes]:
-    return code.astype("<u8").tobytes(), count.astype("<u4" if not len(count) or count.max() < 1 << 32 else "<u8").tobytes()
+def _packed(code: np.ndarray, count: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if not len(count) or int(count.max()) <= np.iinfo(k).max)
+    return (code >> np.uint64(24)).astype("<u4").tobytes(), code.astype("<u1").tobytes(), count.astype(kind).tobytes()
 
 
-def _unpacked(codes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    code = np.frombuffer(codes, "<u8")
-    return code, np.frombuffer(counts, "<u4" if len(counts) == 4 * len(code) else "<u8").astype(np.int64)
+def _unpacked(row: dict, fold: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams and counts of a row of a part."""
+    upper, lower, counts = (row[f"{x}{fold}"] for x in ("upper", "lower", "counts"))
+    code = np.frombuffer(upper, "<u4").astype(np.uint64) << np.uint64(24) | np.uint64(row["part"] << 8) | np.frombuffer(lower, "<u1")
+    return code, np.frombuffer(counts, f"<u{len(counts) // max(1, len(code)) or 1}").astype(np.int64)
 
 
 def part_of(code: np.ndarray) -> np.ndarray:
@@ -123,32 +128,69 @@ _KINDS = {"lang": pa.string(), "part": pa.int64(), "salt": pa.int64(), "chunk":
 
 
 def _arrays(keys: str, rows: list[tuple]) -> pa.Table:
-    return _table(rows, f"{keys} codes0 counts0 codes1 counts1", [*(_KINDS[k] for k in keys.split()), *[pa.binary()] * 4])
+    return _table(rows, f"{keys} {_ARRAYS}", [*(_KINDS[k] for k in keys.split()), *[pa.binary()] * 6])
+
+
+def _batches(chunks: int):
+    """Documents (doc_id, text, lang) as compressed batches, each with the number of its chunk."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() * 7919
+        for batch in batches:
+            for a, b in grouped([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()], BATCH):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as stream:
+                    stream.write_batch(batch.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([pa.array([place % chunks], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["chunk", "docs"])
+                place += 1
+
+    return go
+
+
+def _opened(docs: bytes) -> tuple[pa.Table, list[bytes], list[str]]:
+    table = pa.ipc.open_stream(docs).read_all()
+    return table, [x or b"" for x in table["text"].cast(pa.binary()).to_pylist()], table["lang"].to_pylist()
+
+
+class Grams:
+    """The distinct n-grams of a chunk and their counts, by language and fold, in the order of part and number."""
+
+    def __init__(self):
+        self.held: dict[tuple[str, int], list] = {}
+
+    def add(self, docs: bytes) -> None:
+        _, texts, langs = _opened(docs)
+        for a, b in grouped(texts):
+            for key, _, codes, _ in _by_fold(texts[a:b], langs[a:b]):
+                lists = self.held.setdefault(key, [])
+                lists.append(np.unique(codes, return_counts=True))
+                if len(lists) > 1 and sum(len(x) for x, _ in lists[1:]) > 2 * len(lists[0][0]) + (1 << 18):
+                    lists[:] = [_merged(*zip(*lists, strict=True))]
+
+    def parts(self, lang: str, fold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes, counts = _merged(*zip(*self.held.get((lang, fold), [NOTHING]), strict=True))
+        order = np.argsort(part_of(codes), kind="stable")
+        return codes[order], counts[order], part_of(codes[order])
 
 
 def _counted(groups: int):
     """The n-grams of each chunk and their counts, one row for each language and part."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
+        held: dict[int, Grams] = {}
         for batch in batches:
-            texts, langs, chunks = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()], batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for a, b in grouped(texts):
-                for (key, fold), _, codes, _ in _by_fold(texts[a:b], list(zip(chunks[a:b], langs[a:b], strict=True))):
-                    lists = held.setdefault((key, fold), [])
-                    lists.append(np.unique(codes, return_counts=True))
-                    if sum(len(x) for x, _ in lists) > 3 * len(lists[0][0]) + (1 << 18):
-                        lists[:] = [_merged(*zip(*lists, strict=True))]
-        for chunk, lang in {key: None for key, _ in held}:
-            parts: dict[int, list] = {}
-            for fold in (0, 1):
-                codes, counts = _merged(*zip(*held.pop(((chunk, lang), fold), [NOTHING]), strict=True))
-                order = np.argsort(part_of(codes), kind="stable")
-                codes, counts, part = codes[order], counts[order], part_of(codes[order])
-                edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else [], len(part)).astype(np.int64)
-                for x, y in zip(edge[:-1], edge[1:], strict=True):
-                    parts.setdefault(int(part[x]), [_packed(*NOTHING), _packed(*NOTHING)])[fold] = _packed(codes[x:y], counts[x:y])
-            yield from _arrays("lang part salt chunk", [(lang, part, chunk % groups, chunk, *x, *y) for part, (x, y) in parts.items()]).combine_chunks().to_batches()
+            for chunk, docs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(chunk, Grams()).add(docs)
+        for chunk in list(held):
+            grams = held.pop(chunk)
+            for lang in dict.fromkeys(lang for lang, _ in grams.held):
+                parts: dict[int, list] = {}
+                for fold in (0, 1):
+                    codes, counts, part = grams.parts(lang, fold)
+                    edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else [], len(part)).astype(np.int64)
+                    for x, y in zip(edge[:-1], edge[1:], strict=True):
+                        parts.setdefault(int(part[x]), [_packed(*NOTHING), _packed(*NOTHING)])[fold] = _packed(codes[x:y], counts[x:y])
+                yield from _arrays("lang part salt chunk", [(lang, part, chunk % groups, chunk, *x, *y) for part, (x, y) in parts.items()]).combine_chunks().to_batches()
 
     return go
 
@@ -156,7 +198,7 @@ def _counted(groups: int):
 def _sum(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of the rows of one part, the codes and counts of each fold."""
     rows = table.to_pylist()
-    return [_merged(*zip(*(_unpacked(r[f"codes{f}"], r[f"counts{f}"]) for r in rows), strict=True)) for f in (0, 1)]
+    return [_merged(*zip(*(_unpacked(r, f) for r in rows), strict=True)) for f in (0, 1)]
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -248,17 +290,16 @@ def _answered(asked: pa.Table, model: pa.Table) -> pa.Table:
     """The probabilities that the other fold's model gives the n-grams of each chunk, for one part."""
     rows, told = asked.to_pylist(), model.to_pylist()[0]
     low = np.frombuffer(told["low"], "<f8").reshape(2, -1)
-    out = [[r["chunk"], r["lang"]] for r in rows]
+    out = [[r["chunk"], r["lang"], r["part"]] for r in rows]
     for f in (0, 1):
         g = 1 - f
-        discount = low[g, :-256].reshape(-1, 4)
-        other = smoothed(levels(*_unpacked(told[f"codes{g}"], told[f"counts{g}"]), LOWEST), discount)
-        codes = [np.frombuffer(r[f"codes{f}"], "<u8") for r in rows]
-        wanted = np.unique(np.concatenate(codes))
+        other = smoothed(levels(*_unpacked(told, g), LOWEST), low[g, :-256].reshape(-1, 4))
+        codes = [_unpacked(r, f)[0] for r in rows]
+        wanted = np.unique(np.concatenate([NOTHING[0], *codes]))
         answer = log_probabilities(other, low[g, -256:], wanted).astype("<f4") if len(wanted) else np.zeros(0, "<f4")
-        for row, r, c in zip(out, rows, codes, strict=True):
-            row += [r[f"codes{f}"], answer[np.searchsorted(wanted, c)].tobytes()]
-    return _table(out, "chunk lang codes0 p0 codes1 p1", [pa.int64(), pa.string(), *[pa.binary()] * 4])
+        for row, c in zip(out, codes, strict=True):
+            row.append(answer[np.searchsorted(wanted, c)].tobytes())
+    return _table(out, "chunk lang part p0 p1", [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()])
 
 
 # --- base rules ----------------------------------------------------------------------------------------------------
@@ -317,38 +358,42 @@ def base_counts(raw: list[bytes]) -> list[tuple[int, int, int, int, int]]:
 
 def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """Base counts and perplexity of the documents of one chunk."""
-    told: dict[tuple, list] = {}
-    for r in answers.to_pylist():
-        for f in (0, 1):
-            told.setdefault((r["lang"], f), []).append((np.frombuffer(r[f"codes{f}"], "<u8"), np.frombuffer(r[f"p{f}"], "<f4")))
-    for key, x in told.items():
-        codes, p = (np.concatenate(y) for y in zip(*x, strict=True))
+    grams = Grams()
+    blobs = docs["docs"].to_pylist()
+    for blob in blobs:
+        grams.add(blob)
+    rows = sorted(answers.to_pylist(), key=lambda r: r["part"])
+    told: dict[tuple, tuple] = {}
+    for lang, fold in grams.held:
+        codes = grams.parts(lang, fold)[0]
+        p = np.frombuffer(b"".join(r[f"p{fold}"] for r in rows if r["lang"] == lang), "<f4")
         order = np.argsort(codes)
-        told[key] = codes[order], p[order].astype(np.float64)
-    texts, langs = docs["text"].combine_chunks(), docs["lang"].to_pylist()
-    raw = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
-    rows: list[tuple] = []
-    for a, b in grouped(raw):
-        score = np.zeros(b - a)
-        for key, own, codes, begin in _by_fold(raw[a:b], langs[a:b]):
-            if len(codes):
-                known, p = told[key]
-                total = np.concatenate([[0], np.cumsum(p[np.searchsorted(known, codes)])])
-                score[own] = np.diff(total[begin])
-        for counts, x in zip(base_counts(raw[a:b]), score.tolist(), strict=True):
-            rows.append((*counts, float(np.exp(min(700.0, -x / counts[0]))) if counts[0] else None))
-    kinds = [*[pa.int64()] * 5, pa.float64()]
-    names = "n_words word_chars n_symbols n_dup_lines n_repeat_words perplexity"
-    scores = _table(rows, names, kinds)
-    return pa.table([docs["doc_id"], docs["lang"], *scores.columns], names=["doc_id", "lang", *names.split()])
+        told[lang, fold] = codes[order], p[order].astype(np.float64)
+    out = []
+    for blob in blobs:
+        table, raw, langs = _opened(blob)
+        score, counts = np.zeros(len(raw)), []
+        for a, b in grouped(raw):
+            for key, own, codes, begin in _by_fold(raw[a:b], langs[a:b]):
+                if len(codes):
+                    known, p = told[key]
+                    # Each text is summed by itself, so what stands around it does not matter.
+                    total = np.add.reduceat(np.append(p[np.searchsorted(known, codes)], 0.0), begin[:-1])
+                    score[a + own] = np.where(np.diff(begin) > 0, total, 0.0)
+            counts += base_counts(raw[a:b])
+        found = [(*c, float(np.exp(min(700.0, -x / c[0]))) if c[0] else None) for c, x in zip(counts, score.tolist(), strict=True)]
+        names = "n_words word_chars n_symbols n_dup_lines n_repeat_words perplexity"
+        scores = _table(found, names, [*[pa.int64()] * 5, pa.float64()])
+        out.append(pa.table([table["doc_id"], table["lang"], *scores.columns], names=["doc_id", "lang", *names.split()]))
+    return pa.concat_tables(out)
 
 
 def perplexities(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts and the perplexity a word of rows (doc_id, text, lang)."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    chunks = 8 + int(size) // CHUNK
+    chunks = max(CHUNKS, 1 + int(size) // CHUNK)
     groups = 1 + chunks // GROUP
-    dealt = docs.select("doc_id", "text", "lang", F.pmod(F.monotonically_increasing_id(), F.lit(chunks)).alias("chunk")).repartition("chunk")
+    dealt = docs.select("doc_id", "text", "lang").mapInArrow(_batches(chunks), "chunk long, docs binary").repartition("chunk")
     asked = dealt.mapInArrow(_counted(groups), f"lang string, part long, salt long, chunk long, {ARRAYS}")
     some = asked.groupBy("lang", "part", "salt").applyInArrow(_summed, f"lang string, part long, {ARRAYS}")
     model = some.groupBy("lang", "part").applyInArrow(_summed, f"lang string, part long, {ARRAYS}")
@@ -357,7 +402,7 @@ def perplexities(docs: DataFrame) -> DataFrame:
     model = model.join(low, (F.col("lang") == F.col("of")) & (F.col("part") % 256 == F.col("last"))).drop("of", "last")
     model = model.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     keys = ["lang", "part", "salt"]
-    answers = asked.groupBy(*keys).cogroup(model.groupBy(*keys)).applyInArrow(_answered, "chunk long, lang string, codes0 binary, p0 binary, codes1 binary, p1 binary")
+    answers = asked.groupBy(*keys).cogroup(model.groupBy(*keys)).applyInArrow(_answered, "chunk long, lang string, part long, p0 binary, p1 binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored, f"doc_id {kind}, lang string, {SCORES}")
 
