@@ -83,7 +83,7 @@ def _(s, d):
     return paths.promoted(views.edges(s, d), scores)
 
 
-@query("gr01_related_edges", f"SELECT edge_id, relation FROM {EDGES_SQL} WHERE valid_to IS NULL AND (source IN {SEEDS_SQL} OR target IN {SEEDS_SQL})")
+@query("gr01_related_edges", f"SELECT DISTINCT edge_id, relation FROM {EDGES_SQL} WHERE valid_to IS NULL AND (source IN {SEEDS_SQL} OR target IN {SEEDS_SQL})")
 def _(s, d):
     active, seeds = views.edges(s, d).where("valid_to is null"), _seeds(s, d)
     ends = [active.join(seeds.withColumnRenamed("node", end), end, "left_semi").select("edge_id", "relation") for end in ("source", "target")]
@@ -219,10 +219,10 @@ def _(s, d):
     return nodes.join(into, "node", "left").groupBy("layer").agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("incoming"))
 
 
-@query("gr15_unordered_steps", f"""WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM {EDGES_SQL} WHERE source < 60 AND target < 60 AND source <> target), r AS (SELECT source, target FROM e UNION SELECT r.source, e.target FROM r JOIN e ON e.source = r.target)
+@query("gr15_unordered_steps", f"""WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM {EDGES_SQL} WHERE source < 200 AND target < 200 AND source <> target), r AS (SELECT source, target FROM e UNION SELECT r.source, e.target FROM r JOIN e ON e.source = r.target)
     SELECT source AS node FROM r WHERE source = target UNION SELECT target FROM r WHERE source IN (SELECT source FROM r WHERE source = target)""")
 def _(s, d):
-    return graph.unordered(views.edges(s, d).where("source < 60 and target < 60").select("source", "target"))
+    return graph.unordered(views.edges(s, d).where("source < 200 and target < 200").select("source", "target"))
 
 
 @query("jn13_candidate_pairs", f"""WITH e AS (SELECT id, experience_type, list_distinct(regexp_extract_all(trigger_condition, '[a-z]+')) AS t, scope FROM {EXPERIENCE_SQL} WHERE trigger_condition IS NOT NULL AND scope IS NOT NULL AND id < 400)

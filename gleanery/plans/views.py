@@ -52,7 +52,7 @@ EXPERIENCE = {
     "is_stale": "p_partkey % 11 = 0",
     "scope": "CASE WHEN p_size % 7 > 0 THEN lower(p_type) END",
     "trigger_condition": "CASE WHEN p_size % 5 > 0 THEN concat('when a ', p_name, ' breaks') END",
-    "repair_action": "CASE WHEN p_size % 4 > 0 THEN concat('replace the ', p_name, ' of ', p_brand) END",
+    "repair_action": "CASE WHEN p_size % 4 > 0 THEN concat(CASE WHEN p_partkey % 2 = 0 THEN 'replace the ' ELSE 'glue and then paint a ' END, p_name, ' of ', p_brand) END",
     "verification_method": "CASE WHEN p_size % 4 = 1 THEN 'test' END",
     "source_case": "CASE WHEN p_size % 5 = 0 THEN concat('file:', p_name) WHEN p_size % 5 = 1 THEN 'manual: seen once' END",
     "evidence": "CASE WHEN p_partkey % 3 = 0 THEN p_type END",
