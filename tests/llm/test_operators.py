@@ -164,6 +164,26 @@ def test_exact_dedup(which, request):
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.exact_groups(df).collect()) == want
 
 
+def test_exact_dedup_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "a b"), (1, "other"), (2, "a  b"), (3, "other"), (None, "a b"), (None, "alone"), (3, "third")]
+    kept = exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r[0], r[1]) for r in kept.collect()) == Counter([(1, "a b"), (1, "other"), (None, "alone"), (3, "third")])
+
+
+def test_exact_dedup_by_digests_when_identifiers_clash(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "x y"), (2, "x  y"), (3, "x z")], "doc_id long, text string")
+    want = sorted(map(tuple, exact_dedup.exact_groups(df).collect()))
+    monkeypatch.setattr(exact_dedup, "verified", lambda listed: listed.select("doc_id", "text_sha256", listed["digests"].alias("recipe")))
+    assert sorted(map(tuple, exact_dedup.exact_groups(df).collect())) == want
+
+
+def test_exact_dedup_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LARGE_LEAST", 3)
+    df = spark.createDataFrame([(i, f"text {i % 4 if i < 40 else i}") for i in range(60)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(df).collect()}
+    assert found == {i: (i % 4, 10) if i < 40 else (i, 1) for i in range(60)}
+
+
 def test_exact_dedup_keeps_one_row_of_each(awkward):
     kept = exact_dedup.deduplicate(awkward)
     assert kept.columns == awkward.columns
@@ -342,16 +362,6 @@ def test_quality_base_rules(awkward, documents):
         assert not any(r["base_failed"] and r["kept"] for r in found)
 
 
-def test_quality_model_sums_to_one():
-    import numpy as np
-
-    codes, _ = quality.grams_of(["the cat sat on the mat and the rat", "a cat and a rat"])
-    model = quality.smoothed(*np.unique(codes, return_counts=True))
-    for context in ("   ", "the", " ca", "xyz"):
-        start = int(quality.grams_of([context + "a"])[0][-1]) & ~63
-        assert abs(np.exp(quality.log_probabilities(model, np.arange(start, start + 64, dtype=np.uint32))).sum() - 1) < 1e-3
-
-
 def test_quality_bands_keep_clean_documents(spark):
     d = "/root/testdata/sf0.1"
     found = quality.assess(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed").collect()
