@@ -54,11 +54,11 @@ def piece_lengths(n: int, limit: int) -> list[int]:
 
 def _pieces(path: str, limit: int, end_id: int, schema: pa.Schema):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path)
+        encode, kind = encoding(path), _narrow(path)
         for batch in batches:
             at, starts, lengths, totals, chunks = [], [], [], [], []
             for i, value in enumerate(batch.column(1)):
-                data, start = np.append(encode.encode_to_numpy(value.as_py() or "", allowed_special="all"), np.uint32(end_id)).astype("<u4"), 0
+                data, start = np.append(encode.encode_to_numpy(value.as_py() or "", allowed_special="all"), np.uint32(end_id)).astype(kind), 0
                 for length in piece_lengths(len(data), limit):
                     at.append(i)
                     starts.append(start)
@@ -73,14 +73,30 @@ def _pieces(path: str, limit: int, end_id: int, schema: pa.Schema):
 
 
 #: Pieces of one part of a bucket, on average.
-PART = 1 << 15
+PART = 1 << 12
+
+
+def _narrow(path: str) -> str:
+    """The least unsigned type that holds all ids of a vocabulary; so pieces move."""
+    return "<u2" if encoding(path).n_vocab <= 1 << 16 else "<u4"
+
+
+def _widened(kind: str, at: int):
+    """Ids as 32-bit integers again."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = pa.array([np.frombuffer(x, kind).astype("<u4").tobytes() for x in batch.column(at).to_pylist()], pa.binary())
+            yield batch.set_column(at, batch.schema.field(at), wide)
+
+    return go
 
 
 def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length (also the bucket), doc_tokens, ids, sequence_id, offset.
 
-    ids: little-endian unsigned 32-bit. sequence_id is unique: the exponent of the length in 5 bits, part, and place in 34
-    bits; offset is 0, as each sequence holds one piece.
+    ids: little-endian unsigned 32-bit. sequence_id is unique: the exponent of the length, part, and place in 30 bits;
+    offset is 0, as each sequence holds one piece.
     """
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")
@@ -95,8 +111,10 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, end_id: int = 0, id
     parts = 1 << max(0, (pieces.count() // PART).bit_length())
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(parts)))
     place = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids"))
-    number = F.shiftleft(F.log2("length").cast("long"), 58) + F.shiftleft(F.col("part"), 34) + place
-    return pieces.withColumn("sequence_id", number).withColumn("offset", F.lit(0).cast("long")).drop("part")
+    number = F.shiftleft(F.log2("length").cast("long"), 58) + F.shiftleft(F.col("part"), 30) + place
+    numbered = pieces.withColumn("sequence_id", number).drop("part")
+    numbered = numbered.mapInArrow(_widened(_narrow(tokenizer), numbered.columns.index("ids")), numbered.schema)
+    return numbered.withColumn("offset", F.lit(0).cast("long"))
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
