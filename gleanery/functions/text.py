@@ -287,3 +287,29 @@ def in_order(path: Column, wanted: list[str]) -> Column:
     """Whether an array holds the given values in this order, with others between."""
     reached = F.aggregate(path, F.lit(0), lambda at, x: F.when(x == F.try_element_at(F.array(*map(F.lit, wanted)), at + 1), at + 1).otherwise(at))
     return reached == len(wanted)
+
+
+#: Words of domains; the first domain with a word in a text counts. Fixed values.
+DOMAINS = (("navigation", ("navigate", "route", "router")), ("session", ("session", "login", "permission")), ("data", ("profile", "load", "database")), ("network", ("/api/", "http", "request")))
+
+
+def domain(text: Column) -> Column:
+    """What an incident is about, by the first domain with a word in its text."""
+    low = F.lower(text)
+    return F.coalesce(*(F.when(reduce(lambda x, y: x | y, (low.contains(w) for w in words)), name) for name, words in DOMAINS), F.lit("general"))
+
+
+#: Words that tell of a failure. Fixed values.
+DIAGNOSTIC = ("abort", "crash", "denied", "errno", "error", "exception", "fail", "failed", "failure", "fatal", "panic", "timeout", "unavailable")
+
+
+def salient(query: Column, most: int = 12) -> Column:
+    """The terms that matter most in a request: literals in backticks and their parts, the last six telling words, and what
+    stands beside a word of failure."""
+    literals = F.regexp_extract_all(query, F.lit("`([^`\\n]{2,240})`"), F.lit(1))
+    quoted = F.flatten(F.transform(literals, lambda x: F.concat(tokens(x), F.flatten(F.transform(_words(x), identifier_parts)))))
+    raw = tokens(query)
+    told = F.filter(raw, lambda t: ~t.isin(*STOPWORDS) & ~t.isin("control", "controls", "locate", "which") & (F.length(t) > 2))
+    last = F.slice(told, F.greatest(F.lit(1), F.size(told) - 5), 6)
+    beside = F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size(raw) - 1), lambda i: raw[i].isin(*DIAGNOSTIC)), lambda i: F.slice(raw, F.greatest(F.lit(1), i - 1), F.lit(3) + F.least(i, F.lit(2)))))
+    return F.slice(F.filter(F.array_distinct(F.concat(quoted, last, beside)), lambda t: F.length(t) > 1), 1, most)

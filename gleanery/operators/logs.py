@@ -51,3 +51,31 @@ SEVERITY = {"verbose": 1, "debug": 5, "info": 9, "warning": 13, "error": 17, "ex
 
 def severity(level: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv))[level], F.lit(0))
+
+
+def match_band(template: Column, said: Column) -> Column:
+    """How a request (canonical) names the event of a message template: by all of it, by a telling part, or not."""
+    whole = T.canonical(template)
+    words = F.size(F.filter(F.split(whole, " "), lambda w: F.length(w) > 0))
+    exact = ~template.rlike(T.PLACEHOLDER) & (((words >= 3) & (F.length(whole) >= 12)) | (F.length(F.replace(whole, F.lit(" "), F.lit(""))) >= 14)) & T.phrase_in(whole, said)
+    telling = lambda x: (F.size(F.filter(F.split(x, " "), lambda w: F.length(w) > 2)) >= 3) & (F.length(F.replace(x, F.lit(" "), F.lit(""))) >= 14) & T.phrase_in(x, said)
+    return F.when(exact, "exact_template").when(F.exists(T.literal_segments(template), telling), "distinctive_literal").otherwise("none")
+
+
+def wrapped(calls: DataFrame, sinks: DataFrame, depth: int, most: int) -> DataFrame:
+    """(caller, sink, depth): which callers reach a log statement's function, through at most so many calls; of a caller the
+    nearest sinks. calls: source, target; sinks: sink. Each layer is written."""
+    from functools import reduce
+
+    from .graph import written
+    from .tables import top_per_group
+
+    step = calls.select("source", "target").distinct()
+    front = written(step.join(sinks.withColumnRenamed("sink", "target"), "target", "left_semi").select(F.col("source").alias("caller"), F.col("target").alias("sink"), F.lit(1).alias("depth")))
+    found = [front]
+    for d in range(2, depth + 1):
+        grown = step.withColumnRenamed("target", "caller").join(front.select("caller", "sink"), "caller").select(F.col("source").alias("caller"), "sink").where("caller <> sink").distinct()
+        front = written(grown.withColumn("depth", F.lit(d)))
+        found.append(front)
+    least = reduce(DataFrame.union, found).groupBy("caller", "sink").agg(F.min("depth").alias("depth"))
+    return top_per_group(least, ["caller"], [F.col("depth"), F.col("sink")], most)
