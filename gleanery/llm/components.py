@@ -29,11 +29,12 @@ def _large_star(links: DataFrame, most: int) -> DataFrame:
     return _with_least(_both(links), most).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame, most: int) -> DataFrame:
-    """Link every smaller neighbour of a node, and the node, to the least of them."""
+def _small_star(links: DataFrame) -> DataFrame:
+    """Link every smaller neighbour of a node, and the node, to the least of them; after a large star few nodes have several."""
     pairs = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    moved = _with_least(pairs, most).where("v > least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-    return moved.union(pairs.groupBy("u").agg(F.min("v").alias("v"))).distinct()
+    least = pairs.groupBy("u").agg(F.min("v").alias("least"))
+    moved = pairs.join(least, "u").where("v > least").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    return moved.union(least.select("u", F.col("least").alias("v"))).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def components(links: DataFrame) -> DataFrame:
     seen = None
     most = max(LEAST_HOT, 2 * now.count() // HOT_NODES)
     while True:
-        after = materialize(_small_star(_large_star(now, most), most))
+        after = materialize(_small_star(_large_star(now, most)))
         # The table of links is the same as before if its size and an order-free digest of its rows are.
         told = tuple(after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         forget(now)

@@ -18,7 +18,7 @@ share prefix tokens under each of several orders, which are intersected before t
 5. Documents that are linked, directly or not, need not meet. Two blocks meet only if, under every order, they share a
    prefix token of documents in different components: the filters of the orders are intersected before records move and
    before any overlap is counted. Pairs of documents pass the filters of all orders as well. Blocks of one great group
-   whose documents do not link still meet pair by pair (a 512^2th of the pairs of its documents).
+   whose documents do not link still meet pair by pair (a 2048^2th of the pairs of its documents).
 6. Links are joined into components by star rounds.
 
 Tokens count as equal if 48 bits of their hashes are.
@@ -50,7 +50,9 @@ FLUSH, RANGE = 1 << 19, 1 << 20
 #: Bits of a range that are dealt in one step.
 HOP = 12
 #: Documents and tokens of a block.
-BLOCK_DOCS, BLOCK_TOKENS = 512, 1 << 20
+BLOCK_DOCS, BLOCK_TOKENS = 2048, 1 << 20
+#: Rows of a block that are compared at a time.
+SLICE = 256
 #: How often a document's leader is replaced by its leader's leader before blocks are formed.
 HOPS = 3
 #: The orders: by how much the classes of frequency (eighths of a power of two) are coarsened.
@@ -341,7 +343,7 @@ def overlaps(token: np.ndarray, at: np.ndarray, n: int, rows: np.ndarray) -> np.
     at, column = at[own], column[own]
     order = np.argsort(column, kind="stable")
     at, column = at[order], column[order]
-    step = 4096
+    step = 1024
     for low in range(0, len(told), step):
         a, b = np.searchsorted(column, (low, low + step))
         dense = np.zeros((n, min(step, len(told) - low)), np.float32)
@@ -367,8 +369,10 @@ class Block:
 
     def compare(self, rows: np.ndarray) -> None:
         """Link some rows with what they are similar to and not yet linked with."""
-        if not len(rows):
-            return
+        for first in range(0, len(rows), SLICE):
+            self._compare(rows[first : first + SLICE])
+
+    def _compare(self, rows: np.ndarray) -> None:
         n = len(self.ids)
         low, high = np.minimum(self.n[rows, None], self.n), np.maximum(self.n[rows, None], self.n)
         passed = (self.component[rows, None] != self.component) & (low * 100 >= high * self.percent)
@@ -515,11 +519,24 @@ def across_components(found: DataFrame, blocks: DataFrame, joined: DataFrame) ->
     return pairs.join(members, "block").select("meeting", "doc_id", "side", "component", F.lit(False).alias("lead"))
 
 
+def labels(links: DataFrame) -> DataFrame:
+    """(node, component) of linked nodes: the least around each, followed twice. Equal ones are linked; not all that are linked
+    are equal yet, which only costs comparisons."""
+    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    now = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least("u", F.min("v")).alias("component")))
+    for _ in range(2):
+        onward = now.select(F.col("node").alias("component"), F.col("component").alias("onward"))
+        after = materialize(now.join(onward, "component").select("node", F.col("onward").alias("component")))
+        forget(now)
+        now = after
+    return now
+
+
 def similar_links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(u, v): links that join whatever is linked, of documents given by records()."""
     blocks = blocks_of(found)
     near = materialize(_compared(around_leaders(blocks), found, percent))
-    met = across_components(found, blocks, components(near))
+    met = across_components(found, blocks, labels(near))
     return near if met is None else near.union(materialize(_compared(met, found, percent)))
 
 
