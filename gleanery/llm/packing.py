@@ -55,7 +55,7 @@ def piece_lengths(n: int, limit: int) -> list[int]:
 def _pieces(path: str, limit: int, end_id: int, schema: pa.Schema):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, kind = encoding(path), _narrow(path)
-        for batch in batches:
+        for batch in (b.slice(first, ROWS) for b in batches for first in range(0, b.num_rows, ROWS)):
             at, starts, lengths, totals, chunks = [], [], [], [], []
             for i, value in enumerate(batch.column(1)):
                 data, start = np.append(encode.encode_to_numpy(value.as_py() or "", allowed_special="all"), np.uint32(end_id)).astype(kind), 0
@@ -74,6 +74,8 @@ def _pieces(path: str, limit: int, end_id: int, schema: pa.Schema):
 
 #: Pieces of one part of a bucket, on average.
 PART = 1 << 12
+#: Rows that a task turns at a time.
+ROWS = 256
 
 
 def _narrow(path: str) -> str:
@@ -86,8 +88,10 @@ def _widened(kind: str, at: int):
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wide = pa.array([np.frombuffer(x, kind).astype("<u4").tobytes() for x in batch.column(at).to_pylist()], pa.binary())
-            yield batch.set_column(at, batch.schema.field(at), wide)
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                wide = pa.array([np.frombuffer(x, kind).astype("<u4").tobytes() for x in part.column(at).to_pylist()], pa.binary())
+                yield part.set_column(at, batch.schema.field(at), wide)
 
     return go
 
