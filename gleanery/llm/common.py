@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,6 +165,13 @@ def word_hashes(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray,
     return piece_hashes(_LOWERED[data] if lower else data, start, stop), start, stop
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most so many rows, so that a task holds few texts as Python objects at once."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def grouped(texts: list[bytes], most: int = 1 << 21):
     """Runs (first, last) of texts of about `most` bytes together, so that what numpy holds at once is bounded."""
     first, size = 0, 0

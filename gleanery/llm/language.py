@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import grouped, named, ready
+from .common import grouped, named, ready, small
 from .letters import categories, code_points
 
 UNKNOWN = "und"
@@ -67,7 +67,7 @@ def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for text in batch.column(1).to_pylist():
             flags = np.zeros(SPACE_OF_GRAMS, bool)
@@ -151,7 +151,7 @@ def _texts(column: pa.Array) -> list[str]:
 
 def _predicted(shared):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             names, scores = predictions(shared.value, _texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -160,7 +160,7 @@ def _predicted(shared):
 
 def _known(shared, at: int, least: float):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             names, scores = predictions(shared.value, _texts(batch.column(at)))
             yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 

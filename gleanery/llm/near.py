@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, forget, grouped, keep_ids, materialize, mix, named, ready, scratch, words_of
+from .common import BROADCAST_ROWS, forget, grouped, keep_ids, materialize, mix, named, ready, scratch, small, words_of
 from .components import components
 
 WIDTH, PERCENT = 5, 75
@@ -109,7 +109,7 @@ def _summaries(width: int):
             columns = [pa.array(np.full(len(n), kind, np.int32)), ids, *(pa.array(x.astype(np.int64)) for x in (n, a.view(np.int64), b.view(np.int64)))]
             return pa.RecordBatch.from_arrays(columns, names=["kind", "doc_id", "n", "k1", "k2"])
 
-        for batch in batches:
+        for batch in small(batches):
             texts, size = _texts(batch), 0
             for first, last in grouped(texts):
                 tokens, at = shingles(texts[first:last], width)
@@ -208,7 +208,7 @@ def _dealt(width: int, bits: int, hot):
             return _table(rows).combine_chunks().to_batches()
 
         size = 0
-        for batch in batches:
+        for batch in small(batches):
             texts, ids = _texts(batch), batch.column(0).to_numpy(zero_copy_only=False)
             for first, last in grouped(texts):
                 tokens, at = shingles(texts[first:last], width)

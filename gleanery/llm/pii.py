@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import named, ready
+from .common import named, ready, small
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "address")
@@ -171,7 +171,7 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind_type = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    for batch in batches:
+    for batch in small(batches):
         ids, texts = batch.column(0), batch.column(1)
         sizes, kinds, starts, ends = [0], [], [], []
         for text in texts:
@@ -195,7 +195,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _redacted(columns: list[str], text_col: str):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = columns.index(text_col)
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for value in batch.column(at):
                 text = value.as_py()
