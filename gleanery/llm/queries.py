@@ -1,4 +1,4 @@
-"""The ten operators as registered queries: each applies one to its whole table with production parameters."""
+"""The operators as registered queries: each applies one to its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import agenda, chat, exact_dedup, language, near, packing, pages, pii, quality, token_counts
+from . import agenda, chat, exact_dedup, infill, language, near, packing, pages, pii, quality, token_counts, vectors
 from .vocabularies import vocabulary
 
 
@@ -54,6 +54,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.transform(_table(spark, sf_dir, "documents")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.codes(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -65,8 +73,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language": op9_language,
     "op10_quality": op10_quality,
+    "op11_infill": op11_infill,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+def _vector_codes() -> str:
+    """Codebooks and codes by plain SQL: every part meets every entry of its position."""
+    nearest = """SELECT vec_id, part, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM (
+        SELECT vec_id, part, entry, sum((x - y) * (x - y))::BIGINT AS d FROM v JOIN {book} USING (part, place) GROUP BY ALL) GROUP BY vec_id, part"""
+    moved = """SELECT part, entry, place, coalesce(floor(total / rows)::BIGINT, y) AS y FROM {book} LEFT JOIN (
+        SELECT part, entry, place, sum(x) AS total, count(*) AS rows FROM v JOIN {near} USING (vec_id, part) GROUP BY ALL) USING (part, entry, place)"""
+    return f"""
+        WITH k AS (SELECT vec_id, label, embedding, len(embedding) // 16 AS w FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        v AS (SELECT vec_id, (i - 1) // w AS part, (i - 1) % w AS place, floor(256 * embedding[i]::DOUBLE)::BIGINT AS x FROM k, unnest(generate_series(1, len(embedding))) AS s(i)),
+        b0 AS (SELECT part, entry, place, x AS y FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k QUALIFY entry < 64) USING (vec_id)),
+        n0 AS MATERIALIZED ({nearest.format(book="b0")}),
+        b1 AS MATERIALIZED ({moved.format(book="b0", near="n0")}),
+        n1 AS MATERIALIZED ({nearest.format(book="b1")}),
+        b2 AS MATERIALIZED ({moved.format(book="b1", near="n1")}),
+        n2 AS MATERIALIZED ({nearest.format(book="b2")}),
+        c AS (SELECT vec_id, string_agg(lpad(to_hex(entry), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM n2 GROUP BY vec_id),
+        s AS (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM b2)
+        SELECT vec_id, lower(code) AS code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (vec_id), s
+    """
+
+
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": r"""
@@ -74,4 +106,18 @@ ORACLE_SQL: dict[str, str] = {
              g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)
     """,
+    "op11_infill": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+                   regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+        n AS (SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+        f AS (
+            SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+                   least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM n),
+        c AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256 FROM c
+    """,
+    "op13_vector_codes": _vector_codes(),
 }
