@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import agenda, chat, exact_dedup, infill, language, near, packing, pages, pii, quality, token_counts, vectors
+from . import agenda, chat, classes, exact_dedup, infill, language, near, packing, pages, pii, quality, token_counts, vectors
 from .vocabularies import vocabulary
 
 
@@ -58,6 +58,10 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(infill.transform(_table(spark, sf_dir, "documents")))
 
 
+def op12_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes.score(_table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.codes(_table(spark, sf_dir, "embeddings"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_quality": op10_quality,
     "op11_infill": op11_infill,
+    "op12_class_lm": op12_class_lm,
     "op13_vector_codes": op13_vector_codes,
 }
 
