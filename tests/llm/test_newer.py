@@ -145,3 +145,169 @@ def test_label_errors_by_either_join(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BROADCAST_ROWS", 3)
     monkeypatch.setattr(vectors, "LARGE", 12)
     assert sorted(map(tuple, vectors.with_label_error(coded).select("vec_id", "label", "code", "error", "label_error").collect()), key=str) == sorted(small, key=str)
+
+
+# --- 12 -------------------------------------------------------------------------------------------------------------
+
+
+def tokens_of(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return [*re.findall(r"[^\x20\x09-\x0D]+", low), ""]
+
+
+def corpus(n=160, seed=3):
+    """Two invented languages, each with nouns that follow articles."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        if i % 2:
+            words = [w for _ in range(rng.randint(0, 60)) for w in (rng.choice(["the", "A", "an"]), rng.choice(["cat", "dog", "Ox", f"beast{rng.randint(0, 99)}"]))]
+        else:
+            words = [w for _ in range(rng.randint(0, 60)) for w in (rng.choice(["der", "die", "das"]), rng.choice(["Hund", "Katze", f"Tier{rng.randint(0, 99)}", "Ochse"]))]
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def naive_scores(rows, group, classes_n):
+    """Scores by plain dictionaries, given the class of each word."""
+    import zlib
+
+    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 10 == 0
+    train = [tokens_of(t) for i, t in rows if not held(i)]
+    count = Counter(w for t in train for w in t)
+    n, v = sum(count.values()), len(count)
+    size, words = Counter(), Counter()
+    for w, c in count.items():
+        size[group[w]] += c
+        words[group[w]] += 1
+    pairs = Counter((group[a], group[b]) for t in train for a, b in zip(["", *t[:-1]], t, strict=True))
+    before, after, total = Counter(), Counter(), sum(pairs.values())
+    for (a, b), c in pairs.items():
+        before[a] += c
+        after[b] += c
+    share = lambda c: (after[c] + 1) / (total + classes_n)
+    move = lambda p, c: share(c) if p is None else (pairs[p, c] + classes_n * share(c)) / (before[p] + classes_n)
+    mass = lambda c: size[c] + 0.1 * (words[c] + 1)
+    out = []
+    for i, text in rows:
+        tokens, last, score = tokens_of(text), group.get("") if count[""] else None, 0.0
+        for w in tokens:
+            c = group[w] if count[w] else None
+            p = sum(move(last, k) * 0.1 / mass(k) for k in range(classes_n)) if c is None else move(last, c) * (count[w] + 0.1) / mass(c)
+            score, last = score + math.log10(p), c
+        base = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
+        out.append((i, held(i), len(tokens), sum(count[w] > 0 for w in tokens), n, round(base, 6), round(score, 6)))
+    return out
+
+
+def learnt(spark, rows, **how):
+    """The class of each word that the operator learns from rows."""
+    import numpy as np
+
+    from gleanery.llm import classes
+    from gleanery.llm.common import words_of
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = classes.learn(*classes.chunked(df, classes.held_out(df["doc_id"])), **how)
+    found = dict(zip(model.frequent.value.words.tolist(), model.classes.value.tolist(), strict=False))
+    rarer = {r["word"] % (1 << 64): r["class"] for r in model.rarer.collect()}
+    assert not found.keys() & rarer.keys()
+    group = {"": 0}
+    for w in {w for _, t in rows for w in tokens_of(t) if w}:
+        h = int(np.maximum(words_of([w.encode()], lower=True)[0], 1)[0])
+        group[w] = (found | rarer).get(h)
+    return group, len(found), len(rarer)
+
+
+@pytest.mark.parametrize("share", [1 << 18, 60])
+def test_scores_agree_with_dictionaries(spark, share):
+    from gleanery.llm import classes
+
+    rows = [*corpus(), (None, "the cat"), (7, "twice"), (7, "twice"), (900, None), (901, ""), (902, " \t\n"), (903, "unseen words only"), (904, "the cat sat " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS word", "3 AS held", "4 AS chunk")
+    group, often, seldom = learnt(spark, rows, classes=8, share=share)
+    assert (seldom == 0) == (share == 1 << 18) and often > 8
+    found = sorted(map(tuple, classes.score(df.repartition(3), classes=8, share=share).collect()), key=repr)
+    due = sorted(naive_scores(rows, group, 8), key=repr)
+    assert [(*r[:5], round(r[5], 6), round(r[6], 6)) for r in found] == due
+
+
+def test_classes_raise_the_likelihood_of_held_out_texts(spark):
+    from gleanery.llm import classes
+
+    rows = corpus(600)
+    group, *_ = learnt(spark, rows, classes=8)
+    english, german = ({group[w] for w in words} for words in (("cat", "dog", "ox"), ("hund", "katze", "ochse")))
+    assert not english & german and {group[a] for a in ("the", "a", "an", "der", "die", "das")}.isdisjoint(english | german)
+    held = classes.score(spark.createDataFrame(rows, "doc_id long, text string"), classes=8).where("held_out").selectExpr("sum(score) s", "sum(base_score) b", "sum(n_tokens) n").first()
+    assert 10 ** ((held["s"] - held["b"]) / held["n"]) > 2  # perplexity is less than half of that of single words
+
+
+def test_best_classes_are_those_of_the_likelihood_from_scratch():
+    import numpy as np
+
+    from gleanery.llm import classes
+
+    rng = np.random.default_rng(2)
+    words, size = 14, 6
+    own = np.concatenate([[0], rng.integers(1, size - 1, words - 2), [size - 1]])  # the end, words, the rarer words
+    pairs = rng.integers(0, 6, (words, words)) * (rng.random((words, words)) < 0.5)
+    cells = lambda g: sum(pairs[a, b] * np.outer(np.eye(size)[g[a]], np.eye(size)[g[b]]) for a in range(words) for b in range(words))
+    apart = pairs * (1 - np.eye(words, dtype=np.int64))
+    ones = np.eye(size, dtype=np.int64)[own]
+    left, right = apart.T @ ones, apart @ ones
+    n = np.maximum(pairs.sum(0), pairs.sum(1))
+    np.fill_diagonal(pairs, 0)
+    who = np.arange(1, words - 1)
+    # The marginals of both sides move by n each; make them agree by counting only what stands on both sides.
+    for w in who:
+        gains = []
+        for c in range(1, size - 1):
+            moved = own.copy()
+            moved[w] = c
+            matrix = cells(moved)
+            gains.append((classes.phi(matrix).sum(), c, matrix))
+        best, _ = classes.best_classes(own[[w]], np.array([0]), left[[w]], right[[w]], cells(own))
+        inner = [round(g, 6) for g, *_ in gains]
+        assert round(gains[int(best[0]) - 1][0], 6) == max(inner), w
+    assert n.min() >= 0
+
+
+def test_scores_without_anything_to_learn_from(spark):
+    from gleanery.llm import classes
+
+    assert classes.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    only_held = [(i, "some words") for i in range(300)]
+    df = spark.createDataFrame(only_held, "doc_id long, text string")
+    rows = classes.score(df.where(classes.held_out(df["doc_id"]))).collect()
+    assert rows and {(r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in rows} == {(0, 0, 0.0, 0.0)}
+    nulls = classes.score(spark.createDataFrame([(1, None), (2, None)], "doc_id long, text string")).collect()
+    assert {r["n_tokens"] for r in nulls} == {1}
+
+
+def test_a_hash_of_two_words_is_seen(spark):
+    from gleanery.llm import classes
+
+    df = spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string").coalesce(1)
+    chunks = classes.chunked(df, classes.held_out(df["doc_id"]))[0]
+    row = chunks.first()
+    same = spark.createDataFrame([row.asDict() | {"words": row["words"], "checks": bytes(len(row["checks"])), "chunk": 9}, row.asDict()], chunks.schema)
+    assert classes._vocabulary_of(same)[1] and not classes._vocabulary_of(chunks)[1]
+    other = chunks.sparkSession.createDataFrame(df.collect(), df.schema).selectExpr("doc_id", "false AS held", "text").mapInArrow(classes._chunks(1 << 20, 1), classes.CHUNKS)
+    assert {r["n"] for r in classes._vocabulary_of(other)[0].where("word <> 0").collect()} == {1}
+
+
+def test_sums_are_given_out_in_bounds(monkeypatch):
+    import numpy as np
+
+    from gleanery.llm import classes
+
+    monkeypatch.setattr(classes, "HELD", 100)
+    sums, total = classes._Sums(), Counter()
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        codes = rng.integers(0, 500, 40)
+        if sums.add(codes, np.ones(40)):
+            total.update(dict(zip(*(x.tolist() for x in sums.taken()), strict=True)))
+        assert sums.rows <= 140
+    total.update(dict(zip(*(x.tolist() for x in sums.taken()), strict=True)))
+    assert sum(total.values()) == 2000
