@@ -9,6 +9,9 @@ contract's columns and the token ids.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,26 +21,44 @@ from gleanery.llm.vocabularies import vocabulary
 
 #: Least score of a language that is trusted.
 TRUSTED = 0.3
+#: Bytes of an Arrow batch: Spark cuts batches before a Python worker gets them, however long the texts are.
+BATCH = 4 << 20
+
+
+def bounded(stage: Callable) -> Callable:
+    """A stage whose batches of rows are bounded by bytes as well (the session keeps the setting, as plans run later)."""
+
+    @wraps(stage)
+    def run_bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+        return stage(spark, docs, sf_dir)
+
+    return run_bounded
 
 
+@bounded
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.filter_known(docs, TRUSTED)
 
 
+@bounded
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
+@bounded
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near.deduplicate(docs)
 
 
+@bounded
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts without personal data; n_chars follows the new text."""
     clean = pii.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
+@bounded
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(docs, vocabulary("byte_bpe_50k.json")), "ids")
 
