@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import judged, kept, more, recall, rescored, routes, wide  # noqa: F401  register their queries
+from .plans import judged, kept, located, more, recall, rescored, routes, wide  # noqa: F401  register their queries
 from .plans.bound import QUERIES, SQL, Query
 
 

@@ -41,14 +41,27 @@ def folded(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
+def words(text: Column) -> Column:
+    """Case-folded words in order."""
+    return _words(folded(text))
+
+
+def pieces(w: Column) -> Column:
+    """A word, and its two-character pieces if it has CJK characters."""
+    two = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
+    return F.when(w.rlike(f"[{CJK}]") & (F.length(w) > 1), F.concat(F.array(w), two)).otherwise(F.array(w))
+
+
 def tokens(text: Column) -> Column:
     """Case-folded word tokens in order; a token with CJK characters is followed by its two-character pieces."""
+    return F.flatten(F.transform(words(text), pieces))
 
-    def pieces(w: Column) -> Column:
-        two = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
-        return F.when(w.rlike(f"[{CJK}]") & (F.length(w) > 1), F.concat(F.array(w), two)).otherwise(F.array(w))
 
-    return F.flatten(F.transform(_words(folded(text)), pieces))
+def token_count(text: Column) -> Column:
+    """How many tokens a text has, without making them."""
+    low = folded(text)
+    cjk = F.regexp_extract_all(low, F.lit(f"(?U)[\\w{CJK}]*[{CJK}][\\w{CJK}]*"), F.lit(0))
+    return F.size(_words(low)) + F.aggregate(cjk, F.lit(0), lambda n, w: n + F.length(w) - 1)
 
 
 def _nothing() -> Column:
@@ -313,3 +326,82 @@ def salient(query: Column, most: int = 12) -> Column:
     last = F.slice(told, F.greatest(F.lit(1), F.size(told) - 5), 6)
     beside = F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size(raw) - 1), lambda i: raw[i].isin(*DIAGNOSTIC)), lambda i: F.slice(raw, F.greatest(F.lit(1), i - 1), F.lit(3) + F.least(i, F.lit(2)))))
     return F.slice(F.filter(F.array_distinct(F.concat(quoted, last, beside)), lambda t: F.length(t) > 1), 1, most)
+
+
+#: Words that name a kind of owner in a request. Fixed values.
+OWNER_KINDS = {
+    "adapter": ("adapter", "适配"), "boundary": ("boundary", "边界"), "policy": ("policy", "策略"), "coordinator": ("coordinator", "协调器"),
+    "component": ("component", "view", "page", "builder", "组件", "视图", "页面", "构建器"), "controller": ("controller", "控制器"), "manager": ("manager", "管理器"),
+    "model": ("model", "模型"), "repository": ("repository", "仓库"), "service": ("service", "服务"), "store": ("store", "状态仓"), "viewmodel": ("viewmodel", "view model", "视图模型"),
+}
+#: What leads to the target of a request, what ends it, and what tells of several targets. Fixed values.
+TARGET_CUE = r"(?i)(?:\b(?:locate|find|identify|return)\b|定位|查找|找到|返回|给出)([^.!?。！？;；\n]*)"
+SEVERAL_TARGETS = r"(?i)\b(both|chain|flow|path|trace|owners|and the)\b|链|路径|同时|两个|两处|多个|各自"
+#: Words that ask for tests, and for what they test. Fixed values.
+VALIDATION = ("assert", "assertion", "coverage", "regression", "spec", "test", "tests", "verify", "verification", "断言", "测试", "验证")
+IMPLEMENTATION = ("code", "implementation", "inspect", "locate", "production", "source", "实现", "定位", "方法", "源码", "生产")
+#: Concepts of behaviour: groups of words of which all must stand in a request, and the markers that they stand for. A
+#: project gives its own; these are a few common ones.
+BEHAVIOURS = (
+    ((("state", "update"), ("state", "write")), ("state_write", "setstate")),
+    ((("route",), ("navigate",)), ("navigation", "router", "pushurl")),
+    ((("save", "store"), ("persist",)), ("persistence_write", "storage")),
+    ((("early", "return"), ("guard",)), ("guard", "return")),
+    ((("list", "empty"),), ("emptystate", "foreach")),
+)
+
+
+def _kinds_in(clause: Column) -> list[Column]:
+    spaced = F.translate(F.lower(clause), "-_", "  ")
+    return [F.when(reduce(lambda x, y: x | y, (spaced.rlike(rf"\b{w}\b") if w.isascii() else spaced.contains(w) for w in words)), kind) for kind, words in OWNER_KINDS.items()]
+
+
+def _told_targets(query: Column) -> Column:
+    return F.array_compact(F.array(*_kinds_in(F.concat_ws(".", F.regexp_extract_all(query, F.lit(TARGET_CUE), F.lit(1))))))
+
+
+def requested_kinds(query: Column) -> Column:
+    """The kinds of owner that a request is after: those of its target, if it names one, else all that it mentions."""
+    told = _told_targets(query)
+    return F.when(F.size(told) > 0, told).otherwise(F.array_compact(F.array(*_kinds_in(query))))
+
+
+def target_kinds(query: Column) -> Column:
+    """The kinds of owner that a request of one target names as its target."""
+    return F.when(query.rlike(SEVERAL_TARGETS), _nothing()).otherwise(_told_targets(query))
+
+
+def artifact_intent(query: Column) -> Column:
+    """Whether a request is after tests (validation), both (neutral), or neither or production code (implementation)."""
+    terms = query_tokens(query)
+    has = lambda words: F.arrays_overlap(terms, F.array(*map(F.lit, words)))
+    return F.when(has(VALIDATION), F.when(has(IMPLEMENTATION), "neutral").otherwise("validation")).otherwise("implementation")
+
+
+def owner_named(query: Column, owner: Column) -> Column:
+    """Whether a request holds an owner's name of two parts or more as a word of its own."""
+    name = F.trim(F.coalesce(owner, F.lit("")))
+    parts = F.regexp_extract_all(name, F.lit("[A-Z]+(?=[A-Z][a-z]|$)|[A-Z]?[a-z]+|[0-9]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(query), F.lit(r"(?<![-a-z0-9_$/.])[a-z_$][a-z0-9_$]*(?![-a-z0-9_$/.])"), F.lit(0))
+    plain = F.regexp_replace(F.lower(name), "[^a-z0-9_$]", "")
+    return (F.length(name) >= 3) & (F.size(parts) >= 2) & (plain != "") & F.array_contains(words, plain)
+
+
+def behaviours(query: Column, concepts: tuple = BEHAVIOURS) -> Column:
+    """The markers of the behaviours that a request describes, its words in any of their forms."""
+    terms = query_tokens(query)
+    low = F.lower(query)
+
+    def told(word: str) -> Column:
+        if not (word.isascii() and word.isalnum()):
+            return low.contains(word)
+        return F.arrays_overlap(terms, F.array(*map(F.lit, (word, f"{word}s", f"{word}ed", f"{word}ing", f"{word}{word[-1]}ing"))))
+
+    every = lambda group: reduce(lambda x, y: x & y, map(told, group))
+    found = [F.when(reduce(lambda x, y: x | y, map(every, groups)), F.array(*map(F.lit, markers))).otherwise(_nothing()) for groups, markers in concepts]
+    return F.array_distinct(F.concat(*found))
+
+
+def behaves(query: Column, concepts: tuple = BEHAVIOURS) -> Column:
+    """Whether a request describes a behaviour."""
+    return F.size(behaviours(query, concepts)) > 0

@@ -25,25 +25,30 @@ LANES = {
 def postings(passages: DataFrame, fields: list[str], distinct: bool = False) -> DataFrame:
     """(id, field, term, tf, doc_len) of passages (id and text fields); doc_len counts the tokens of all fields.
 
-    One pass over the texts; rows of one passage are made in one task, so nothing is shuffled.
+    Words become rows, which Spark counts within tasks before it shuffles. With `distinct`, terms of one character are
+    left out and each term of a field counts once.
     """
-    told = F.array(*(F.struct(F.lit(f).alias("field"), T.tokens(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in fields))
-    kept = F.transform(told, lambda x: F.struct(x["field"].alias("field"), (F.filter(F.array_distinct(x["t"]), lambda w: F.length(w) > 1) if distinct else x["t"]).alias("t")))
-    split = passages.select("id", kept.alias("f")).withColumn("doc_len", F.aggregate("f", F.lit(0), lambda n, x: n + F.size(x["t"])))
-    each = split.select("id", "doc_len", F.explode("f").alias("f")).select("id", "doc_len", "f.field", F.array_sort("f.t").alias("t"))
-    # Runs of the sorted terms: the places at which a term begins tell how often it occurs.
-    begins = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.col("t")[i] != F.try_element_at("t", i)))
-    runs = each.where(F.size("t") > 0).withColumn("at", begins)
-    counted = F.transform("at", lambda a, i: F.struct(F.col("t")[a].alias("term"), (F.coalesce(F.try_element_at("at", i + 2), F.size("t")) - a).cast("long").alias("tf")))
-    return runs.select("id", "field", "doc_len", F.explode(counted).alias("x")).select("id", "field", "x.term", "x.tf", F.col("doc_len").cast("long").alias("doc_len"))
+    text = lambda f: F.coalesce(F.col(f), F.lit(""))
+    doc_len = passage_length(fields).cast("long").alias("doc_len")
+    each = passages.select("id", doc_len, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), text(f).alias("text")) for f in fields))).alias("f"))
+    found = each.select("id", "doc_len", "f.field", F.explode(T.words(F.col("f.text"))).alias("word"))
+    terms = found.select("id", "doc_len", "field", F.explode(T.pieces(F.col("word"))).alias("term"))
+    if distinct:
+        terms = terms.where(F.length("term") > 1)
+    tf = (F.lit(1) if distinct else F.count("*")).cast("long").alias("tf")
+    return terms.groupBy("id", "field", "term", "doc_len").agg(tf).select("id", "field", "term", "tf", "doc_len")
+
+
+def passage_length(fields: list[str]) -> Column:
+    """The tokens of all fields of a passage."""
+    return reduce(lambda x, y: x + y, (T.token_count(F.coalesce(F.col(f), F.lit(""))) for f in fields))
 
 
 def write_index(passages: DataFrame, fields: list[str], path: str) -> None:
     """The postings sorted by term, so that a search reads only the row groups of its terms, and the lengths of all passages."""
     found = postings(passages, fields)
     found.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
-    lengths = reduce(lambda x, y: x + y, (F.size(T.tokens(F.coalesce(F.col(f), F.lit("")))) for f in fields))
-    passages.agg(F.count("*").alias("n"), F.avg(lengths).alias("mean_len")).write.parquet(f"{path}/lengths")
+    passages.agg(F.count("*").alias("n"), F.avg(passage_length(fields)).alias("mean_len")).write.parquet(f"{path}/lengths")
 
 
 def _among(term: Column, terms: list[str], prefix: bool) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import adjustments, graph, index, logs, scoring
+from ..operators import adjustments, graph, index, logs, scoring, upkeep
 from ..sources.records import table
 from . import views
 from .bound import query
@@ -337,3 +337,66 @@ def _(s, d):
     told = ["neighbor_context", "timestamp", "level", "process", "event_type", "reason", "error_code", "request_or_session_id"]
     return scored.where(F.col("signal").isin(*told)).groupBy("signal").agg(F.count("*").alias("n"))
 
+
+
+# --- an index that follows its table ---------------------------------------------------------------------------------
+
+_KEPT = "p_partkey % 5 <> 0"
+#: What changes the index: some parts come, some get another name (twice, the later one counts), some go.
+_CHANGE = "CASE WHEN p_partkey % 11 = 0 THEN 'delete' WHEN p_partkey % 5 = 0 THEN 'insert' WHEN p_partkey % 7 = 0 THEN 'update' END"
+_AFTER = "concat('fresh ', p_name, CASE WHEN p_partkey % 2 = 0 THEN ' again' ELSE '' END)"
+_NOW_SQL = f"""now AS (SELECT p_partkey AS id, p_type, p_brand, CASE WHEN p_partkey % 7 = 0 AND p_partkey % 5 <> 0 THEN {_AFTER} ELSE p_name END AS p_name FROM part WHERE p_partkey % 11 <> 0),
+    t AS (SELECT id, 'file_path' AS field, unnest({sql_tokens('p_type')}) AS term FROM now UNION ALL SELECT id, 'symbol', unnest({sql_tokens('p_brand')}) FROM now UNION ALL SELECT id, 'identity_terms', unnest({sql_tokens('p_name')}) FROM now),
+    dl AS (SELECT id, count(*) AS doc_len FROM t GROUP BY id), n AS (SELECT (SELECT count(*) FROM now) AS n, (SELECT count(*) FROM t) / (SELECT count(*) FROM now) AS mean_len)"""
+_FOLLOWED: dict[tuple[str, str], tuple[str, list[upkeep.Generation]]] = {}
+
+
+def followed(s: SparkSession, d: str) -> tuple[str, list[upkeep.Generation]]:
+    """An index of some parts, changed by two batches and merged: its folder and its generations. Made once a session and folder."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _FOLLOWED:
+        graph.written(s.range(1))  # the shared folder is set
+        path = f"{s.sparkContext.getCheckpointDir()}/followed-{uuid.uuid4().hex}"
+        parts, fields = table(s, d, "part"), list(FIELDS["part"])
+        told = [f"{v} AS {k}" for k, v in FIELDS["part"].items()]
+        first = upkeep.rebuild(parts.where(_KEPT).selectExpr("p_partkey AS id", *told), fields, path, "one")
+        change = parts.selectExpr("*", f"{_CHANGE} AS op").where("op is not null")
+        early = change.where("op = 'update'").selectExpr("p_partkey AS id", "op", "1L AS sequence", *(x.replace("p_name", "'stale words'") for x in told))
+        late = change.selectExpr("p_partkey AS id", "op", "2L AS sequence", *(x.replace("p_name", f"CASE op WHEN 'update' THEN {_AFTER} ELSE p_name END") for x in told))
+        batch = early.unionByName(late)
+        second = upkeep.apply(batch.where("id % 2 = 0"), path, "two")
+        third = upkeep.apply(batch.where("id % 2 = 1"), path, "three")
+        _FOLLOWED[key] = path, [first, second, third, upkeep.merge(s, path)]
+    return _FOLLOWED[key]
+
+
+_SEARCH = ["fresh", "red", "again"]
+_WEIGHTS = {"file_path": 1.0, "symbol": 2.0, "identity_terms": 9.0}
+
+
+@query("rk02_changed_index", f"WITH {_NOW_SQL}, {sql_bm25('part', _SEARCH, _WEIGHTS, 100)} SELECT id, score, terms FROM r")
+def _(s, d):
+    path, generations = followed(s, d)
+    index_now = upkeep.opened(s, path, generations[2])  # three segments with tombstones
+    return index.bm25(index_now.postings, index_now.statistics(), _SEARCH, _WEIGHTS, 100)
+
+
+@query("rk03_merged_index", f"WITH {_NOW_SQL} SELECT id, field, term, count(*) AS tf, max(doc_len) AS doc_len FROM t JOIN dl USING (id) GROUP BY id, field, term")
+def _(s, d):
+    path, generations = followed(s, d)
+    return upkeep.opened(s, path, generations[3]).postings.select("id", "field", "term", "tf", "doc_len")
+
+
+@query("st04_generations", f"""WITH c AS (SELECT p_partkey AS id, {_CHANGE} AS op, {_KEPT} AS had FROM part),
+    k AS (SELECT *, op = 'delete' AND had AS lost, op = 'insert' AS came, op IS NOT NULL AND had AS retires FROM c)
+    SELECT 1 AS generation, 1 AS segments, 'one' AS source_revision, count(*) FILTER (had) AS indexed, 0 AS retired, count(*) FILTER (had) AS seen FROM k
+    UNION ALL SELECT 2, 2, 'two', count(*) FILTER (had) - count(*) FILTER (lost AND id % 2 = 0) + count(*) FILTER (came AND id % 2 = 0), count(*) FILTER (retires AND id % 2 = 0),
+        count(*) FILTER (had) - count(*) FILTER (lost AND id % 2 = 0) + count(*) FILTER (came AND id % 2 = 0) FROM k
+    UNION ALL SELECT 3, 3, 'three', count(*) FILTER (had) - count(*) FILTER (lost) + count(*) FILTER (came), count(*) FILTER (retires AND id % 2 = 1), count(*) FILTER (had) - count(*) FILTER (lost) + count(*) FILTER (came) FROM k
+    UNION ALL SELECT 4, 1, 'three', count(*) FILTER (had) - count(*) FILTER (lost) + count(*) FILTER (came), 0, count(*) FILTER (had) - count(*) FILTER (lost) + count(*) FILTER (came) FROM k""")
+def _(s, d):
+    path, generations = followed(s, d)
+    seen = [upkeep.opened(s, path, g).lengths.select(F.lit(g.generation).alias("generation")) for g in generations]
+    counts = reduce(DataFrame.unionByName, seen).groupBy("generation").agg(F.count("*").alias("seen"))
+    told = s.createDataFrame([(g.generation, len(g.segments), g.source_revision, g.indexed, g.retired) for g in generations], "generation long, segments long, source_revision string, indexed long, retired long")
+    return told.join(counts, "generation", "left")
