@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,18 +35,22 @@ def callers(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return reached.where("depth > 0").select("node", F.col("depth").cast("long").alias("depth"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that executors share; an own one only where all run on one machine."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that executors share: spark.checkpoint.dir; an own one only where all run on one machine."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         found = context.getConf().get("spark.checkpoint.dir", None)
-        if found:
-            context.setCheckpointDir(found)
-            return df.checkpoint()
-        if not context.master.startswith("local"):
+        if not found and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='gleanery-')}")
-    return df.checkpoint()
+        context.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='gleanery-')}")
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read again: made once, whatever reads it, and kept if executors are lost."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -28,8 +28,7 @@ def indexed(s: SparkSession, d: str, name: str) -> tuple[DataFrame, DataFrame]:
     """Postings and lengths of a table, written once a session and folder."""
     key = (s.sparkContext.applicationId, d, name)
     if key not in _INDEXES:
-        graph.written(s.range(1))  # the shared folder is set
-        path = f"{s.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+        path = f"{graph.shared_folder(s)}/index-{uuid.uuid4().hex}"
         index.write_index(passages(s, d, name), list(FIELDS[name]), path)
         _INDEXES[key] = path
     return s.read.parquet(f"{_INDEXES[key]}/postings"), s.read.parquet(f"{_INDEXES[key]}/lengths")
@@ -355,8 +354,7 @@ def followed(s: SparkSession, d: str) -> tuple[str, list[upkeep.Generation]]:
     """An index of some parts, changed by two batches and merged: its folder and its generations. Made once a session and folder."""
     key = (s.sparkContext.applicationId, d)
     if key not in _FOLLOWED:
-        graph.written(s.range(1))  # the shared folder is set
-        path = f"{s.sparkContext.getCheckpointDir()}/followed-{uuid.uuid4().hex}"
+        path = f"{graph.shared_folder(s)}/followed-{uuid.uuid4().hex}"
         parts, fields = table(s, d, "part"), list(FIELDS["part"])
         told = [f"{v} AS {k}" for k, v in FIELDS["part"].items()]
         first = upkeep.rebuild(parts.where(_KEPT).selectExpr("p_partkey AS id", *told), fields, path, "one")

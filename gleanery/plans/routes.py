@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, paths, tables
+from ..operators import graph, imports, paths, tables
 from ..sources.records import table
 from . import views
 from .bound import query
@@ -238,3 +238,76 @@ def _(s, d):
     rules = s.createDataFrame([("a", "imports", 0.9), ("b", None, 0.99), ("c", "calls", None)], "rule string, wanted string, least double")
     fits = (F.col("wanted").isNull() | (F.col("relation") == F.col("wanted"))) & (F.col("least").isNull() | (F.col("confidence") >= F.col("least")))
     return views.edges(s, d).join(F.broadcast(rules), fits).groupBy("rule").agg(F.count("*").alias("edges"))
+
+
+# --- references between files ----------------------------------------------------------------------------------------
+
+_N = "CAST((page_id - page_id % 2) / 2 AS BIGINT)"
+_NTH = f"CAST({_N} + {{}} AS VARCHAR(20))"
+#: Files made of pages: sources and notes that refer to their neighbours, and the pages themselves.
+FILE = {
+    "path": f"""concat(CASE {_N} % 3 WHEN 0 THEN 'src' WHEN 1 THEN 'src/lib' ELSE 'docs' END, '/', CASE WHEN {_N} % 10 = 7 THEN 'index' ELSE concat('f', {_N}) END,
+        CASE page_id % 6 WHEN 0 THEN '.ts' WHEN 1 THEN '.js' WHEN 2 THEN '.py' WHEN 3 THEN '.md' WHEN 4 THEN '.html' ELSE '.ets' END)""",
+    "text": f"""CASE WHEN page_id % 6 IN (0, 1, 5) THEN concat('import {{ a }} from "./f', {_NTH.format(3)}, '"; const b = require("../lib/f', {_NTH.format(4)}, '.js"); import c from "./lib"; import d from "react"; e = import("../../../up")',
+            CASE WHEN page_id % 6 = 5 THEN concat('; router.pushUrl({{ url: "src/f', {_NTH.format(12)}, '" }})') ELSE '' END)
+        WHEN page_id % 6 = 2 THEN concat('from .f', {_NTH.format(3)}, ' import f', {_NTH.format(6)}, ', g', chr(10), 'from ..src import f', {_NTH.format(2)}, chr(10), 'import src.f', {_NTH.format(9)}, chr(10), 'import os')
+        WHEN page_id % 6 = 3 THEN concat('[a](f', {_NTH.format(3)}, '.md#x) [b](../src/f', {_NTH.format(2)}, '.ts) [c](http://example.org/) [d](#top) [e](../../out.md)') ELSE html END""",
+}
+FILES_SQL = "(SELECT " + ", ".join(f"{v} AS {k}" for k, v in FILE.items()) + " FROM pages)"
+
+
+def source_files(s, d):
+    return table(s, d, "pages").selectExpr(*(f"{v} AS {k}" for k, v in FILE.items()))
+
+
+def _normal_sql(x: str) -> str:
+    out = f"regexp_replace(regexp_replace(concat('/', {x}, '/'), '/(\\./)+', '/', 'g'), '/+', '/', 'g')"
+    for _ in range(4):
+        out = f"regexp_replace({out}, '/[^/]*[^/.][^/]*/\\.\\./', '/')"
+    return out
+
+
+def _tried_sql() -> str:
+    """The list of paths to try, by kind."""
+    stem, has = r"regexp_replace(base, '([^/])\.[^./]*$', '\1')", r"regexp_matches(base, '[^/]\.[^./]*$')"
+    out = []
+    for kind, endings in imports.SUFFIXES.items():
+        own = ["base"] if kind == "link" else [] if kind == "python" else [f"CASE WHEN {has} THEN base END"]
+        names = ["__init__"] if kind == "python" else [] if kind == "link" else ["__init__", "index"]
+        tried = own + [f"CASE WHEN {stem} <> '' THEN concat({stem}, '{e}') END" for e in endings] + [f"concat(CASE WHEN base = '' THEN '' ELSE concat(base, '/') END, '{n}{e}')" for n in names for e in endings]
+        out.append(f"WHEN '{kind}' THEN [{', '.join(tried)}]")
+    return "CASE kind " + " ".join(out) + " END"
+
+
+_LINKS_SQL = rf"""
+    files AS {FILES_SQL}, typed AS (SELECT *, regexp_extract(path, '\.([a-z]+)$', 1) AS e, regexp_replace(path, '/[^/]*$', '') AS here FROM files),
+    froms AS (SELECT path, here, unnest(regexp_extract_all(text, '(?m)^[ \t]*from[ \t]+(\.+[\w.]*)[ \t]+import[ \t]+([\w, \t*]+)', 1)) AS m, unnest(regexp_extract_all(text, '(?m)^[ \t]*from[ \t]+(\.+[\w.]*)[ \t]+import[ \t]+([\w, \t*]+)', 2)) AS names FROM typed WHERE e = 'py'),
+    dotted AS (SELECT path, here, m AS spec FROM froms UNION ALL SELECT path, here, concat(m, '.', trim(n)) FROM (SELECT path, here, m, unnest(string_split(names, ',')) AS n FROM froms)),
+    quoted AS (SELECT path, here, CASE e WHEN 'ets' THEN 'arkts' ELSE 'script' END AS kind, unnest(regexp_extract_all(text, '(?:from\s+|import\s*\(|require\s*\()\s*["'']([^"'']+)["'']', 1)) AS spec FROM typed WHERE e IN ('ts', 'js', 'ets')),
+    routed AS (SELECT path, here, unnest(regexp_extract_all(text, 'pushUrl\(\s*\{{\s*url:\s*"([^"]+)"', 1)) AS spec FROM typed WHERE e = 'ets'),
+    linked AS (SELECT path, here, unnest(CASE e WHEN 'md' THEN regexp_extract_all(text, '\[[^\]]+\]\(([^)]+)\)', 1) ELSE regexp_extract_all(text, '(?i)<a\s[^>]*href\s*=\s*["'']([^"'']*)["'']', 1) END) AS spec FROM typed WHERE e IN ('md', 'html')),
+    refs AS (
+        SELECT path, kind, spec, CASE WHEN starts_with(spec, '.') THEN concat(here, '/', spec) END AS base FROM quoted
+        UNION SELECT path, 'route', spec, unnest([spec, concat(here, '/', spec)]) FROM routed
+        UNION SELECT path, 'python', spec, concat(here, repeat('/..', length(regexp_extract(spec, '^\.+')) - 1), '/', replace(ltrim(spec, '.'), '.', '/')) FROM dotted
+        UNION SELECT path, 'python', spec, replace(spec, '.', '/') FROM (SELECT path, unnest(regexp_extract_all(text, '(?m)^[ \t]*(?:from|import)[ \t]+([A-Za-z_][\w.]*)', 1)) AS spec FROM typed WHERE e = 'py')
+        UNION SELECT path, 'link', spec, CASE WHEN NOT regexp_matches(spec, '^[A-Za-z][A-Za-z0-9+.-]*:|^//') THEN
+            CASE WHEN starts_with(spec, '/') THEN regexp_replace(spec, '[#?].*$', '') ELSE concat(here, '/', regexp_replace(spec, '[#?].*$', '')) END END FROM linked WHERE spec <> '' AND NOT starts_with(spec, '#')),
+    inside AS (SELECT path, kind, spec, CASE WHEN NOT contains(n, '/../') THEN trim(n, '/') END AS base FROM (SELECT *, {_normal_sql("base")} AS n FROM refs WHERE base IS NOT NULL) UNION ALL SELECT path, kind, spec, NULL FROM refs WHERE base IS NULL),
+    met AS (SELECT DISTINCT path, kind, spec, c AS target FROM (SELECT path, kind, spec, unnest({_tried_sql()}) AS c FROM inside WHERE base IS NOT NULL) WHERE c IN (SELECT path FROM files)),
+    told AS (SELECT path, kind, spec, max(base IS NOT NULL) AS known FROM inside GROUP BY ALL),
+    links AS (SELECT t.path, t.kind, t.spec, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' WHEN known THEN 'dangling' ELSE 'external' END AS status, target
+        FROM told t LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY path, kind, spec) AS n FROM met) m ON m.path = t.path AND m.kind = t.kind AND m.spec = t.spec)"""
+
+
+@query("ex04_resolved_links", f"WITH {_LINKS_SQL} SELECT * FROM links")
+def _(s, d):
+    return imports.resolved(source_files(s, d))
+
+
+@query("sc03_entry_related", f"""WITH RECURSIVE {_LINKS_SQL},
+    walk AS (SELECT DISTINCT path AS entry, path, 0 AS depth FROM files WHERE contains(path, '/index.') UNION SELECT entry, target, depth + 1 FROM walk JOIN links USING (path) WHERE target IS NOT NULL AND depth < 3)
+    SELECT entry, path, min(depth) AS depth FROM walk GROUP BY entry, path""")
+def _(s, d):
+    files = source_files(s, d)
+    return imports.reached(files.where("path like '%/index.%'"), imports.resolved(files), 3)
