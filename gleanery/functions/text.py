@@ -405,3 +405,27 @@ def behaviours(query: Column, concepts: tuple = BEHAVIOURS) -> Column:
 def behaves(query: Column, concepts: tuple = BEHAVIOURS) -> Column:
     """Whether a request describes a behaviour."""
     return F.size(behaviours(query, concepts)) > 0
+
+
+#: Strings and comments of program text.
+_MASKED = r"""(?s)"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*.*?\*/"""
+
+
+def argument_count(call: Column) -> Column:
+    """How many arguments stand between the first bracket of a call or signature and the one that closes it; null if none does.
+
+    Commas in strings, comments and inner brackets do not count.
+    """
+    plain = F.regexp_replace(call, _MASKED, "_")
+    chars = F.split(F.regexp_extract(plain, r"(?s)\((.*)$", 1), "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("commas"), F.lit(False).alias("told"), F.lit(False).alias("done"))
+
+    def step(a: Column, c: Column) -> Column:
+        opens, closes = c.isin("(", "[", "{"), c.isin(")", "]", "}")
+        ends = (c == ")") & (a["depth"] == 0)
+        depth = F.when(opens, a["depth"] + 1).when(closes & (a["depth"] > 0), a["depth"] - 1).otherwise(a["depth"])
+        more = F.struct(depth.alias("depth"), (a["commas"] + ((c == ",") & (a["depth"] == 0)).cast("int")).alias("commas"), (a["told"] | ~c.rlike(r"\s")).alias("told"), F.lit(False).alias("done"))
+        return F.when(a["done"], a).when(ends, F.struct(a["depth"].alias("depth"), a["commas"].alias("commas"), a["told"].alias("told"), F.lit(True).alias("done"))).otherwise(more)
+
+    found = F.aggregate(chars, start, step)
+    return F.when(found["done"], F.when(found["told"], found["commas"] + 1).otherwise(0))
