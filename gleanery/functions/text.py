@@ -348,6 +348,8 @@ BEHAVIOURS = (
     ((("save", "store"), ("persist",)), ("persistence_write", "storage")),
     ((("early", "return"), ("guard",)), ("guard", "return")),
     ((("list", "empty"),), ("emptystate", "foreach")),
+    ((("read", "storage"), ("restore",)), ("persistenceread",)),
+    ((("bind", "callback"),), ("uicallbackbinding",)),
 )
 
 
@@ -371,9 +373,8 @@ def target_kinds(query: Column) -> Column:
     return F.when(query.rlike(SEVERAL_TARGETS), _nothing()).otherwise(_told_targets(query))
 
 
-def artifact_intent(query: Column) -> Column:
-    """Whether a request is after tests (validation), both (neutral), or neither or production code (implementation)."""
-    terms = query_tokens(query)
+def artifact_intent(terms: Column) -> Column:
+    """Whether a request of these terms is after tests (validation), both (neutral), or neither or production code (implementation)."""
     has = lambda words: F.arrays_overlap(terms, F.array(*map(F.lit, words)))
     return F.when(has(VALIDATION), F.when(has(IMPLEMENTATION), "neutral").otherwise("validation")).otherwise("implementation")
 
@@ -387,9 +388,8 @@ def owner_named(query: Column, owner: Column) -> Column:
     return (F.length(name) >= 3) & (F.size(parts) >= 2) & (plain != "") & F.array_contains(words, plain)
 
 
-def behaviours(query: Column, concepts: tuple = BEHAVIOURS) -> Column:
-    """The markers of the behaviours that a request describes, its words in any of their forms."""
-    terms = query_tokens(query)
+def behaviours(query: Column, terms: Column, concepts: tuple = BEHAVIOURS) -> Column:
+    """The markers of the behaviours that a request of these terms describes, its words in any of their forms."""
     low = F.lower(query)
 
     def told(word: str) -> Column:
@@ -402,10 +402,6 @@ def behaviours(query: Column, concepts: tuple = BEHAVIOURS) -> Column:
     return F.array_distinct(F.concat(*found))
 
 
-def behaves(query: Column, concepts: tuple = BEHAVIOURS) -> Column:
-    """Whether a request describes a behaviour."""
-    return F.size(behaviours(query, concepts)) > 0
-
 
 #: Strings and comments of program text.
 _MASKED = r"""(?s)"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*.*?\*/"""

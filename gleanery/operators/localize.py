@@ -42,6 +42,18 @@ def _folder(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
+def described(requests: DataFrame) -> DataFrame:
+    """Requests with what their words tell: terms, behaviours, the kinds of owner asked for, and whether tests are meant.
+
+    Each is a column that the stages read, so a request's text is looked at once.
+    """
+    if "terms" in requests.columns:
+        return requests
+    query = F.col("query")
+    rows = requests.withColumn("terms", T.query_tokens(query))
+    return rows.withColumns({"behaviours": T.behaviours(query, F.col("terms")), "kinds": T.requested_kinds(query), "targets": T.target_kinds(query), "intent": T.artifact_intent(F.col("terms"))})
+
+
 # --- files ----------------------------------------------------------------------------------------------------------
 
 
@@ -58,7 +70,7 @@ def file_candidates(hits: DataFrame, symbols: DataFrame, requests: DataFrame, mo
     files = told.groupBy("request", "file_path").agg(
         F.greatest(F.lit(0.0), F.max("score")).alias("score"), F.min("rank").alias("first"), F.greatest(F.lit(0), F.max("coverage")).alias("coverage"), F.max(defined).alias("defined"), F.max("exact").alias("exact")
     )
-    files = files.join(requests.select("request", T.behaves(F.col("query")).alias("behaves")), "request")
+    files = files.join(described(requests).select("request", (F.size("behaviours") > 0).alias("behaves")), "request")
     best = [F.desc("score"), F.asc("first"), F.asc("file_path")]
     place = lambda flag, *order: F.when(flag, _place(["request", flag], *order))
     files = files.withColumns({"__named": F.col("exact") & F.col("behaves"), "__covered": (F.col("coverage") > 0) & F.col("behaves")})
@@ -119,7 +131,7 @@ def rank_callables(rows: DataFrame, requests: DataFrame) -> DataFrame:
     Where a request's rows hold a test and the production code of one name, the best row of the kind that the request
     asks for stands for the highest score of both, and rows of other kinds go behind all others.
     """
-    asked = requests.select("request", "query", "plain", T.query_tokens(F.col("query")).alias("__terms"), T.requested_kinds(F.col("query")).alias("__kinds"), T.target_kinds(F.col("query")).alias("__targets"), T.artifact_intent(F.col("query")).alias("__intent"))
+    asked = described(requests).select("request", "query", "plain", F.col("terms").alias("__terms"), F.col("behaviours").alias("__behaviours"), F.col("kinds").alias("__kinds"), F.col("targets").alias("__targets"), F.col("intent").alias("__intent"))
     rows = top_per_group(rows, ["request", "id"], [F.col("graph_depth")], 1).join(asked, "request")
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     hits = lambda c: F.size(F.filter("__terms", lambda t: T.token_matches(t, low(c))))
@@ -128,7 +140,7 @@ def rank_callables(rows: DataFrame, requests: DataFrame) -> DataFrame:
     lexical = reduce(lambda x, y: x + y, (hits(c) * w for c, w in FIELDS.items()), F.when(named, EXACT).otherwise(0.0))
     rows = rows.withColumns({
         "exact_symbol": named | F.col("exact"),
-        "mechanism_hits": matched_mechanisms(F.col("mechanisms"), F.array_distinct(F.concat("__terms", T.behaviours(F.col("query"))))),
+        "mechanism_hits": matched_mechanisms(F.col("mechanisms"), F.array_distinct(F.concat("__terms", "__behaviours"))),
         "kind_match": F.array_contains("__kinds", F.coalesce("owner_kind", F.lit(""))), "target_match": F.array_contains("__targets", F.coalesce("owner_kind", F.lit(""))),
         "owner_named": T.owner_named(F.col("query"), F.col("owner_name")), "__prior": prior(F.col("file_rank"), F.col("plain")), "__lexical": lexical,
     })
@@ -149,7 +161,7 @@ def rank_callables(rows: DataFrame, requests: DataFrame) -> DataFrame:
     rows = rows.withColumns({"representative": F.col("__fits") & (first == 1), "shadow": F.col("role_competition") & wanted.isNotNull() & ~F.col("__fits")})
     rank = F.when(F.col("representative"), F.col("__top")).otherwise(F.col("localization_score"))
     order = [F.col("shadow"), F.desc("owner_named"), F.desc("target_match"), F.desc(rank), F.desc("representative"), F.col("graph_depth"), F.col("file_path"), F.col("start_line"), F.col("id")]
-    return rows.withColumn("place", _place(["request"], *order)).drop("query", "plain", "__terms", "__kinds", "__targets", "__intent", "__lexical", "__prior", "__family", "__fits", "__top")
+    return rows.withColumn("place", _place(["request"], *order)).drop("query", "plain", "__terms", "__behaviours", "__kinds", "__targets", "__intent", "__lexical", "__prior", "__family", "__fits", "__top")
 
 
 # --- seeds and owners -----------------------------------------------------------------------------------------------
@@ -208,6 +220,7 @@ class Localization:
     def __init__(self, requests: DataFrame, hits: DataFrame, symbols: DataFrame, edges: DataFrame, flows: DataFrame):
         from .graph import written
 
+        requests = written(described(requests))
         self.files = written(file_candidates(hits, symbols, requests))
         pool = callable_pool(self.files, symbols, hits).withColumns({"graph_depth": F.lit(0), "graph_confidence": F.lit(0.0), "graph_relations": F.array().cast("array<string>")})
         self.pool = written(pool)

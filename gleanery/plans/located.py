@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import localize
+from ..operators import focus, localize
 from ..operators.tables import top_per_group
 from ..sources.records import table
 from . import views
@@ -202,3 +202,76 @@ def _(s, d):
 def _(s, d):
     asked, found = located(s, d)
     return localize.callable_evidence(found.callables, found.ranges, asked).withColumn("alternatives", F.array_join(F.col("alternatives").cast("array<string>"), ","))
+
+
+# --- focus ------------------------------------------------------------------------------------------------------------
+
+_R = "request % 12"
+#: What a request adds to its words so that another rule decides it.
+_ADDED = f"""CASE {_R} WHEN 0 THEN ' Brand1Service Brand2Service Brand3Service Brand7Service' WHEN 2 THEN ' bind callback read storage' WHEN 3 THEN ' state update guard' WHEN 5 THEN ' state update guard read storage'
+    WHEN 7 THEN ' openPage' WHEN 8 THEN ' shared' ELSE '' END"""
+#: Columns of the rows that a request recalled, but for the reasons; `pos` is the place.
+ITEM = {
+    "symbol": "concat('Brand', replace(replace(file_path, concat('src/', business_terms, '/Brand'), ''), '.ts', ''), 'Service')",
+    "summary": "concat('part', CASE WHEN id % 2 = 0 THEN ' state_write' ELSE '' END, CASE WHEN id % 3 = 0 THEN ' guard persistenceread' ELSE '' END, CASE WHEN id % 5 = 0 THEN ' uicallbackbinding setstate' ELSE '' END)",
+    "score": f"CASE WHEN pos > 1 AND ({_R} = 7 OR {_R} = 8 AND id % 4 > 0) THEN CAST(5 AS DOUBLE) ELSE score END",
+    "method_coverage": f"CASE WHEN {_R} IN (4, 7) THEN CASE WHEN pos = 1 THEN 4 ELSE CAST(id % 5 AS INT) END END",
+    "behaviour_coverage": f"CASE WHEN {_R} = 3 THEN CAST(id % 4 AS INT) END",
+}
+REASONS = {
+    "exact_symbol": f"exact AND {_R} <> 4", "caller_owner": f"{_R} = 1 AND id % 7 = 0", "semantic_behavior": f"{_R} = 3 AND id % 2 = 1", "multi_term_method_evidence": f"{_R} = 4", "structural_behavior": f"{_R} = 5 OR {_R} = 4 AND request > 12 AND id % 8 = 0",
+    "exact_behavior_operation": f"{_R} = 6 AND id % 5 = 0", "exact_path_segment": f"{_R} IN (7, 9) AND (id % 3 = 0 OR pos = 1)", "multi_concept_coverage": f"{_R} = 8 AND (pos = 1 OR id % 4 = 0)",
+    "graph_relation:renders_component": f"{_R} = 10 AND id % 4 = 0", "graph_neighbor": "id % 9 = 4",
+}
+
+
+def items(asked: DataFrame, recalled: DataFrame, found: DataFrame, most: int = 30) -> DataFrame:
+    """The first rows of each request, with their reasons."""
+    rows = recalled.where(F.col("rank") <= most).join(found.select("id", "business_terms"), "id").withColumnRenamed("rank", "pos")
+    reasons = F.array_compact(F.array(*(F.when(F.expr(v), k) for k, v in REASONS.items())))
+    lanes = F.when((F.col("id") % 2 == 0) | (F.col("pos") == 1), F.array(F.lit("method_body_fts")))
+    return rows.select("request", F.col("pos").alias("position"), "id", "file_path", *(F.expr(v).alias(k) for k, v in ITEM.items()), reasons.alias("reasons"), lanes.alias("lanes"))
+
+
+def _has_sql(*reasons: str) -> str:
+    return f"list_has_any(reasons, {list(reasons)})"
+
+
+_FLOWS, _STRONG, _IDENTITY = (_has_sql(*x) for x in (("graph_relation:passes_property", "graph_relation:renders_component"), ("exact_symbol", "exact_file_path", "exact_identifier", "exact_path_segment"), ("exact_symbol", "exact_file_path", "exact_identifier")))
+_FOCUS_SQL = f"""{STAGES_SQL.split("f0 AS (")[0].rstrip().rstrip(",")},
+    i0 AS (SELECT request, id, h.file_path, h.score, exact, rank AS pos, business_terms FROM hits h JOIN sym USING (id) WHERE rank <= 30),
+    i1 AS (SELECT request, pos, id, file_path, {', '.join(f'{v} AS {k}' for k, v in ITEM.items())}, list_filter([{', '.join(f"CASE WHEN {v} THEN '{k}' END" for k, v in REASONS.items())}], lambda x: x IS NOT NULL) AS reasons, (id % 2 = 0 OR pos = 1) AS body FROM i0),
+    q AS (SELECT request, concat(query, {_ADDED}) AS query FROM req),
+    g AS (SELECT request, query, list_filter([CASE WHEN contains(query, 'state update') THEN 'state_write' END, CASE WHEN contains(query, 'state update') THEN 'setstate' END, CASE WHEN contains(query, 'guard') THEN 'guard' END,
+        CASE WHEN contains(query, 'read storage') THEN 'persistenceread' END, CASE WHEN contains(query, 'bind callback') THEN 'uicallbackbinding' END], lambda x: x IS NOT NULL) AS marks FROM q),
+    i2 AS (SELECT i1.*, query, list_intersect(marks, string_split(summary, ' ')) AS own, len(marks) + CASE WHEN contains(query, 'guard') THEN 1 ELSE 0 END AS n_marks FROM i1 JOIN g USING (request)),
+    i3 AS (SELECT *, len(list_intersect(own, ['persistenceread', 'platformsensitiveui', 'uicallbackbinding'])) AS contracts, regexp_matches(query, '\\bopenPage\\b|BrandStore') AND contains(query, 'openPage') AS member,
+        contains(query, 'Brand1Service') AND symbol IN ('Brand1Service', 'Brand2Service', 'Brand3Service', 'Brand7Service') AS named, coalesce(method_coverage >= 3, false) AND {_has_sql('multi_term_method_evidence')} AS m FROM i2),
+    i4 AS (SELECT *, contracts > 0 AND contracts = max(contracts) OVER r AS c, member AND coalesce(method_coverage, 0) >= 2 AND body AND {_has_sql('exact_path_segment')} AS e, max(score) FILTER (m) OVER r AS top,
+            bool_or(m) OVER (PARTITION BY request, file_path) AS inside, max(score) FILTER (pos = 1) OVER r AS lead, max(score) FILTER (pos = 2) OVER r AS second, bool_or({_has_sql('multi_concept_coverage')}) FILTER (pos = 1) OVER r AS leads,
+            bool_or({_FLOWS}) OVER r AS flows, min(pos) FILTER (NOT {_FLOWS}) OVER r AS other,
+            count(DISTINCT file_path) FILTER (named) OVER r AS named_paths, count(DISTINCT file_path) FILTER ({_STRONG}) OVER r AS strong_paths, count(DISTINCT file_path) FILTER ({_IDENTITY}) OVER r AS identity_paths, count(DISTINCT file_path) FILTER ({_FLOWS}) OVER r AS flow_paths
+        FROM i3 WINDOW r AS (PARTITION BY request)),
+    i5 AS (SELECT *, max(score) FILTER (c) OVER r AS c_top, e AND row_number() OVER (PARTITION BY request, e ORDER BY score DESC, pos) = 1 AS owner,
+            bool_or(NOT inside AND CASE WHEN {_has_sql('exact_symbol', 'multi_concept_coverage', 'graph_relation:renders_component')} THEN score >= top * 0.85 ELSE {_has_sql('structural_behavior')} AND score >= greatest(12, top * 0.85) END) OVER r AS rivalled
+        FROM i4 WINDOW r AS (PARTITION BY request)),
+    i6 AS (SELECT *, max(score) FILTER (NOT owner AND NOT {_has_sql('graph_neighbor')}) OVER (PARTITION BY request) AS rival, c AND score >= c_top * 0.85 AS c2,
+            n_marks >= 2 AND coalesce(behaviour_coverage, 0) >= 2 AND behaviour_coverage = max(behaviour_coverage) OVER (PARTITION BY request) AND {_has_sql('semantic_behavior')} AS b2, m AND score >= top * 0.75 AND NOT coalesce(rivalled, false) AS m2 FROM i5),
+    i7 AS (SELECT *, min(pos) FILTER (c2) OVER w AS pc, min(pos) FILTER (b2) OVER w AS pb, min(pos) FILTER (m2) OVER w AS pm FROM i6 WINDOW w AS (PARTITION BY request, file_path)),
+    i8 AS (SELECT *, c2 AND dense_rank() OVER (PARTITION BY request, c2 ORDER BY pc) <= 2 AS f2, b2 AND dense_rank() OVER (PARTITION BY request, b2 ORDER BY pb) <= 2 AS f3, m2 AND dense_rank() OVER (PARTITION BY request, m2 ORDER BY pm) <= 3 AS f4 FROM i7),
+    s0 AS (SELECT request, pos, own, row_number() OVER (PARTITION BY request ORDER BY len(own) DESC, pos) AS n FROM i8 WHERE len(own) > 0 AND {_has_sql('structural_behavior')}),
+    s1 AS (SELECT request, 0 AS n, []::VARCHAR[] AS seen, []::BIGINT[] AS chosen FROM g
+        UNION ALL SELECT s1.request, s1.n + 1, CASE WHEN len(chosen) < 3 AND NOT list_has_all(seen, own) THEN list_distinct(list_concat(seen, own)) ELSE seen END, CASE WHEN len(chosen) < 3 AND NOT list_has_all(seen, own) THEN list_append(chosen, pos) ELSE chosen END
+        FROM s1 JOIN s0 ON s0.request = s1.request AND s0.n = s1.n + 1),
+    s2 AS (SELECT request, arg_max(chosen, n) AS chosen FROM s1 GROUP BY request),
+    i9 AS (SELECT *, [named AND named_paths >= 2, {_has_sql('caller_owner')}, coalesce(f2, false), coalesce(f3, false), coalesce(f4, false), coalesce(list_contains(chosen, pos), false), {_has_sql('exact_behavior_operation')},
+            coalesce(owner AND score >= greatest(12, coalesce(rival, 0) * 2), false), coalesce(contains(query, 'shared') AND leads AND second <= lead * 0.65 AND {_has_sql('multi_concept_coverage')} AND score >= lead * 0.75, false),
+            {_STRONG} AND strong_paths >= 2 AND NOT flows, flows AND CASE WHEN identity_paths >= 2 THEN {_FLOWS} OR {_IDENTITY} ELSE flow_paths >= 2 AND ({_FLOWS} OR pos = other) END] AS f FROM i8 JOIN s2 USING (request)),
+    i10 AS (SELECT *, coalesce(list_min([{', '.join(f'CASE WHEN bool_or(f[{i + 1}]) OVER r THEN {i} END' for i in range(11))}]), 11) AS rule FROM i9 WINDOW r AS (PARTITION BY request))"""
+
+
+@query("rk36_code_focus", f"WITH RECURSIVE {_FOCUS_SQL} SELECT request, pos AS position, id, {list(focus.RULES)}[rule + 1] AS rule FROM i10 WHERE rule = 11 OR f[rule + 1]")
+def _(s, d):
+    asked, found = requests(s, d), symbols(s, d)
+    told = items(asked, hits(asked, found), found)
+    return focus.focus(told, asked.withColumn("query", F.concat("query", F.expr(_ADDED)))).select("request", "position", "id", "rule")
