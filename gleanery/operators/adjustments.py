@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .feedback import CONFIRMED_BY
+from .graph import written
 
+#: Requests that may be broadcast to their events.
+BROADCAST_ROWS = 1_000_000
 #: What a confirmed reason takes off a score, at full overlap with the request. Fixed values.
 PENALTIES = {"weak_related": 18.0, "stale": 24.0, "wrong_domain": 24.0, "too_broad": 16.0, "misleading": 30.0, "overtrusted": 18.0}
 OTHER_PENALTY, MOST_PENALTY = 12.0, 40.0
@@ -30,9 +33,11 @@ def confirmed_overlaps(events: DataFrame, query: str, kind: str, intrinsic: list
     events: event_id, record_id, task_id, verified, query and the column `kind`. Confirmed: verified once, seen in two
     tasks, or of an intrinsic kind. Overlaps are counted once for each distinct request.
     """
-    wanted = F.filter(T.query_tokens(F.lit(query)), lambda t: F.length(t) > 1)
-    texts = events.select("query").distinct().withColumn("__overlap", T.jaccard(wanted, F.filter(T.query_tokens(F.col("query")), lambda t: F.length(t) > 1)))
-    near = events.join(texts.where("__overlap > 0"), "query")
+    terms = lambda text: F.filter(T.query_tokens(text), lambda t: F.length(t) > 1)
+    # The distinct requests are written, so that no plan carries their terms to the events.
+    texts = written(events.select("query").distinct().withColumn("__terms", terms(F.col("query"))).withColumn("__wanted", terms(F.lit(query))).select("query", T.jaccard(F.col("__wanted"), F.col("__terms")).alias("__overlap")))
+    texts = texts.where("__overlap > 0")
+    near = events.join(F.broadcast(texts) if texts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else texts, "query")
     task = F.coalesce(F.col("task_id").cast("string"), F.concat(F.lit("legacy-event:"), F.col("event_id").cast("string")))
     grouped = near.groupBy("record_id", kind).agg(F.max("__overlap").alias("overlap"), F.countDistinct(task).alias("__tasks"), F.coalesce(F.bool_or("verified"), F.lit(False)).alias("__verified"))
     return grouped.where(F.col("__verified") | (F.col("__tasks") >= CONFIRMED_BY) | F.col(kind).isin(*intrinsic)).select("record_id", F.col(kind).alias("kind"), "overlap")

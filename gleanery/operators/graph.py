@@ -77,7 +77,7 @@ def lineage(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     found = []
     for _ in range(hops):
         walk = step.join(walk.withColumnRenamed("node", "target"), "target").where(~F.array_contains("trail", F.col("source")))
-        walk = walk.select(F.col("source").alias("node"), (F.col("score") * (0.72 + 0.2 * F.col("confidence"))).alias("score"), F.concat("trail", F.array("source")).alias("trail"))
+        walk = written(walk.select(F.col("source").alias("node"), (F.col("score") * (0.72 + 0.2 * F.col("confidence"))).alias("score"), F.concat("trail", F.array("source")).alias("trail")))
         found.append(walk.select("node", "score"))
     best = reduce(DataFrame.union, found).groupBy("node").agg(F.round(F.max("score"), 6).alias("score"))
     return best.join(seeds.select("node"), "node", "left_anti")

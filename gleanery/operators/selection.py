@@ -23,33 +23,49 @@ def _by_group(df: DataFrame, group: str, order: list[Column], pool: int, choose)
     return placed.groupBy(group).applyInPandas(go, df.schema)
 
 
-def capped(df: DataFrame, group: str, order: list[Column], caps: dict[str, dict | int], most: int, pool: int = 1000) -> DataFrame:
+def capped(df: DataFrame, group: str, order: list[Column], caps: dict[str, dict | int], most: int) -> DataFrame:
     """The first rows of each group of which no key has more than its cap: caps of a column, for all its values or by value.
 
-    Null and empty values of a column are not capped.
+    Null and empty values of a column are not capped. All rows of a group count, however many there are: of rows that agree
+    in all capped columns only as many as the least of their caps can ever be taken, so the others go first, by a window. With
+    one capped column that is all; with several, rows are read in order and tasks keep only the counts of the group at hand.
     """
 
-    def choose(rows: list[dict]) -> Iterator[int]:
-        seen: dict[tuple, int] = {}
-        taken = 0
-        for i, row in enumerate(rows):
-            keys = [(c, row[c]) for c in caps if row[c] not in (None, "")]
-            limit = lambda c, v: caps[c].get(v, 3) if isinstance(caps[c], dict) else caps[c]
-            if all(seen.get(k, 0) < limit(*k) for k in keys):
-                yield i
-                taken += 1
-                for k in keys:
-                    seen[k] = seen.get(k, 0) + 1
-            if taken >= most:
-                return
-
-    return _by_group(df, group, order, pool, choose)
+    def limit(c: str) -> Column:
+        given = caps[c]
+        by_value = F.coalesce(F.create_map(*(F.lit(x) for kv in given.items() for x in kv))[F.col(c)], F.lit(3)) if isinstance(given, dict) else F.lit(given)
+        return F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", most).otherwise(by_value)
+
+    nth = F.row_number().over(Window.partitionBy(group, *caps).orderBy(*order))
+    rows = df.withColumn("__nth", nth).where(F.col("__nth") <= F.least(F.lit(most), F.lit(most), *map(limit, caps))).drop("__nth")
+    if len(caps) == 1:
+        return top_per_group(rows, [group], order, most)
+    rows = rows.withColumn("__order", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, seen, taken = object(), {}, 0
+        for batch in batches:
+            keep = []
+            for i, row in enumerate(batch.to_dict("records")):
+                if row[group] != at:
+                    at, seen, taken = row[group], {}, 0
+                keys = [(c, row[c]) for c in caps if not pd.isna(row[c]) and row[c] != ""]
+                most_of = lambda c, v: caps[c].get(v, 3) if isinstance(caps[c], dict) else caps[c]
+                if taken < most and all(seen.get(k, 0) < most_of(*k) for k in keys):
+                    keep.append(i)
+                    taken += 1
+                    for k in keys:
+                        seen[k] = seen.get(k, 0) + 1
+            yield batch.iloc[keep].drop(columns="__order")
+
+    return rows.repartition(group).sortWithinPartitions(group, "__order").mapInPandas(go, df.schema)
 
 
 def diverse(df: DataFrame, group: str, order: list[Column], tokens: str, place: str, alike: float = 0.3, per_place: int = 2, most: int = 10, pool: int = 1000) -> DataFrame:
     """The first rows of each group that are not alike (Jaccard of their tokens) to one chosen before, at most so many of a place.
 
-    Places that stay free are filled with what was passed over, in order.
+    Places that stay free are filled with what was passed over, in order. Rows beyond the first `pool` of a group are not
+    looked at: the pool is what a request recalls, and bounds what a task holds.
     """
 
     def choose(rows: list[dict]) -> list[int]:

@@ -20,6 +20,8 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"there are two queries {name}")
         QUERIES[name], SQL[name] = f, sql
         return f
 
@@ -344,7 +346,7 @@ def _(s, d):
     return graph.callers(views.calls(s, d), table(s, d, "part").where("p_partkey = 1").select(F.col("p_partkey").alias("node")), 2)
 
 
-@query("gr28_supersession", "SELECT l_orderkey AS source, l_partkey AS target, max(1 - l_discount) AS confidence FROM lineitem GROUP BY l_orderkey, l_partkey")
+@query("gr28_strongest_edges", "SELECT l_orderkey AS source, l_partkey AS target, max(1 - l_discount) AS confidence FROM lineitem GROUP BY l_orderkey, l_partkey")
 def _(s, d):
     items = table(s, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.lit("contains").alias("relation"), F.col("l_partkey").alias("target"), (1 - F.col("l_discount")).alias("confidence"), F.col("l_shipdate").alias("recorded"), F.col("l_linenumber").alias("edge_id"))
     return graph.superseded(items).select("source", "target", "confidence")

@@ -7,7 +7,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import progress, rounds
+from ..operators import budget, progress, rounds
 from ..sources.records import table
 from .bound import query
 
@@ -118,3 +118,80 @@ def _(s, d):
         coalesce(array_to_string(next_steps, ','), '') AS next_steps, coalesce(array_to_string(codes, ','), '') AS blockers FROM orders LEFT JOIN g ON g.plan = o_orderkey LEFT JOIN c ON c.plan = o_orderkey""")
 def _(s, d):
     return _progress(s, d)[1].withColumns({"next_steps": F.array_join(F.col("next_steps").cast("array<string>"), ","), "blockers": F.array_join("blockers", ",")})
+
+
+# --- records within a budget --------------------------------------------------------------------------------------------
+
+#: Of an order: a path, a code anchor and a log anchor of its customer's handoff, as Spark and DuckDB read alike.
+_ENTRY, _EMITTER = "concat('f', o_orderkey % 5)", "concat('f', o_orderkey % 7)"
+_SIZES = {"hints": "c_custkey % 6", "words": "c_custkey % 13", "experience": "c_custkey % 4", "semantic": "c_custkey % 3", "guards": "c_custkey % 3", "notes": "(c_custkey + 1) % 4"}
+_BUDGET = "280 + CAST(c_custkey % 12 AS INT) * 60"
+
+
+def handoffs(s: SparkSession, d: str) -> DataFrame:
+    listed = lambda n, text: F.transform(F.slice(F.sequence(F.lit(1), F.lit(20)), F.lit(1), F.expr(n).cast("int")), lambda i: F.concat(F.lit(text), i.cast("string")))
+    k = F.col("o_orderkey")
+    entry, emitter = F.expr(_ENTRY), F.expr(_EMITTER)
+    texts = lambda n, text: F.transform(F.slice(F.sequence(F.lit(0), F.lit(9)), F.lit(1), n.cast("int")), lambda i: F.concat(F.lit(text), i.cast("string")))
+    nodes = F.when(k % 3 == 0, F.array(entry, emitter)).otherwise(F.slice(F.array(entry, F.lit("mid"), emitter, F.lit("x"), F.lit("y")), F.lit(1), (2 + k % 4).cast("int")))
+    path = F.struct(F.concat(F.lit("p"), k).alias("path_id"), entry.alias("entry"), emitter.alias("emitter"), texts(1 + k % 7, "calls").alias("relations"), nodes.alias("nodes"), texts(k % 4, "m").alias("expected_logs"), texts(k % 4, "u").alias("uncertainty"), F.lit(None).cast("string").alias("projection"))
+    anchor = F.struct(F.concat(F.lit("f"), k % 6).alias("file_path"), F.concat(F.lit("s"), k).alias("symbol"), F.when(k % 2 == 0, F.repeat(F.lit("x"), (40 + k % 50).cast("int"))).alias("excerpt"))
+    log = F.struct(F.when(k % 5 == 0, "direct").otherwise("inferred").alias("evidence_class"), (k % 3).alias("log_id"), F.concat(F.lit("m"), k % 4).alias("message"))
+    by = table(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", path.alias("path"), anchor.alias("anchor"), log.alias("log")))).alias("o"))
+    rows = table(s, d, "customer").join(by, F.col("c_custkey") == F.col("o_custkey"))
+    guard = lambda n, text: F.transform(listed(n, text), lambda x: F.struct(x.alias("id"), F.repeat(x, 20).alias("fact"), F.repeat(F.lit("d"), 30).alias("detail")))
+    of = lambda field, n: F.transform(F.slice("o", 1, n), lambda x: x[field])
+    reasons = listed("c_custkey % 5", "reason")
+    callable_ = F.when(F.col("c_custkey") % 7 > 0, F.struct(F.lit("bounded").alias("certainty"), F.col("c_name").alias("file_path"), F.col("c_mktsegment").alias("symbol"), reasons.alias("reasons"), listed("c_custkey % 3", "other").alias("alternatives")))
+    return rows.select(
+        F.col("c_custkey").alias("request"), F.expr(_BUDGET).alias("budget"), listed(_SIZES["hints"], "hint").alias("relation_hints"), listed(_SIZES["words"], "word").alias("log_keywords"), listed(_SIZES["experience"], "experience").alias("experience_refs"),
+        listed(_SIZES["semantic"], "fact").alias("semantic_refs"), of("log", 5).alias("log_anchors"), of("anchor", 6).alias("code_anchors"), of("path", 4).alias("paths"), callable_.alias("callable"), guard(_SIZES["guards"], "guard").alias("correction_guards"),
+        guard(_SIZES["guards"], "note").alias("semantic_patch_notes"), guard(_SIZES["notes"], "blocked").alias("blocked_notes"), guard(_SIZES["notes"], "conflict").alias("conflict_notes"),
+    )
+
+
+def _budget_sql() -> str:
+    listed = lambda n, text: f"[concat('{text}', i) for i in range(1, 1 + ({n}))]"
+    texts = lambda n, text: f"[concat('{text}', i) for i in range(0, {n})]"
+    guard = lambda n, text: f"[{{'id': concat('{text}', i), 'fact': repeat(concat('{text}', i), 20), 'detail': repeat('d', 30)}} for i in range(1, 1 + ({n}))]"
+    nodes = f"CASE WHEN o_orderkey % 3 = 0 THEN [{_ENTRY}, {_EMITTER}] ELSE [{_ENTRY}, 'mid', {_EMITTER}, 'x', 'y'][1:2 + o_orderkey % 4] END"
+    path = lambda p, **new: "{" + ", ".join(f"'{f}': {new.get(f, f'{p}.{f}')}" for f in ("path_id", "entry", "emitter", "relations", "nodes", "expected_logs", "uncertainty", "projection")) + "}"
+    empty = "NULL::VARCHAR[]"
+    each = lambda **new: f"list_transform(paths, lambda p: {path('p', **new)})"
+    bare = lambda g: f"list_transform({g}, lambda x: {{'id': x.id, 'fact': x.fact, 'detail': NULL::VARCHAR}})"
+    short = lambda g: f"list_transform({g}[1:1], lambda x: {{'id': x.id, 'fact': substr(x.fact, 1, 100), 'detail': NULL::VARCHAR}})"
+    messages = "list_transform(log_anchors, lambda a: a.message)"
+    primary = path("paths[1]", relations="paths[1].relations[1:5]", nodes=f"CASE WHEN paths[1].nodes = [paths[1].entry, paths[1].emitter] THEN {empty} ELSE paths[1].nodes END", expected_logs=f"CASE WHEN len(paths[1].expected_logs) > 0 AND list_has_all({messages}, paths[1].expected_logs) THEN {empty} ELSE paths[1].expected_logs END", uncertainty=empty)
+    alternate = path("paths[2]", relations="paths[2].relations[1:2]", emitter="NULL::VARCHAR", nodes=empty, expected_logs=empty, uncertainty=empty, projection="'alternate_entry'")
+    hard = path("p", nodes="p.nodes[1:4]", relations="p.relations[1:3]", expected_logs="p.expected_logs[1:1]", uncertainty="coalesce(p.uncertainty, [])[1:1]")
+    spare = "list_max([CASE WHEN code_anchors[i].excerpt IS NOT NULL AND NOT list_contains(list_transform(paths[1:2], lambda p: p.emitter), code_anchors[i].file_path) THEN i END for i in range(1, 1 + len(code_anchors))])"
+    direct = "list_position(list_transform(log_anchors, lambda a: a.evidence_class), 'direct')"
+    turn = f"CASE WHEN {direct} = 0 OR {direct} IS NULL OR len(log_anchors) <= 2 THEN 0 WHEN i = {direct} THEN 0 WHEN log_anchors[i].log_id = log_anchors[{direct}].log_id THEN 1 ELSE 2 END"
+    logs = f"list_transform(list_sort([{{'t': {turn}, 'i': i}} for i in range(1, 1 + len(log_anchors))])[1:2], lambda x: log_anchors[x.i])"
+    steps = [
+        {"relation_hints": "relation_hints[1:2]"}, {"paths": each(expected_logs="p.expected_logs[1:2]")}, {"paths": each(uncertainty="p.uncertainty[1:1]")}, {"code_anchors": "code_anchors[1:3]"}, {"log_keywords": "log_keywords[1:8]"},
+        {"callable": f"CASE WHEN callable IS NOT NULL THEN {{'certainty': callable.certainty, 'file_path': callable.file_path, 'symbol': callable.symbol, 'reasons': {empty}, 'alternatives': []::VARCHAR[]}} END"}, {"experience_refs": "experience_refs[1:1]"},
+        {"semantic_refs": "semantic_refs[1:1]"}, {"paths": "paths[1:2]"}, {"blocked_notes": "blocked_notes[1:1]"}, {"conflict_notes": "conflict_notes[1:1]"}, {g: bare(g) for g in budget.GUARDS}, {"blocked_notes": "blocked_notes[1:0]"},
+        {"code_anchors": f"CASE WHEN len(paths) >= 2 THEN [CASE WHEN i = coalesce({spare}, 0) THEN {{'file_path': code_anchors[i].file_path, 'symbol': code_anchors[i].symbol, 'excerpt': NULL::VARCHAR}} ELSE code_anchors[i] END for i in range(1, 1 + len(code_anchors))] ELSE code_anchors END"},
+        {"paths": f"CASE WHEN len(paths) > 0 THEN list_concat([{primary}], paths[2:]) ELSE paths END"}, {"paths": f"CASE WHEN len(paths) >= 2 THEN [paths[1], {alternate}] ELSE paths END"}, {"paths": "paths[1:1]"},
+        {"log_keywords": "log_keywords[1:6]", "log_anchors": logs, "code_anchors": "code_anchors[1:3]", "relation_hints": "[]::VARCHAR[]", "experience_refs": "[]::VARCHAR[]", "semantic_refs": "[]::VARCHAR[]", "paths": f"list_transform(paths[1:1], lambda p: {hard})",
+         "correction_guards": short("correction_guards"), "semantic_patch_notes": short("semantic_patch_notes"), "conflict_notes": short("conflict_notes"), "blocked_notes": "blocked_notes[1:0]"},
+    ]
+    size = "greatest(1, length(regexp_replace(regexp_replace(to_json({" + ", ".join(f"'{c}': {c}" for c in budget.COLUMNS) + "})::VARCHAR, ',\"[a-z_]+\":null', '', 'g'), '\"[a-z_]+\":null,', '', 'g')) // 4)"
+    out = [f"""h AS (SELECT c_custkey AS request, {_BUDGET} AS budget, {listed(_SIZES["hints"], "hint")} AS relation_hints, {listed(_SIZES["words"], "word")} AS log_keywords, {listed(_SIZES["experience"], "experience")} AS experience_refs, {listed(_SIZES["semantic"], "fact")} AS semantic_refs,
+        l[1:5] AS log_anchors, a[1:6] AS code_anchors, p[1:4] AS paths, CASE WHEN c_custkey % 7 > 0 THEN {{'certainty': 'bounded', 'file_path': c_name, 'symbol': c_mktsegment, 'reasons': {listed("c_custkey % 5", "reason")}, 'alternatives': {listed("c_custkey % 3", "other")}}} END AS callable,
+        {guard(_SIZES["guards"], "guard")} AS correction_guards, {guard(_SIZES["guards"], "note")} AS semantic_patch_notes, {guard(_SIZES["notes"], "blocked")} AS blocked_notes, {guard(_SIZES["notes"], "conflict")} AS conflict_notes, 0 AS reductions
+        FROM customer JOIN (SELECT o_custkey AS c_custkey, list({{'evidence_class': CASE WHEN o_orderkey % 5 = 0 THEN 'direct' ELSE 'inferred' END, 'log_id': o_orderkey % 3, 'message': concat('m', o_orderkey % 4)}} ORDER BY o_orderkey) AS l,
+            list({{'file_path': concat('f', o_orderkey % 6), 'symbol': concat('s', o_orderkey), 'excerpt': CASE WHEN o_orderkey % 2 = 0 THEN repeat('x', 40 + o_orderkey % 50) END}} ORDER BY o_orderkey) AS a,
+            list({{'path_id': concat('p', o_orderkey), 'entry': {_ENTRY}, 'emitter': {_EMITTER}, 'relations': {texts("1 + o_orderkey % 7", "calls")}, 'nodes': {nodes}, 'expected_logs': {texts("o_orderkey % 4", "m")}, 'uncertainty': {texts("o_orderkey % 4", "u")}, 'projection': NULL::VARCHAR}} ORDER BY o_orderkey) AS p
+            FROM orders GROUP BY o_custkey) USING (c_custkey)), h0 AS (SELECT *, {size} AS tokens FROM h)"""]
+    for i, step in enumerate(steps):
+        changed = ", ".join(f"CASE WHEN tokens > budget - 60 THEN {new} ELSE {c} END AS {c}" for c, new in step.items())
+        out.append(f"g{i + 1} AS (SELECT * EXCLUDE (tokens) REPLACE ({changed}, reductions + (tokens > budget - 60)::INT AS reductions) FROM h{i}), h{i + 1} AS (SELECT *, {size} AS tokens FROM g{i + 1})")
+    return ", ".join(out)
+
+
+@query("tk16_reduced_handoffs", f"WITH {_budget_sql()} SELECT request, reductions, tokens, tokens <= budget - 60 AS fits, len(paths) AS paths, len(code_anchors) AS anchors, coalesce(list_aggregate(list_transform(log_anchors, lambda a: a.message), 'string_agg', ','), '') AS logs, len(blocked_notes) AS blocked FROM h18")
+def _(s, d):
+    found = budget.reduced(handoffs(s, d), F.col("budget"))
+    return found.select("request", "reductions", "tokens", "fits", F.size("paths").alias("paths"), F.size("code_anchors").alias("anchors"), F.array_join(F.transform("log_anchors", lambda a: a["message"]), ",").alias("logs"), F.size("blocked_notes").alias("blocked"))

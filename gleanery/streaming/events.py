@@ -33,7 +33,9 @@ def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
 def confirmed(events: DataFrame, group: list[str], task: str, time: str, window: str = "7 days", delay: str = "1 day") -> DataFrame:
     """(window start, group, tasks) of signals that two tasks gave within a window: one event alone never confirms.
 
-    Approximate counts stand for distinct ones, which streams cannot keep; below a few they are exact.
+    Whether there are two is exact (the least and the greatest task differ), and keeps two values a window and group; how many
+    there are is an estimate, which streams can keep, and exact below a few.
     """
-    found = events.withWatermark(time, delay).groupBy(F.window(time, window).alias("w"), *group).agg(F.approx_count_distinct(task, 0.01).alias("tasks"))
-    return found.where("tasks >= 2").select(F.col("w.start").alias("start"), *group, "tasks")
+    told = [F.min(task).alias("least"), F.max(task).alias("most"), F.greatest(F.lit(2), F.approx_count_distinct(task, 0.01)).alias("tasks")]
+    found = events.withWatermark(time, delay).groupBy(F.window(time, window).alias("w"), *group).agg(*told).where("least <> most")
+    return found.select(F.col("w.start").alias("start"), *group, "tasks")
