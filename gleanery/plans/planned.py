@@ -184,10 +184,10 @@ def _budget_sql() -> str:
         FROM customer JOIN (SELECT o_custkey AS c_custkey, list({{'evidence_class': CASE WHEN o_orderkey % 5 = 0 THEN 'direct' ELSE 'inferred' END, 'log_id': o_orderkey % 3, 'message': concat('m', o_orderkey % 4)}} ORDER BY o_orderkey) AS l,
             list({{'file_path': concat('f', o_orderkey % 6), 'symbol': concat('s', o_orderkey), 'excerpt': CASE WHEN o_orderkey % 2 = 0 THEN repeat('x', 40 + o_orderkey % 50) END}} ORDER BY o_orderkey) AS a,
             list({{'path_id': concat('p', o_orderkey), 'entry': {_ENTRY}, 'emitter': {_EMITTER}, 'relations': {texts("1 + o_orderkey % 7", "calls")}, 'nodes': {nodes}, 'expected_logs': {texts("o_orderkey % 4", "m")}, 'uncertainty': {texts("o_orderkey % 4", "u")}, 'projection': NULL::VARCHAR}} ORDER BY o_orderkey) AS p
-            FROM orders GROUP BY o_custkey) USING (c_custkey)), h0 AS (SELECT *, {size} AS tokens FROM h)"""]
+            FROM orders GROUP BY o_custkey) USING (c_custkey)), h0 AS MATERIALIZED (SELECT *, {size} AS tokens FROM h)"""]
     for i, step in enumerate(steps):
         changed = ", ".join(f"CASE WHEN tokens > budget - 60 THEN {new} ELSE {c} END AS {c}" for c, new in step.items())
-        out.append(f"g{i + 1} AS (SELECT * EXCLUDE (tokens) REPLACE ({changed}, reductions + (tokens > budget - 60)::INT AS reductions) FROM h{i}), h{i + 1} AS (SELECT *, {size} AS tokens FROM g{i + 1})")
+        out.append(f"g{i + 1} AS (SELECT * EXCLUDE (tokens) REPLACE ({changed}, reductions + (tokens > budget - 60)::INT AS reductions) FROM h{i}), h{i + 1} AS MATERIALIZED (SELECT *, {size} AS tokens FROM g{i + 1})")
     return ", ".join(out)
 
 
