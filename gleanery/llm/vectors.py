@@ -18,6 +18,7 @@ form one group; other columns are not looked at. An empty table gives an empty r
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,5 +176,5 @@ def compress(
 def codes(vectors: DataFrame) -> DataFrame:
     """vec_id, code, error, label_error and codebooks_sha256 of the kept rows of a table (vec_id, embedding, label)."""
     coded, books = compress(vectors)
-    listed = ",".join(map(str, books.ravel().tolist()))
-    return coded.select("vec_id", "code", "error", "label_error", F.sha2(F.lit(listed), 256).alias("codebooks_sha256"))
+    digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))

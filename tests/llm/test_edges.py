@@ -335,6 +335,6 @@ def test_pipeline_of_tiny_tables(spark, tmp_path, rows):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_registered_queries_give_whole_tables(spark, name):
     found = queries.QUERIES[name](spark, SMALL)
-    key, source = {"op5_chat_format": ("conv_id", "conversations"), "op7_main_text": ("page_id", "pages")}.get(name, ("doc_id", "documents"))
+    key, source = {"op5_chat_format": ("conv_id", "conversations"), "op7_main_text": ("page_id", "pages"), "op13_vector_codes": ("vec_id", "embeddings")}.get(name, ("doc_id", "documents"))
     want = {r[0] for r in spark.read.parquet(f"{SMALL}/{source}.parquet").select(key).collect()} | ({-7} if key == "conv_id" else set())
     assert {r[0] for r in found.select(key).collect()} == want
