@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import log
 
@@ -29,7 +30,8 @@ from .common import named, ready
 
 #: A comment, declaration, tag, or a tag that the page's end cuts off.
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)|</[^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute after the other: a name, and a value if there is one.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "acronym", "nobr", "ruby", "rt", "rp", "img", "wbr"}
@@ -62,17 +64,21 @@ class Node:
 
 
 def _told(attributes: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
+    told: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        told.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")  # of equal names the first counts
+    return told
 
 
-def is_out(tag: str, told: dict[str, str], in_article: bool) -> bool:
+def is_out(tag: str, told: dict[str, str], in_article: bool, in_text: bool = False) -> bool:
+    """Whether an element is taken out by its markup; what stands inline in a text, and paragraphs of an article, never by a name."""
     if tag in OUT or tag == "header" and not in_article:
         return True
     if "hidden" in told or told.get("aria-hidden") == "true" or "display:none" in told.get("style", "").replace(" ", ""):
         return True
     if told.get("role", "").lower() in OUT_ROLES:
         return True
-    if tag in ("html", "body", "main", "article"):
+    if tag in ("html", "body", "main", "article") or tag in INLINE and (in_article or in_text) or tag == "p" and in_article:
         return False
     names = told.get("class", "").lower().split()
     box = tag in BOXES and "section" not in names if in_article else tag not in HEADINGS and tag != "p"
@@ -92,18 +98,23 @@ def parsed(page: str) -> Node:
     root = Node("html", None)
     now = root
     skipped: list[str] = []  # open elements of a part that is taken out
+    #: How many elements of a name are open, so that what is not open is not looked for.
+    count, skipping = Counter[str](), Counter[str]()
     article = 0
     at = 0
 
     def close(node: Node) -> None:
         nonlocal now, article
-        while now is not node:
+        while True:
             article -= now.tag in ("article", "main")
-            now = now.parent
-        article -= now.tag in ("article", "main")
-        now = now.parent
+            count[now.tag] -= 1
+            last, now = now, now.parent
+            if last is node:
+                return
 
     def opened(tags: set[str], borders: set[str]) -> Node | None:
+        if not any(count[t] for t in tags):
+            return None
         node = now
         while node is not root and node.tag not in borders:
             if node.tag in tags:
@@ -125,10 +136,14 @@ def parsed(page: str) -> Node:
         tag = tag.lower()
         if slash:
             if skipped:
-                if tag in skipped:
-                    del skipped[len(skipped) - 1 - skipped[::-1].index(tag) :]
+                if skipping[tag]:
+                    last = None
+                    while last != tag:
+                        last = skipped.pop()
+                        skipping[last] -= 1
                 elif tag in ("body", "html"):
                     skipped.clear()
+                    skipping.clear()
                 continue
             node = opened({tag}, {"article", "main"} - {tag} if tag in INLINE or tag == "p" else set())
             if node is not None:
@@ -141,11 +156,13 @@ def parsed(page: str) -> Node:
             at = found.end() if found else len(page)
         if tag in ("body", "article", "main") and skipped and skipped[0] in ("head", "html"):
             skipped.clear()
+            skipping.clear()
         if skipped:
             if not raw and tag not in VOID and not attributes.rstrip().endswith("/"):
                 if tag in CLOSES and skipped[-1] in CLOSES[tag]:
-                    skipped.pop()
+                    skipping[skipped.pop()] -= 1
                 skipped.append(tag)
+                skipping[tag] += 1
             continue
         if tag in ("html", "body") and tag != "body":
             continue
@@ -153,9 +170,10 @@ def parsed(page: str) -> Node:
             close(p)
         if tag in CLOSES and tag != "p" and (old := opened(CLOSES[tag], BORDERS.get(tag, set()))) is not None:
             close(old)
-        if is_out(tag, told, article > 0):
+        if is_out(tag, told, article > 0, now.tag in PLAIN or now.tag in HEADINGS or now.tag in INLINE):
             if not raw and tag not in VOID:
                 skipped.append(tag)
+                skipping[tag] += 1
             elif tag not in INLINE:
                 now.children.append(Node(tag, now))
             continue
@@ -164,6 +182,7 @@ def parsed(page: str) -> Node:
         now.children.append(node)
         if not raw and tag not in VOID:
             article += tag in ("article", "main")
+            count[tag] += 1
             now = node
     return root
 

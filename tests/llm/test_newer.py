@@ -312,3 +312,37 @@ def test_sums_are_given_out_in_bounds(monkeypatch):
         assert sums.rows <= 140
     total.update(dict(zip(*(x.tolist() for x in sums.taken()), strict=True)))
     assert sum(total.values()) == 2000
+
+
+# --- 7: text that markup must not take away, and pages that must not take long ------------------------------------------
+
+ARTICLE = "<html><body><article><h1>T</h1>{}<p>Other text that is long enough to be read as an article, with words and words.</p></article></body></html>"
+
+
+@pytest.mark.parametrize(
+    "markup, text",
+    [
+        ('<p title="the hidden treasure">Found it.</p>', "Found it."), ('<p data-hidden="false">Kept one.</p>', "Kept one."), ('<div data-id="sidebar"><p>Kept two.</p></div>', "Kept two."), ('<p class="comment">Kept three.</p>', "Kept three."),
+        ('<p>Press <span class="menu">File</span> then <b class="alert">stop</b> now.</p>', "Press File then stop now."), ("<p alt='hidden' class=x>Kept four.</p>", "Kept four."), ("<p hidden>gone</p>", None), ('<p aria-hidden="true">gone</p>', None),
+        ('<div class="comments"><p>gone</p></div>', None), ('<p STYLE="display: none">gone</p>', None), ('<div class="x" class="ad"><p>Kept five.</p></div>', "Kept five."),
+    ],
+)
+def test_article_text_stays(markup, text):
+    from gleanery.llm import pages
+
+    lines = pages.main_text(ARTICLE.format(markup)).split("\n")
+    assert lines == ["T", *([text] if text else []), "Other text that is long enough to be read as an article, with words and words."]
+
+
+def test_deep_and_stray_tags_take_time_in_proportion():
+    import time
+
+    from gleanery.llm import pages
+
+    for page in (lambda n: "<div>" * n + "text " * 50 + "</b>" * n, lambda n: "<div>" * n + "text" + "</div>" * n, lambda n: "<nav>" * n + "x" + "</nav></i>" * n + "<p>some text here</p>"):
+        took = []
+        for n in (4000, 32_000):
+            began = time.process_time()
+            pages.main_text(page(n))
+            took.append(time.process_time() - began)
+        assert took[1] < 30 * took[0] + 0.2
