@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import hierarchy, judged, kept, located, more, planned, recall, rescored, routes, wide  # noqa: F401  register their queries
+from .plans import hierarchy, judged, kept, located, more, planned, recall, rescored, routes, traces, wide  # noqa: F401  register their queries
 from .plans.bound import QUERIES, SQL, Query
 
 
