@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import incidents, index
+from ..operators import incidents, index, mechanism
 from ..sources.records import table
 from . import views
 from .bound import query
@@ -56,3 +56,25 @@ def _(s, d):
     found = incidents.recall(asked, rows, postings, lengths, 8)
     links = table(s, d, "events").selectExpr("event_id % 500 AS trace_id", "event_id AS id", "value AS score")
     return incidents.with_links(found, links).select("request", "id", "score", F.array_join("reasons", ",").alias("reasons"), "place", F.array_join(F.col("links").cast("array<string>"), ",").alias("links"))
+
+
+# --- mechanisms ---------------------------------------------------------------------------------------------------------
+
+#: Items of an order assert, or show, spans of lines of a file.
+_SPAN = {"case": "l_orderkey", "file_path": "concat('f', l_partkey % 2)", "symbol": "CASE WHEN l_suppkey % 3 = 0 THEN concat('S', l_suppkey % 2) ELSE '' END", "a": "CAST(l_quantity * 3 AS INT)", "b": "CAST(l_quantity * 3 + l_partkey % 90 - 5 AS INT)"}
+_SPANS_SQL = f"SELECT {', '.join(f'{v} AS {k}' for k, v in _SPAN.items())}, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS assertion FROM lineitem"
+_LEVEL = "CASE {0} % 6 WHEN 0 THEN 'association' WHEN 1 THEN 'Supported' WHEN 2 THEN 'verified' WHEN 3 THEN 'rejected' WHEN 4 THEN 'guess' END"
+
+
+@query("xo22_mechanism_cover", f"""WITH s AS ({_SPANS_SQL}), e AS (SELECT DISTINCT "case", file_path, symbol, a AS x, b AS y FROM s WHERE assertion % 2 = 0 AND a > 0 AND b >= a), t AS (SELECT * FROM s WHERE assertion % 2 = 1),
+    m AS (SELECT t.case, t.assertion, unnest(generate_series(greatest(t.a, e.x), least(t.b, e.y))) AS line FROM t JOIN e ON e.case = t.case AND e.file_path = t.file_path AND (t.symbol = '' OR t.symbol = e.symbol) AND t.a <= e.y AND t.b >= e.x WHERE t.a > 0 AND t.b >= t.a),
+    c AS (SELECT "case", assertion, count(DISTINCT line) AS covered FROM m GROUP BY ALL),
+    k AS (SELECT t.case, count(*) AS expected, count(covered) AS matched, sum(greatest(0, b - a + 1)) AS lines, coalesce(sum(covered), 0) AS covered FROM t LEFT JOIN c USING ("case", assertion) GROUP BY ALL),
+    o AS (SELECT o_orderkey AS "case", lower({_LEVEL.format("o_custkey")}) AS want, lower({_LEVEL.format("o_orderkey")}) AS got, ['association', 'supported', 'verified'] AS l FROM orders)
+    SELECT o.case, coalesce(expected, 0) AS expected, coalesce(matched, 0) AS matched, round(matched / expected, 4) AS score, matched = expected AS grounded, CASE WHEN lines > 0 THEN round(covered / lines, 4) END AS cover,
+        CASE WHEN want IS NULL THEN true WHEN list_contains(l, want) AND coalesce(list_contains(l, got), false) THEN list_position(l, got) >= list_position(l, want) ELSE coalesce(got, '') = want END AS level_ok FROM o LEFT JOIN k USING ("case")""")
+def _(s, d):
+    spans = s.sql(_SPANS_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(s, d, "lineitem"))
+    cases = table(s, d, "orders").selectExpr("o_orderkey AS case", f"{_LEVEL.format('o_custkey')} AS expected_level", f"{_LEVEL.format('o_orderkey')} AS observed_level")
+    shown = spans.where("assertion % 2 = 0").select("case", "file_path", "symbol", F.col("a").alias("x"), F.col("b").alias("y"))
+    return mechanism.scored(cases, spans.where("assertion % 2 = 1"), shown)
