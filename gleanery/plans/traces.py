@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import incidents, index, mechanism
 from ..sources.records import table
+from ..streaming import cohort
+from ..streaming import events as streams
 from . import views
 from .bound import query
+from .kept import _stream
 from .recall import sql_tokens
 from .views import LINES_SQL
 
@@ -78,3 +81,32 @@ def _(s, d):
     cases = table(s, d, "orders").selectExpr("o_orderkey AS case", f"{_LEVEL.format('o_custkey')} AS expected_level", f"{_LEVEL.format('o_orderkey')} AS observed_level")
     shown = spans.where("assertion % 2 = 0").select("case", "file_path", "symbol", F.col("a").alias("x"), F.col("b").alias("y"))
     return mechanism.scored(cases, spans.where("assertion % 2 = 1"), shown)
+
+
+# --- cohorts ------------------------------------------------------------------------------------------------------------
+
+PLACES = 8
+#: Events of users as entries and completions of cohorts; `at` counts microseconds.
+_COHORT = {
+    "cohort": "user_id % 5", "event_id": "event_id", "kind": "CASE WHEN event_type IN ('purchase', 'signup') THEN 'complete' ELSE 'enrol' END", "task_id": "concat('t', user_id)", "eligibility": "CASE event_type WHEN 'error' THEN 'excluded' ELSE 'eligible' END",
+    "outcome": "event_type",
+}
+
+
+def cohort_events(rows):
+    at = F.unix_micros("ts").alias("at")
+    return rows.select(*(F.expr(v).alias(k) for k, v in _COHORT.items()), at, (F.unix_micros("ts") + F.when(F.col("event_id") % 9 == 0, 1).otherwise(-1)).alias("evidence_at"))
+
+
+@query("st09_cohorts", f"""WITH RECURSIVE e AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _COHORT.items())}, epoch_us(ts) AS moment, epoch_us(ts) + CASE WHEN event_id % 9 = 0 THEN 1 ELSE -1 END AS evidence_at FROM events),
+    o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY moment, event_id) AS n FROM e),
+    w AS (SELECT DISTINCT cohort, 0::BIGINT AS n, NULL::BIGINT AS event_id, '' AS kind, '' AS task_id, '' AS reason, 0 AS sequence, '' AS digest, '' AS previous, '' AS active, '' AS entry, '' AS head, []::VARCHAR[] AS seen FROM e
+        UNION ALL SELECT cohort, n, event_id, kind, task_id, reason, sequence + enters::INT, CASE WHEN ends THEN sha256(concat(entry, '|', outcome)) WHEN enters THEN fresh ELSE '' END, CASE WHEN ends THEN entry WHEN enters THEN head ELSE '' END,
+            CASE WHEN ends THEN '' WHEN enters AND eligibility = 'eligible' THEN task_id ELSE active END, CASE WHEN ends THEN '' WHEN enters AND eligibility = 'eligible' THEN fresh ELSE entry END, CASE WHEN enters THEN fresh ELSE head END, CASE WHEN enters THEN list_append(seen, task_id) ELSE seen END
+        FROM (SELECT *, reason = 'taken' AND kind = 'complete' AS ends, reason = 'taken' AND kind = 'enrol' AS enters, sha256(concat_ws('|', cohort, sequence + 1, task_id, eligibility, moment, head)) AS fresh
+            FROM (SELECT o.*, w.sequence, w.active, w.entry, w.head, w.seen, CASE WHEN sequence >= {PLACES} AND active = '' THEN 'finished' WHEN o.kind = 'complete' THEN CASE WHEN active = o.task_id THEN 'taken' ELSE 'not_open' END WHEN active <> '' THEN 'open_task'
+                WHEN sequence >= {PLACES} THEN 'full' WHEN list_contains(seen, o.task_id) THEN 'known_task' WHEN evidence_at > moment THEN 'evidence_after_cutoff' ELSE 'taken' END AS reason FROM w JOIN o ON o.cohort = w.cohort AND o.n = w.n + 1)))
+    SELECT cohort, event_id, kind, task_id, reason, sequence, digest, previous, CASE WHEN sequence >= {PLACES} AND active = '' THEN 'completed' WHEN sequence > 0 THEN 'running' ELSE 'open' END AS status FROM w WHERE n > 0""")
+def _(s, d):
+    rows, folder = _stream(s, d)
+    return streams.run_once(cohort.enrolled(cohort_events(rows), PLACES), folder)
