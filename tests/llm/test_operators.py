@@ -385,5 +385,5 @@ def test_empty_tables(empty, spark):
     assert quality.assess(empty).count() == 0
 
 
-def test_registered_queries_cover_the_ten():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_registered_queries_cover_the_thirteen():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
