@@ -61,7 +61,8 @@ def token_count(text: Column) -> Column:
     """How many tokens a text has, without making them."""
     low = folded(text)
     cjk = F.regexp_extract_all(low, F.lit(f"(?U)[\\w{CJK}]*[{CJK}][\\w{CJK}]*"), F.lit(0))
-    return F.size(_words(low)) + F.aggregate(cjk, F.lit(0), lambda n, w: n + F.length(w) - 1)
+    more = F.when(low.rlike(f"[{CJK}]"), F.aggregate(cjk, F.lit(0), lambda n, w: n + F.length(w) - 1)).otherwise(0)
+    return F.regexp_count(low, F.lit(f"(?U)[\\w{CJK}]+")) + more
 
 
 def _nothing() -> Column:

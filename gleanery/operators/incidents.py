@@ -19,6 +19,8 @@ from .tables import top_per_group
 FIELDS = ("symptom", "goal", "scene", "dominant_log_events", "diagnosis_summary", "causal_chain", "resolution", "intervention", "verification_evidence")
 LIKE_FIELDS = ("symptom", "dominant_log_events", "diagnosis_summary", "causal_chain")
 TERMS, POOL, LINKS, WEIGHT, EXACT, GRAM = 12, 3, 12, 1.2, 5.0, 3
+#: Pieces of requests that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def open_incidents(incidents: DataFrame) -> DataFrame:
@@ -51,12 +53,16 @@ def holding(requests: DataFrame, texts: DataFrame) -> DataFrame:
     asked = requests.select("request", F.lower(F.trim("query")).alias("query")).where("query <> ''").withColumn("size", F.least(F.lit(GRAM), F.length("query")))
     low = texts.select("id", F.explode("texts").alias("text")).where("text is not null").select("id", F.lower("text").alias("text"))
     sizes = asked.select("size").distinct()  # at most GRAM rows
-    found = written(low.distinct().join(F.broadcast(sizes)).select("id", "size", F.explode(_grams(F.col("text"), F.col("size"))).alias("gram")).distinct())
-    wanted = asked.select("request", "query", "size", F.explode(_grams(F.col("query"), F.col("size"))).alias("gram"))
-    often = found.join(F.broadcast(wanted.select("size", "gram").distinct()), ["size", "gram"], "left_semi").groupBy("size", "gram").agg(F.count("*").alias("df"))
+    wanted = written(asked.select("request", "query", "size", F.explode(_grams(F.col("query"), F.col("size"))).alias("gram")))
+    some = wanted.select("size", "gram").distinct()
+    if some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        some = F.broadcast(some)
+    pieces = low.select("text").distinct().join(F.broadcast(sizes)).select("text", "size", F.explode(_grams(F.col("text"), F.col("size"))).alias("gram"))
+    found = written(pieces.join(some, ["size", "gram"], "left_semi").distinct())  # of all pieces only those that a request has
+    often = found.groupBy("size", "gram").agg(F.count("*").alias("df"))
     rarest = top_per_group(wanted.join(often, ["size", "gram"], "left").fillna(0, ["df"]), ["request"], [F.col("df"), F.col("gram")], 1)
-    near = rarest.join(found, ["size", "gram"]).select("request", "query", "id").join(low, "id")
-    return near.where(F.contains("text", "query")).select("request", "id").distinct()
+    near = rarest.join(found, ["size", "gram"]).where(F.contains("text", "query")).select("request", "text")
+    return near.join(low, "text").select("request", "id").distinct()
 
 
 def recall(requests: DataFrame, incidents: DataFrame, postings: DataFrame, lengths: DataFrame, most: int) -> DataFrame:
