@@ -22,6 +22,14 @@ LANES = {
 }
 
 
+#: The kinds of passages that each lane looks at, and the lanes of identities. Fixed values.
+KINDS = {
+    "file_identity_fts": ("file",), "file_semantic_fts": ("file",), "symbol_identity_fts": ("symbol", "callable"), "symbol_semantic_fts": ("symbol", "callable"), "method_body_fts": ("callable",), "string_key_fts": ("callable",),
+    "semantic_mechanism_fts": ("symbol", "callable"),
+}
+IDENTITIES = ("file_identity_fts", "symbol_identity_fts")
+
+
 def postings(passages: DataFrame, fields: list[str], distinct: bool = False) -> DataFrame:
     """(id, field, term, tf, doc_len) of passages (id and text fields); doc_len counts the tokens of all fields.
 
@@ -63,8 +71,11 @@ def matches(found: DataFrame, terms: list[str], weights: dict[str, float], prefi
     return own.select("id", "doc_len", F.explode(hit).alias("query_term"), (F.col("tf") * weight).alias("f")).groupBy("id", "doc_len", "query_term").agg(F.sum("f").alias("f"))
 
 
-def bm25(found: DataFrame, lengths: DataFrame, terms: list[str], weights: dict[str, float], k: int, prefix: bool = True, every: bool = False) -> DataFrame:
-    """(id, score, terms) of the k best passages; with `every`, of those only that hold all terms. lengths: one row (n, mean_len)."""
+def bm25(found: DataFrame, lengths: DataFrame, terms: list[str], weights: dict[str, float], k: int, prefix: bool = True, every: bool = False, among: DataFrame | None = None) -> DataFrame:
+    """(id, score, terms) of the k best passages; with `every`, of those only that hold all terms; with `among`, of these ids.
+
+    lengths: one row (n, mean_len). Statistics are those of all passages.
+    """
     hits = matches(found, terms, weights, prefix)
     df = hits.groupBy("query_term").agg(F.count("*").alias("df"))  # a row for each term of the request
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -72,6 +83,8 @@ def bm25(found: DataFrame, lengths: DataFrame, terms: list[str], weights: dict[s
     scored = hits.join(F.broadcast(df), "query_term").join(F.broadcast(lengths)).groupBy("id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("terms"))
     if every:
         scored = scored.where(F.col("terms") == len(terms))
+    if among is not None:
+        scored = scored.join(among.select("id"), "id", "left_semi")
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
@@ -91,6 +104,19 @@ def _by_score():
     return Window.orderBy(F.desc("score"), "id")  # at most k rows
 
 
+def channels(found: DataFrame, lengths: DataFrame, kinds: DataFrame, terms: list[str], limit: int) -> DataFrame:
+    """(channel, id, rank) of the seven LANES, each among its own kinds of passages; kinds (id, kind) of all passages.
+
+    Lanes of identities go up to `limit` rows (8 at least, 32 at most), the others to half of that (8 to 24).
+    """
+    out = []
+    for channel, weights in LANES.items():
+        most = max(8, min(limit, 32)) if channel in IDENTITIES else max(8, min(limit // 2, 24))
+        best = bm25(found, lengths, terms, weights, most, among=kinds.where(F.col("kind").isin(*KINDS[channel])))
+        out.append(best.select(F.lit(channel).alias("channel"), "id", F.row_number().over(_by_score()).cast("long").alias("rank")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def attributed(rankings: DataFrame, weights: dict[str, float], k: int) -> DataFrame:
     """Fused ids with the lanes that found each: (id, score, lanes), best first."""
     weight = F.coalesce(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))[F.col("channel")], F.lit(1.0))

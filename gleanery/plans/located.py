@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import focus, localize
+from ..operators import focus, index, localize
+from ..operators.graph import written
 from ..operators.tables import top_per_group
 from ..sources.records import table
 from . import views
 from .bound import query
+from .recall import sql_bm25, sql_tokens
 from .views import EDGES_SQL
 
 _NUMBER = "replace(p_brand, 'Brand#', '')"
@@ -275,3 +277,42 @@ def _(s, d):
     asked, found = requests(s, d), symbols(s, d)
     told = items(asked, hits(asked, found), found)
     return focus.focus(told, asked.withColumn("query", F.concat("query", F.expr(_ADDED)))).select("request", "position", "id", "rule")
+
+
+# --- the seven lanes ----------------------------------------------------------------------------------------------------
+
+#: The bags of terms of a symbol's passage, and of a file's, as Spark and DuckDB read alike.
+_BAGS = {
+    "file_path": "file_path", "symbol": "symbol", "identity_terms": "concat(replace(symbol, '_', ' '), ' ', owner_name)", "semantic_terms": "concat(coalesce(business_summary, ''), ' ', business_terms)", "body_terms": "method_evidence",
+    "string_terms": "string_evidence", "mechanism_terms": "CASE WHEN mechanism_line IS NOT NULL THEN concat('state_write ', mechanism_term) END",
+}
+_FILE_BAGS = dict.fromkeys(_BAGS, "CAST(NULL AS VARCHAR(9))") | {"file_path": "file_path", "identity_terms": "replace(file_path, '/', ' ')", "semantic_terms": "concat(max(business_terms), ' file')"}
+_SOUGHT, _LIMIT = ["small", "ring", "econ", "state", "brandstore7", "brand"], 40
+_PASSAGE_KIND = "CASE WHEN symbol_type IN ('function', 'method') THEN 'callable' ELSE 'symbol' END"
+_PASSAGES_SQL = f"""SELECT id, {_PASSAGE_KIND} AS kind, {', '.join(f'{v} AS {k}' for k, v in _BAGS.items())} FROM {SYMBOLS_SQL}
+    UNION ALL SELECT -min(id), 'file', {', '.join(f'{v} AS {k}' for k, v in _FILE_BAGS.items())} FROM {SYMBOLS_SQL} GROUP BY file_path"""
+_CHANNELS_SQL = f"""passages AS ({_PASSAGES_SQL}), t AS ({' UNION ALL '.join(f"SELECT id, '{f}' AS field, unnest({sql_tokens(f)}) AS term FROM passages" for f in _BAGS)}), dl AS (SELECT id, count(*) AS doc_len FROM t GROUP BY id),
+    n AS (SELECT (SELECT count(*) FROM passages) AS n, (SELECT count(*) FROM t) / (SELECT count(*) FROM passages) AS mean_len), {', '.join(
+        sql_bm25("", _SOUGHT, w, 32 if c in index.IDENTITIES else 20, out=c, among=f"WHERE id IN (SELECT id FROM passages WHERE kind IN ({', '.join(f"'{k}'" for k in index.KINDS[c])}))") for c, w in index.LANES.items())},
+    ranked AS ({' UNION ALL '.join(f"SELECT '{c}' AS channel, id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM {c}" for c in index.LANES)})"""
+
+
+def _channels(s, d):
+    rows = table(s, d, "part").selectExpr(*(f"{v} AS {k}" for k, v in SYMBOL.items()))
+    told = rows.selectExpr("id", f"{_PASSAGE_KIND} AS kind", *(f"{v} AS {k}" for k, v in _BAGS.items()))
+    files = rows.groupBy("file_path").agg((-F.min("id")).alias("id"), F.lit("file").alias("kind"), F.max("business_terms").alias("most"))
+    files = files.selectExpr("id", "kind", *(f"{v.replace('max(business_terms)', 'most')} AS {k}" for k, v in _FILE_BAGS.items()))
+    passages = told.unionByName(files)
+    found = index.postings(passages, list(_BAGS))
+    lengths = passages.select(index.passage_length(list(_BAGS)).alias("l")).agg(F.count("*").alias("n"), F.avg("l").alias("mean_len"))
+    return index.channels(written(found), written(lengths), passages.select("id", "kind"), _SOUGHT, _LIMIT)
+
+
+@query("rk06_seven_channels", f"WITH {_CHANNELS_SQL} SELECT channel, id, rank FROM ranked")
+def _(s, d):
+    return _channels(s, d)
+
+
+@query("rk07_fused_channels", f"WITH {_CHANNELS_SQL} SELECT id, round(sum(1 / (60 + rank)), 9) AS score, string_agg(channel, ',' ORDER BY channel) AS lanes FROM ranked GROUP BY id ORDER BY score DESC, min(rank), id LIMIT 40")
+def _(s, d):
+    return index.attributed(_channels(s, d), dict.fromkeys(index.LANES, 1.0), 40)

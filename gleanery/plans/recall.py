@@ -43,14 +43,14 @@ def sql_postings(name: str) -> str:
     return f"t AS ({each}), dl AS (SELECT id, count(*) AS doc_len FROM t GROUP BY id), n AS (SELECT (SELECT count(*) FROM {name}) AS n, (SELECT count(*) FROM t) / (SELECT count(*) FROM {name}) AS mean_len)"
 
 
-def sql_bm25(name: str, terms: list[str], weights: dict[str, float], k: int, prefix: bool = True, every: bool = False, out: str = "r") -> str:
+def sql_bm25(name: str, terms: list[str], weights: dict[str, float], k: int, prefix: bool = True, every: bool = False, out: str = "r", among: str = "") -> str:
     listed = ", ".join(f"('{t}')" for t in terms)
     weight = "CASE field " + " ".join(f"WHEN '{f}' THEN {w}" for f, w in weights.items()) + " END"
     match = "starts_with(t.term, q.q)" if prefix else "t.term = q.q"
     return f"""h_{out} AS (SELECT id, q, sum({weight}) AS f FROM t JOIN (VALUES {listed}) q(q) ON {match} WHERE field IN ({', '.join(f"'{f}'" for f in weights)}) GROUP BY id, q),
         d_{out} AS (SELECT q, count(*) AS df FROM h_{out} GROUP BY q),
         {out} AS (SELECT id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * doc_len / mean_len))), 6) AS score, count(*) AS terms
-            FROM h_{out} JOIN d_{out} USING (q) JOIN dl USING (id), n GROUP BY id {f'HAVING count(*) = {len(terms)}' if every else ''} ORDER BY score DESC, id LIMIT {k})"""
+            FROM h_{out} JOIN d_{out} USING (q) JOIN dl USING (id), n {among} GROUP BY id {f'HAVING count(*) = {len(terms)}' if every else ''} ORDER BY score DESC, id LIMIT {k})"""
 
 
 # --- index and retrieval ---------------------------------------------------------------------------------------------
