@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import focus, index, localize
 from ..operators.graph import written
-from ..operators.tables import top_per_group
 from ..sources.records import table
 from . import views
 from .bound import query
