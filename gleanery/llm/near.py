@@ -5,21 +5,26 @@ a token among the first |x| - ceil(t |x|) + 1 tokens of x, and likewise of y, un
 share prefix tokens under each of several orders, which are intersected before the exact overlap is counted.
 
 1. Documents with equal sets become one class: the least doc_id stands for it.
-2. Tokens are dealt by ranges of their hashes, packed in binary blocks of 6 bytes a token, and their document
-   frequencies counted. A token that one document alone has can be in no overlap; only the others return to their
+2. The order of the hashes themselves is known before anything is counted. Its prefixes, longer by EXTRA hundredths of the
+   set, are dealt first, by 32 bits of each token within its range: of two similar sets, the extended prefixes share as many
+   tokens more. A document that shares too few with all others together has no partner and drops out (equal bits of
+   different tokens only keep documents), so that most texts send about three eighths of their tokens, once.
+3. All tokens of the others are dealt by ranges of their hashes, packed in binary blocks of 6 bytes a token, and their
+   document frequencies counted. A token that one document alone has can be in no overlap; only the others return to their
    documents. Tokens that take part in more than 1 of HOT (at most HOT of them) are found before, by counts combined in
    the tasks, and stay with their documents, so that no range holds a long list. Of very many ranges, tokens go to
    groups of ranges first and then on to their own.
-3. Every order starts with the rarest tokens, with finer or coarser classes of frequency and with ties broken by
+4. Every order starts with the rarest tokens, with finer or coarser classes of frequency and with ties broken by
    hashes of their own. A document whose prefix holds unshared tokens only has no partner and drops out.
-4. Documents gather around leaders: the least document with which one shares the most prefix tokens, or that one's
+5. Documents gather around leaders: the least document with which one shares the most prefix tokens, or that one's
    leader. They are compared in blocks of bounded size, each of which holds the leader too; what does not link with
    the leader is compared with all of the block. So n near copies cost n comparisons and become one component.
-5. Documents that are linked, directly or not, need not meet. Two blocks meet only if, under every order, they share a
-   prefix token of documents in different components: the filters of the orders are intersected before records move and
-   before any overlap is counted. Pairs of documents pass the filters of all orders as well. Blocks of one great group
-   whose documents do not link still meet pair by pair (a 2048^2th of the pairs of its documents).
-6. Links are joined into components by star rounds.
+6. Documents that are linked, directly or not, need not meet. A document goes to a larger block only if, under every order,
+   it shares a prefix token with a document there in a different component: the filters of the orders are intersected
+   before records move and before any overlap is counted. A block's own documents move once for each full part of such
+   guests. Pairs of documents pass the filters of all orders as well.
+   Blocks of one great group whose documents do not link still meet pair by pair (a 2048^2th of the pairs of its documents).
+7. Links are joined into components by star rounds.
 
 Tokens count as equal if 48 bits of their hashes are.
 
@@ -47,10 +52,14 @@ WIDTH, PERCENT = 5, 75
 HOT, HOT_LEAST, HOT_IN_FLUSH, HOT_FLUSH = 1 << 18, 64, 4, 1 << 21
 #: Tokens that a task gathers before it deals them out, and tokens of a range.
 FLUSH, RANGE = 1 << 19, 1 << 20
+#: By how many hundredths of a set its prefix in the order of the hashes is longer than needed.
+EXTRA = 12
 #: Bits of a range that are dealt in one step.
 HOP = 12
 #: Documents and tokens of a block.
 BLOCK_DOCS, BLOCK_TOKENS = 2048, 1 << 20
+#: Rows of meetings (five columns) that may be broadcast.
+MET_ROWS = BROADCAST_ROWS // 4
 #: Rows of a block that are compared at a time.
 SLICE = 256
 #: How often a document's leader is replaced by its leader's leader before blocks are formed.
@@ -129,6 +138,25 @@ def _summaries(width: int):
     return go
 
 
+def planes(x: np.ndarray, kind: str) -> bytes:
+    """Numbers byte by byte, all lowest bytes first: the upper ones of small numbers compress to nothing."""
+    x = np.ascontiguousarray(x, kind)
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def id_planes(sorted_ids: np.ndarray) -> bytes:
+    """Sorted ids as steps from one to the next."""
+    return planes(np.diff(sorted_ids, prepend=sorted_ids[:1] * 0), "<i8")
+
+
+def ids_from(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, "<i8"))
+
+
 PACKED = "part int, docs binary, sizes binary, at binary, high binary, low binary, class binary"
 PACKED_TYPE = pa.schema([("part", pa.int32()), *((n, pa.binary()) for n in ("docs", "sizes", "at", "high", "low", "class"))])
 
@@ -142,13 +170,13 @@ def packed(part: np.ndarray, doc: np.ndarray, size: np.ndarray, token: np.ndarra
     for first, last in zip(edge[:-1], edge[1:], strict=True):
         docs, one, at = np.unique(doc[first:last], return_index=True, return_inverse=True)
         t = token[first:last]
-        yield [int(part[first]), docs.astype("<i8").tobytes(), size[first:last][one].astype("<u4").tobytes(), at.astype("<u2" if len(docs) <= 1 << 16 else "<u4").tobytes(),
+        yield [int(part[first]), id_planes(docs), planes(size[first:last][one], "<u4"), planes(at, "<u2" if len(docs) <= 1 << 16 else "<u4"),
                (t >> np.uint64(32)).astype("<u2").tobytes(), t.astype("<u4").tobytes(), b"" if klass is None else klass[first:last].tobytes()]
 
 
 def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    docs, sizes = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["sizes"], "<u4")
-    at = np.frombuffer(row["at"], "<u2" if len(docs) <= 1 << 16 else "<u4")
+    docs, sizes = ids_from(row["docs"]), from_planes(row["sizes"], "<u4")
+    at = from_planes(row["at"], "<u2" if len(docs) <= 1 << 16 else "<u4")
     token = np.frombuffer(row["high"], "<u2").astype(np.uint64) << np.uint64(32) | np.frombuffer(row["low"], "<u4")
     klass = np.frombuffer(row["class"], np.uint8) if row["class"] else np.zeros(len(at), np.uint8)
     return docs[at], sizes[at], token, klass
@@ -187,6 +215,124 @@ def _spread(doc: np.ndarray) -> np.ndarray:
     return mix(doc.astype(np.uint64), 5)
 
 
+def extra(n: np.ndarray) -> np.ndarray:
+    return EXTRA * n // 100
+
+
+def needed(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many tokens of its extended prefix a set of n shares with that of any partner, which has percent of n tokens at least."""
+    least = -(-percent * n // 100)
+    return np.minimum(1 + extra(least), least)
+
+
+COUNTED = "part int, docs binary, counts binary, sizes binary, tokens binary"
+COUNTED_TYPE = pa.schema([("part", pa.int32()), *((n, pa.binary()) for n in ("docs", "counts", "sizes", "tokens"))])
+
+
+def _counted(rows: list[list]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(COUNTED_TYPE)], schema=COUNTED_TYPE)
+
+
+def _by_document(doc: np.ndarray, count: np.ndarray, size: np.ndarray | None, bits: int) -> Iterator[list]:
+    """One row for each part of the documents, of the number of shared tokens and perhaps the size of each."""
+    part = _part(_spread(doc), 64, bits)
+    order = np.lexsort((doc, part))
+    edge = np.append(np.flatnonzero(fresh(part[order])), len(part))
+    for first, last in zip(edge[:-1], edge[1:], strict=True):
+        own = order[first:last]
+        yield [int(part[own[0]]), id_planes(doc[own]), planes(count[own], "<u4"), b"" if size is None else planes(size[own], "<u4"), b""]
+
+
+def _prefixes(width: int, percent: int, bits: int, hot):
+    """Extended prefixes in the order of the hashes by range of tokens; with a negative part, sizes and hot tokens' numbers of documents."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = hot.value[0]
+        held: list[tuple] = []
+
+        def flush() -> list[pa.RecordBatch]:
+            doc, n, token = ([x[i] for x in held] for i in range(3))
+            held.clear()
+            token, at = np.concatenate(token), np.repeat(np.arange(sum(map(len, n))), np.concatenate([taken(x) for x in n]))
+            doc, n = np.concatenate(doc), np.concatenate(n)
+            told = np.zeros(len(doc), np.int64)
+            if len(often):
+                is_hot = often[np.minimum(np.searchsorted(often, token & MASK), len(often) - 1)] == token & MASK
+                told = np.bincount(at[is_hot], minlength=len(doc))
+                token, at = token[~is_hot], at[~is_hot]
+            rows = [[-1 - part, *rest] for part, *rest in _by_document(doc, told, n, bits)]
+            place = mix(token, 17)
+            part, place = _part(place, 64, bits), (place & np.uint64(0xFFFFFFFF)).astype("<u4")
+            order = np.lexsort((doc[at], part))
+            part, at, place = part[order], at[order], place[order]
+            edge = np.append(np.flatnonzero(fresh(part)), len(part))
+            for first, last in zip(edge[:-1], edge[1:], strict=True):
+                own = doc[at[first:last]]
+                start = np.flatnonzero(fresh(own))
+                rows.append([int(part[first]), id_planes(own[start]), planes(np.diff(np.append(start, len(own))), "<u4"), b"", place[first:last].tobytes()])
+            pa.default_memory_pool().release_unused()
+            return _counted(rows).combine_chunks().to_batches()
+
+        def taken(n: np.ndarray) -> np.ndarray:
+            return np.minimum(n, prefix_length(n, percent) + extra(n)) * (n > 0)
+
+        size = 0
+        for batch in small(batches):
+            texts, ids = _texts(batch), batch.column(0).to_numpy(zero_copy_only=False)
+            for first, last in grouped(texts):
+                tokens, at = shingles(texts[first:last], width)
+                n = np.diff(at)
+                within = np.arange(len(tokens)) - np.repeat(at[:-1], n)
+                tokens = tokens[within < np.repeat(taken(n), n)]  # sets are sorted by hash
+                held.append((ids[first:last].astype(np.int64), n, tokens))
+                size += len(tokens)
+                if size >= 2 * FLUSH:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+
+    return go
+
+
+def _shared_counts(bits: int):
+    """Of one range, how many tokens of each document another entry has as well, by part of the documents."""
+
+    def go(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        if not rows or rows[0]["part"] < 0:
+            for row in rows:
+                row["part"] = -1 - row["part"]
+            return pa.Table.from_pylist(rows, COUNTED_TYPE)
+        doc = np.concatenate([np.repeat(ids_from(r["docs"]), from_planes(r["counts"], "<u4")) for r in rows])
+        token = np.concatenate([np.frombuffer(r["tokens"], "<u4") for r in rows])
+        order = np.argsort(token)
+        doc = np.sort(doc[order[run_lengths(token[order]) >= 2]])
+        doc, count = np.unique(doc, return_counts=True)
+        return _counted(list(_by_document(doc, count, None, bits)))
+
+    return go
+
+
+def _partnered(percent: int):
+    """(doc_id, n) of those documents of one part that share as many tokens as one with a partner does."""
+
+    def go(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        doc, at = np.unique(np.concatenate([ids_from(r["docs"]) for r in rows]), return_inverse=True)
+        count = np.bincount(at, np.concatenate([from_planes(r["counts"], "<u4") for r in rows]), len(doc))
+        sized = np.concatenate([np.full(len(r["docs"]) // 8, r["sizes"] != b"") for r in rows])
+        size = np.concatenate([from_planes(r["sizes"], "<u4") for r in rows]).astype(np.int64)
+        # Of several texts that share an id, all have to pass what the least needs.
+        need = np.full(len(doc), np.iinfo(np.int64).max)
+        np.minimum.at(need, at[sized], needed(size, percent))
+        n = np.bincount(at[sized], size, len(doc)).astype(np.int64)
+        kept = (n > 0) & (count >= need)
+        return pa.table({"doc_id": doc[kept], "n": n[kept]})
+
+    return go
+
+
 def _dealt(width: int, bits: int, hot):
     """Packed rows by range of tokens; those of hot tokens have a negative part and their class with them."""
 
@@ -438,7 +584,13 @@ def _verified(percent: int):
 
 def _compared(met: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """(u, v): links among documents that meet: rows (meeting, doc_id, side, component, lead)."""
-    met = met.join(found.select("doc_id", "n", "tokens", "classes"), "doc_id").select("meeting", "doc_id", "n", "tokens", "classes", "side", "component", "lead")
+    found, met = found.select("doc_id", "n", "tokens", "classes"), materialize(met)
+    # Few meetings are broadcast; else only sets of documents that meet move to them.
+    if met.count() <= MET_ROWS:
+        met = F.broadcast(met)
+    else:
+        found = keep_ids(found, materialize(met.select("doc_id").distinct()), "doc_id", "left_semi")
+    met = found.join(met, "doc_id").select("meeting", "doc_id", "n", "tokens", "classes", "side", "component", "lead")
     return met.repartition("meeting").sortWithinPartitions("meeting", "side", "doc_id").mapInArrow(_verified(percent), "u long, v long")
 
 
@@ -449,11 +601,27 @@ def _hot_tokens(summary: DataFrame, total: int):
     return summary.sparkSession.sparkContext.broadcast((token, frequency_class(np.maximum(2, rows["n"].to_numpy(np.int64)[order]))))
 
 
+def _total(sized: DataFrame) -> int:
+    return int(sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
+
+def partnered(docs: DataFrame, total: int, hot, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n) of documents (doc_id, text) that may have a partner by their prefixes in the order of the hashes; n adds up their sets' sizes."""
+    sent = total * (100 - percent + EXTRA) // 100
+    bits = min(31, (sent // (2 * RANGE)).bit_length())
+    dealt = docs.mapInArrow(_prefixes(width, percent, bits, hot), COUNTED)
+    counted = dealt.groupBy("part").applyInArrow(_shared_counts(bits), COUNTED)
+    return counted.groupBy("part").applyInArrow(_partnered(percent), "doc_id long, n long")
+
+
 def records(docs: DataFrame, summary: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Of documents (doc_id, text) that may have a partner: their shared tokens, classes and prefix under each order."""
-    total = int(summary.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    total = _total(summary.where("kind = 0"))
+    hot = _hot_tokens(summary, total)
+    kept = materialize(partnered(docs, total, hot, width, percent))
+    docs, total = keep_ids(docs, kept.select("doc_id"), "doc_id", "left_semi"), _total(kept)
     bits = min(31, (total // RANGE).bit_length())
-    dealt = docs.mapInArrow(_dealt(width, min(bits, HOP), _hot_tokens(summary, total)), PACKED)
+    dealt = docs.mapInArrow(_dealt(width, min(bits, HOP), hot), PACKED)
     # Hot rows have negative parts, one for each part of the documents and sender.
     shared = _in_steps(dealt, bits).groupBy("part").applyInArrow(_returned(min(bits, HOP)), PACKED)
     return _in_steps(shared, bits).groupBy("part").applyInArrow(_records(percent), RECORD)
@@ -486,8 +654,8 @@ def around_leaders(blocks: DataFrame) -> DataFrame:
 
 
 def across_components(found: DataFrame, blocks: DataFrame, joined: DataFrame) -> DataFrame | None:
-    """Meetings of blocks that share, under every order, prefix tokens across components; None if there are none."""
-    labelled = found.select("doc_id", "prefixes").join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", "prefixes", F.coalesce("component", "doc_id").alias("component"))
+    """Meetings of blocks with documents that share, under every order, prefix tokens across components; None if there are none."""
+    labelled = found.select("doc_id", "n", "prefixes").join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "prefixes", F.coalesce("component", "doc_id").alias("component"))
 
     def across(postings: DataFrame) -> DataFrame:
         """Postings of tokens that documents of several components share under an order."""
@@ -499,24 +667,23 @@ def across_components(found: DataFrame, blocks: DataFrame, joined: DataFrame) ->
     if open_.isEmpty():
         forget(open_)
         return None
-    each = labelled.join(open_, "doc_id").select("doc_id", "component", F.posexplode("prefixes").alias("nth", "tokens"))
-    live = across(each.select("doc_id", "component", "nth", F.explode("tokens").alias("token"))).join(blocks.select("doc_id", "block"), "doc_id")
+    each = labelled.join(open_, "doc_id").select("doc_id", "n", "component", F.posexplode("prefixes").alias("nth", "tokens"))
+    blocks = blocks.select("doc_id", "block").join(blocks.groupBy("block").agg(F.count("*").alias("weight")), "block")
+    live = across(each.select("doc_id", "n", "component", "nth", F.explode("tokens").alias("token"))).join(blocks, "doc_id")
     live = materialize(live)
-    seen = live.where("nth = 0").groupBy("token", "block").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    a, b = (seen.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("block", "least", "most"))) for x in "ab")
-    one = "least_a = most_a and least_b = most_b and least_a = least_b"
-    pairs = a.join(b, "token").where(f"block_a < block_b and not ({one})").select("block_a", "block_b").distinct()
-    # The other orders: of pairs of blocks that the first lets pass, those whose tokens overlap as well.
-    for nth in range(1, len(ORDERS)):
-        of = live.where(F.col("nth") == nth).groupBy("block").agg(F.collect_set("token").alias("tokens"))
-        for x in "ab":
-            pairs = pairs.join(of.select(F.col("block").alias(f"block_{x}"), F.col("tokens").alias(f"tokens_{x}")), f"block_{x}")
-        pairs = pairs.where(F.arrays_overlap("tokens_a", "tokens_b")).select("block_a", "block_b")
-    sides = F.array(*(F.struct(F.col(f"block_{x}").alias("block"), F.lit(i).alias("side")) for i, x in enumerate("ab")))
-    pairs = pairs.select(F.xxhash64("block_a", "block_b").alias("meeting"), F.explode(sides).alias("x")).select("meeting", "x.block", "x.side")
-    # Of a block, those documents meet that share tokens across components under every order.
-    members = live.groupBy("doc_id", "component", "block").agg(F.countDistinct("nth").alias("orders")).where(F.col("orders") == len(ORDERS))
-    return pairs.join(members, "block").select("meeting", "doc_id", "side", "component", F.lit(False).alias("lead"))
+    # Documents go to the larger blocks, so those of a great block do not go to each small one that shares a token with it.
+    seen = live.groupBy("nth", "token", "block", "weight").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    seen = seen.withColumnsRenamed({"block": "other", "weight": "other_weight"})
+    passed = live.join(seen, ["nth", "token"]).where("struct(weight, block) < struct(other_weight, other) and (least <> component or most <> component)")
+    every = F.bit_or(F.expr("shiftleft(1, nth)")) == (1 << len(ORDERS)) - 1
+    guests = passed.groupBy("doc_id", "n", "component", "other").agg(every.alias("every")).where("every").select("doc_id", "n", "component", F.col("other").alias("block"))
+    guests = materialize(guests)
+    # A block meets its guests in as many parts as keep each of bounded size.
+    parts = guests.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("parts"))
+    hosts = live.groupBy("doc_id", "component", "block").agg(every.alias("every")).where("every").join(parts, "block")
+    hosts = hosts.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "block", "doc_id", F.lit(0).alias("side"), "component")
+    guests = guests.join(parts, "block").select(F.expr("pmod(xxhash64(doc_id), parts)").alias("part"), "block", "doc_id", F.lit(1).alias("side"), "component")
+    return hosts.union(guests).select(F.xxhash64("block", "part").alias("meeting"), "doc_id", "side", "component", F.lit(False).alias("lead"))
 
 
 def labels(links: DataFrame) -> DataFrame:

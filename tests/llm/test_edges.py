@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from math import exp, log
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -97,6 +98,67 @@ def test_near_copies_meet_in_proportion(spark, monkeypatch):
     assert sum(met) < 1.2 * len(rows)
 
 
+def test_near_copies_of_the_least_size(spark):
+    rows = []
+    for k, n in enumerate((5, 8, 9, 12, 40, 41, 100, 101, 333)):
+        words = [f"t{k}_{i}" for i in range(n)]
+        sets = n - 4
+        least = -(-3 * sets // 4)  # of a part of the text, exactly enough shingles, and one too few
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[n - least - 4 :])), (10 * k + 2, " ".join(words[: least + 3]))]
+    assert components(spark, rows) == brute_components(rows)
+
+
+def test_documents_without_a_partner_send_their_prefixes_only(spark):
+    import random
+
+    r = random.Random(2)
+    notice = " ".join(f"n{i}" for i in range(24))
+    rows = [(7 * i, " ".join([*(f"w{r.randrange(10**6)}" for _ in range(200)), notice])) for i in range(120)]
+    rows += [(10_000, rows[5][1] + " and some more words"), (10_001, "other words first " + rows[9][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    none = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.uint8)))
+    kept = near.partnered(df, 220 * len(rows), none).collect()
+    assert sorted(x["doc_id"] for x in kept) == [35, 63, 10_000, 10_001]
+    assert {x["n"] for x in kept} == {220, 224, 223}
+    assert components(spark, rows) == brute_components(rows)
+
+
+def test_dealt_bytes_do_not_grow_with_ranges(spark):
+    rows = [(i, " ".join(f"d{i}_{k}" for k in range(154))) for i in range(2000)]
+    batch = pa.record_batch({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    none = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.uint8)))
+
+    def sent(dealt) -> float:
+        columns = [x for b in dealt(iter([batch])) for row in b.to_pylist() for x in row.values() if isinstance(x, bytes)]
+        return len(pa.compress(b"".join(columns), "lz4", asbytes=True)) / (150 * len(rows))
+
+    assert sent(near._prefixes(5, 75, 2, none)) < 1.8
+    assert sent(near._prefixes(5, 75, 10, none)) < 2.8
+    assert sent(near._dealt(5, 10, none)) < 1.4 * sent(near._dealt(5, 2, none))
+
+
+@pytest.mark.parametrize("ids", [[], [3], [-(2**63), -5, 0, 7, 2**63 - 1], list(range(100, 5000, 3))])
+def test_planes_read_back(ids):
+    x = np.array(ids, np.int64)
+    assert near.ids_from(near.id_planes(x)).tolist() == ids
+    assert near.from_planes(near.planes(x & 0xFFFF, "<u4"), "<u4").tolist() == (x & 0xFFFF).tolist()
+
+
+def test_only_documents_that_share_tokens_meet_across_blocks(spark, monkeypatch):
+    met = []
+    compared = near._compared
+    monkeypatch.setattr(near, "_compared", lambda m, *rest: (met.append(m.count()), compared(m, *rest))[1])
+    # Six groups of documents around a text each; of each group, one document has a few words of one of the next group.
+    rows = []
+    for g in range(6):
+        base = [f"g{g}_{k}" for k in range(120)]
+        for i in range(20):
+            other = [f"x{min(g, h)}_{max(g, h)}_{k}" for h in [(g + 1 + i) % 6] if i < 5 for k in range(8)]
+            rows.append((len(rows), " ".join([*base, *other, *(f"own{i}_{g}_{k}" for k in range(5))])))
+    assert components(spark, rows) == brute_components(rows)
+    assert met[0] == len(rows)
+    assert sum(met[1:]) <= 60
+
 # --- 4 --------------------------------------------------------------------------------------------------------------
 
 
