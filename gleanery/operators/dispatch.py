@@ -7,7 +7,7 @@ Types are told apart by name, as calls name them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,6 +18,10 @@ from .tables import top_per_group
 CANDIDATES, DEPTH, CONFIDENCE, CONTRACT = 8, 4, 0.55, 0.8
 CALLS, HIERARCHY, STALE = ("calls", "awaits"), ("extends", "implements"), ("dispatches_via", "implements", "extends")
 SCOPE = 2000
+#: So many candidates of a key are one list; sources that may need more meet them row by row.
+LISTED = 64
+#: Up to so many lists go to all tasks.
+SENT = 8192
 
 
 def parents(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -39,6 +43,45 @@ def ancestors(pairs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return found
 
 
+def _named() -> tuple[Column, Column]:
+    """The type and the method that a call names."""
+    return F.regexp_extract("target_qualified", r"^(.+)\.([^.]+)$", 1).alias("receiver"), F.regexp_extract("target_qualified", r"^(.+)\.([^.]+)$", 2).alias("method")
+
+
+def _near(calls: DataFrame, known: DataFrame, ranked: DataFrame, most: int) -> DataFrame:
+    """The candidates of sources that reach few methods: those of a key are one list, met once a call.
+
+    All steps keep the calls of a source where they are, so only calls move, not their candidates.
+    """
+    lists = ranked.where(F.col("__rank") <= LISTED).groupBy("receiver", "method", "arity").agg(F.array_sort(F.collect_list(F.struct("__rank", "target_key", "qualified_name"))).alias("__list"))
+    lists = written(lists)
+    lists = F.broadcast(lists) if lists.count() <= SENT else lists
+    few = F.size("__known") <= LISTED - most - 1
+    calls = calls.join(known, ["source_key", "relation"], "left").where(F.col("__known").isNull() | few)
+    confidence = F.least("confidence", F.lit(CONFIDENCE))
+    turn = F.dense_rank().over(Window.partitionBy("source_key", "relation").orderBy(F.col("line"), confidence.desc()))
+    met = calls.withColumn("__turn", turn.cast("long")).join(lists, ["receiver", "method", "arity"])
+    seen = F.slice("__list", 1, F.coalesce(F.size("__known"), F.lit(0)) + most + 1)
+    rest = F.when(F.col("__known").isNull(), seen).otherwise(F.filter(seen, lambda x: ~F.array_contains("__known", x["target_key"])))
+    met = met.select("source_key", "relation", "line", confidence.alias("confidence"), "__turn", rest.alias("__rest"))
+    met = met.withColumn("__turn", 2 * F.col("__turn") + (F.size("__rest") > most).cast("long"))  # of equal calls the one that tells all comes first
+    each = met.select("source_key", "relation", "line", "confidence", "__turn", F.explode(F.slice("__rest", 1, most)).alias("x")).select("*", "x.target_key", "x.qualified_name")
+    first = each.groupBy("source_key", "relation", "target_key", "qualified_name").agg(F.min_by("line", "__turn").alias("line"), F.min_by("confidence", "__turn").alias("confidence"), F.min("__turn").alias("__turn"))
+    return first.select("source_key", "relation", "target_key", F.col("qualified_name").alias("target_qualified"), "line", "confidence", F.lit("inferred").alias("evidence_class"), (F.col("__turn") % 2 == 1).alias("truncated"))
+
+
+def _far(calls: DataFrame, known: DataFrame, ranked: DataFrame, most: int) -> DataFrame:
+    """The same for sources that reach many methods already: a call meets one row a candidate."""
+    count = known.groupBy("source_key", "relation").agg(F.count("*").alias("__known"))
+    calls = calls.join(count, ["source_key", "relation"]).withColumn("__reach", F.col("__known") + most + 1).drop("__known")
+    met = calls.join(ranked, ["receiver", "method", "arity"]).where("__rank <= __reach").join(known, ["source_key", "relation", "target_key"], "left_anti")
+    key = ["source_key", "relation", "receiver", "method", "arity"]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("__rank"))
+    placed = met.withColumn("__place", place).withColumn("truncated", F.count("*").over(Window.partitionBy(*key)) > most).where(F.col("__place") <= most)
+    found = placed.select("source_key", "relation", "target_key", F.col("qualified_name").alias("target_qualified"), "line", F.least("confidence", F.lit(CONFIDENCE)).alias("confidence"), F.lit("inferred").alias("evidence_class"), "truncated")
+    return top_per_group(found, ["source_key", "relation", "target_key"], [F.col("line"), F.desc("confidence"), F.col("truncated")], 1)
+
+
 def dispatch_candidates(entities: DataFrame, relations: DataFrame, most: int = CANDIDATES, depth: int = DEPTH) -> DataFrame:
     """(source_key, relation, target_key, target_qualified, line, confidence, evidence_class, truncated) that calls add.
 
@@ -50,32 +93,27 @@ def dispatch_candidates(entities: DataFrame, relations: DataFrame, most: int = C
     """
     pairs = written(parents(entities, relations))
     methods = entities.where(F.col("kind").isin("function", "method") & (F.coalesce("owner_name", F.lit("")) != ""))
+    methods = methods.select("key", "name", "owner_name", "file_path", "qualified_name", "signature", T.argument_count(F.col("signature")).alias("__arity")).dropDuplicates(["key"])
     below = ancestors(pairs, depth).select(F.col("child").alias("owner_name"), F.col("ancestor").alias("receiver"))
-    methods = methods.select("key", "name", "owner_name", "file_path", "qualified_name", "signature", T.argument_count(F.col("signature")).alias("__arity")).join(below, "owner_name")
     arity = F.explode(F.when(F.col("__arity").isNull(), F.array(F.lit(-1))).otherwise(F.array(F.lit(-1), F.col("__arity"))))  # -1: any number
-    keyed = methods.withColumn("arity", arity).dropDuplicates(["receiver", "name", "arity", "key"])
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("receiver", "name", "arity").orderBy("file_path", "qualified_name", "signature", "key")
-    ranked = written(keyed.withColumn("__rank", F.row_number().over(by)).select("receiver", F.col("name").alias("method"), "arity", "__rank", F.col("key").alias("target_key"), "qualified_name"))
+    by = Window.partitionBy("receiver", "method", "arity").orderBy("file_path", "qualified_name", "signature", "target_key")
+    ranked = methods.join(below, "owner_name").select("receiver", F.col("name").alias("method"), arity.alias("arity"), F.col("key").alias("target_key"), "file_path", "qualified_name", "signature")
+    ranked = ranked.withColumn("__rank", F.row_number().over(by)).drop("file_path", "signature")
 
-    named = F.regexp_extract("target_qualified", r"^(.+)\.([^.]+)$", 1), F.regexp_extract("target_qualified", r"^(.+)\.([^.]+)$", 2)
-    calls = relations.where(F.col("relation").isin(*CALLS)).select("*", named[0].alias("receiver"), named[1].alias("method")).where("receiver <> '' and method <> ''")
-    calls = calls.groupBy("source_key", "relation", "receiver", "method", F.coalesce("arity", F.lit(-1)).alias("arity")).agg(F.min("line").alias("line"), F.max("confidence").alias("confidence"))
-    known = relations.where(F.col("relation").isin(*CALLS) & F.col("target_key").isNotNull()).select("source_key", "relation", "target_key").distinct()
-    count = known.groupBy("source_key", "relation").agg(F.count("*").alias("__known"))
+    calling = relations.where(F.col("relation").isin(*CALLS))
+    known = calling.where(F.col("target_key").isNotNull()).groupBy("source_key", "relation").agg(F.collect_set("target_key").alias("__known"))
     # Of the methods of a key so many may fall away as the source reaches already: no more than these are looked at.
-    calls = calls.join(count, ["source_key", "relation"], "left").withColumn("__reach", F.coalesce("__known", F.lit(0)) + most + 1).drop("__known")
-    met = calls.join(ranked, ["receiver", "method", "arity"]).where("__rank <= __reach").join(known, ["source_key", "relation", "target_key"], "left_anti")
-    key = ["source_key", "relation", "receiver", "method", "arity"]
-    place = F.row_number().over(Window.partitionBy(*key).orderBy("__rank"))
-    placed = met.withColumn("__place", place).withColumn("truncated", F.count("*").over(Window.partitionBy(*key)) > most).where(F.col("__place") <= most)
-    found = placed.select("source_key", "relation", "target_key", F.col("qualified_name").alias("target_qualified"), "line", F.least("confidence", F.lit(CONFIDENCE)).alias("confidence"), F.lit("inferred").alias("evidence_class"), "truncated")
-    found = top_per_group(found, ["source_key", "relation", "target_key"], [F.col("line"), F.desc("confidence"), F.col("truncated")], 1)
+    far = written(known.where(F.size("__known") > LISTED - most - 1).select("source_key", "relation"))
+    told = calling.select("source_key", "relation", "line", "confidence", F.coalesce("arity", F.lit(-1)).alias("arity"), *_named()).where("receiver <> '' and method <> ''")
+    calls = told.repartition("source_key", "relation").groupBy("source_key", "relation", "receiver", "method", "arity").agg(F.min("line").alias("line"), F.max("confidence").alias("confidence"))
+    found = _near(calls, known, ranked, most)
+    if not far.isEmpty():
+        deep = calling.join(far, ["source_key", "relation"], "left_semi")
+        found = found.unionByName(_far(calls.join(far, ["source_key", "relation"], "left_semi"), deep.where(F.col("target_key").isNotNull()).select("source_key", "relation", "target_key").distinct(), ranked, most))
 
     types = entities.where(~F.col("kind").isin("function", "method")).groupBy(F.col("qualified_name").alias("receiver")).agg(F.min("key").alias("target_key"), F.max(F.col("kind") == "interface").alias("__interface"))
     above = pairs.select(F.col("parent").alias("receiver"), F.lit(True).alias("__parent")).distinct()
-    via = calls.groupBy("source_key", "receiver").agg(F.min("line").alias("line")).join(above, "receiver", "left").join(types, "receiver", "left").where("coalesce(__parent, false) or coalesce(__interface, false)")
+    via = told.groupBy("source_key", "receiver").agg(F.min("line").alias("line")).join(above, "receiver", "left").join(types, "receiver", "left").where("coalesce(__parent, false) or coalesce(__interface, false)")
     via = via.select("source_key", F.lit("dispatches_via").alias("relation"), "target_key", F.col("receiver").alias("target_qualified"), "line", F.lit(CONTRACT).alias("confidence"), F.lit("static").alias("evidence_class"), F.lit(False).alias("truncated"))
     return found.unionByName(via)
 
