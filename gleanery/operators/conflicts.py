@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .graph import written
+
+PROCEDURES = ("procedure_experience", "correction_experience")
 
 
 def similar_pairs(df: DataFrame, id_col: str, tokens_col: str, least: float) -> DataFrame:
@@ -42,18 +45,27 @@ def _tokens(name: str):
 def conflicting_procedures(records: DataFrame, trigger: float = 0.8, scope: float = 0.5, repair: float = 0.75) -> DataFrame:
     """(older, newer) of one type whose triggers and scopes are alike and whose repairs are not.
 
-    Alike: equal, or Jaccard of at least the given value; candidates share a rare token of the trigger.
+    Alike: equal, or Jaccard of at least the given value; candidates share a rare token of the trigger. Records that say the same
+    are one case. Triggers, then scopes, then repairs are compared once a case; only cases that conflict open to their records.
     """
-    told = records.where(F.col("repair_action").isNotNull() & F.col("trigger_condition").isNotNull() & F.col("scope").isNotNull())
-    pairs = None
-    for kind in ("procedure_experience", "correction_experience"):
-        own = told.where(F.col("experience_type") == kind).select("id", _tokens("trigger_condition").alias("tokens"))
-        found = similar_pairs(own, "id", "tokens", trigger).select(F.col("id_a").alias("older"), F.col("id_b").alias("newer"))
-        pairs = found if pairs is None else pairs.union(found)
-    for x in ("older", "newer"):
-        pairs = pairs.join(told.select(F.col("id").alias(x), _tokens("scope").alias(f"scope_{x}"), _tokens("repair_action").alias(f"repair_{x}"), F.col("repair_action").alias(f"action_{x}")), x)
-    alike = (T.jaccard(F.col("scope_older"), F.col("scope_newer")) >= scope) & (T.jaccard(F.col("repair_older"), F.col("repair_newer")) < repair)
-    return pairs.where(alike & (F.col("action_older") != F.col("action_newer"))).select("older", "newer")
+    told = records.where(F.col("repair_action").isNotNull() & F.col("trigger_condition").isNotNull() & F.col("scope").isNotNull() & F.col("experience_type").isin(*PROCEDURES))
+    sets = {name: F.array_sort(_tokens(c)).alias(name) for name, c in (("t", "trigger_condition"), ("s", "scope"), ("r", "repair_action"))}
+    rows = told.select("id", "experience_type", *sets.values(), F.col("repair_action").alias("action")).where(F.size("t") > 0)
+    named = lambda *c: F.sha2(F.to_json(F.struct(*c)), 256)
+    rows = rows.withColumns({"trigger": named("t"), "place": named("experience_type", "t", "s"), "case": named("experience_type", "t", "s", "r", "action")})
+    cases = written(rows.groupBy("experience_type", "trigger", "place", "case").agg(*(F.first(c).alias(c) for c in ("t", "s", "r", "action"))))
+    triggers = cases.groupBy("trigger").agg(F.first("t").alias("t"))
+    alike = similar_pairs(triggers, "trigger", "t", trigger).select(F.col("id_a").alias("trigger_a"), F.col("id_b").alias("trigger_b")).union(triggers.select("trigger", "trigger"))
+    side = lambda df, x, *shared: df.select(*shared, *(F.col(c).alias(f"{c}_{x}") for c in df.columns if c not in shared))
+    places = cases.groupBy("experience_type", "trigger", "place").agg(F.first("s").alias("s"))
+    met = alike.join(side(places, "a", "experience_type"), "trigger_a").join(side(places, "b", "experience_type"), ["experience_type", "trigger_b"])
+    met = met.where(((F.col("trigger_a") != F.col("trigger_b")) | (F.col("place_a") <= F.col("place_b"))) & (T.jaccard(F.col("s_a"), F.col("s_b")) >= scope)).select("place_a", "place_b")
+    own = cases.select("place", "case", "r", "action")
+    met = met.join(side(own, "a"), "place_a").join(side(own, "b"), "place_b").where((F.col("place_a") != F.col("place_b")) | (F.col("case_a") < F.col("case_b")))
+    met = met.where((F.col("action_a") != F.col("action_b")) & (T.jaccard(F.col("r_a"), F.col("r_b")) < repair)).select("case_a", "case_b")
+    members = rows.select("case", "id")
+    pairs = met.join(side(members, "a"), "case_a").join(side(members, "b"), "case_b").where("id_a <> id_b")
+    return pairs.select(F.least("id_a", "id_b").alias("older"), F.greatest("id_a", "id_b").alias("newer"))
 
 
 def conflicting_values(records: DataFrame, key: list[str], value: str) -> DataFrame:

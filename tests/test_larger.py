@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from gleanery.operators import dispatch
+from gleanery.operators import conflicts, dispatch
 
 
 def plan_of(df) -> str:
@@ -61,3 +61,39 @@ def test_candidates_stay_with_their_calls(spark):
     found = dispatch.dispatch_candidates(spark.createDataFrame(entities, ENTITIES), spark.createDataFrame(relations[:60], RELATIONS))
     above, generated, _ = plan_of(found).partition("Generate")
     assert generated and "Exchange" not in above
+
+
+PARTS = "id long, experience_type string, trigger_condition string, scope string, repair_action string"
+
+
+def procedures(n, seed=6):
+    r = random.Random(seed)
+    words = lambda pool, k: " ".join(r.choice(pool) for _ in range(k))
+    kinds = ["procedure_experience", "correction_experience", "semantic_patch_experience"]
+    return [(i, r.choice(kinds), r.choice([None, "", "when a b c d breaks", "when a b c e breaks", "when d breaks"]), r.choice([None, "x y", "y x", "x z w", ""]), r.choice([None, words("pqrs", 3)])) for i in range(n)]
+
+
+def conflicting(rows):
+    sets = lambda t: {*t.split()}
+    jac = lambda a, b: len(a & b) / len(a | b) if a | b else 0
+    rows = [x for x in rows if None not in x and x[1] != "semantic_patch_experience"]
+    near = lambda x, y: [jac(sets(x[i]), sets(y[i])) for i in (2, 3, 4)]
+    met = ((x[0], y[0], near(x, y)) for x in rows for y in rows if x[0] < y[0] and x[1] == y[1] and x[4] != y[4])
+    return sorted((a, b) for a, b, (t, s, r) in met if t >= 0.6 and s >= 0.3 and r < 0.75)
+
+
+def test_conflicting_procedures_equal_brute_force(spark):
+    rows = procedures(160)
+    found = conflicts.conflicting_procedures(spark.createDataFrame(rows, PARTS), 0.6, 0.3)
+    assert sorted(map(tuple, found.collect())) == conflicting(rows) != []
+
+
+def test_records_that_say_the_same_are_compared_once(spark, monkeypatch):
+    """Triggers are compared once each, however many records have them."""
+    cases = [("procedure_experience", "when a breaks", "x", f"{x} is put right") for x in "abcd"]
+    rows = [(60 * i + j, *c) for i, c in enumerate(cases) for j in range(60)] + [(1000, "procedure_experience", "when a breaks", "x", "replace q at once")]
+    compared, pairs = [], conflicts.similar_pairs
+    monkeypatch.setattr(conflicts, "similar_pairs", lambda df, *a: (compared.append(df.count()), pairs(df, *a))[1])
+    found = conflicts.conflicting_procedures(spark.createDataFrame(rows, PARTS))
+    assert sorted(map(tuple, found.collect())) == conflicting(rows) != []
+    assert compared == [1]
