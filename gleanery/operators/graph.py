@@ -53,6 +53,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent(df: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """A written table for a join with a large one: it goes to all tasks if it has few rows, else neither side does.
+
+    Spark takes the size of files for that of rows, which may be a hundred times as much once texts are unpacked and lists
+    opened, and would send the large side through the driver.
+    """
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node): all that seeds lead to, in any number of steps; seeds are left out. Goes on until no new node appears."""
     step = edges.select("source", "target").distinct().persist()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import focus, index, localize
-from ..operators.graph import written
+from ..operators.graph import sent, written
 from ..sources.records import table
 from . import views
 from .bound import query
@@ -62,8 +62,8 @@ def hits(asked: DataFrame, found: DataFrame, most: int = 200) -> DataFrame:
     told = lambda term, w: F.struct(F.lower(term).alias("term"), F.lit(w).alias("w"))
     part = lambda i: F.split("symbol", "_")[i]
     postings = found.select("id", "file_path", "symbol", F.size(F.coalesce("mechanisms", F.array())).alias("coverage"), F.explode(F.array(told(F.col("symbol"), 8.0), told(part(0), 8.0), told(part(1), 8.0), told(F.col("owner_name"), 3.0), told(F.col("business_terms"), 2.0))).alias("x"))
-    terms = asked.select("request", F.explode(T.query_tokens(F.col("query"))).alias("term"))
-    met = terms.join(postings.select("*", "x.*").drop("x"), "term").groupBy("request", "id", "file_path", "coverage").agg(F.sum("w").alias("score"), F.max(F.col("term") == F.col("symbol")).alias("exact"))
+    terms = written(asked.select("request", F.explode(T.query_tokens(F.col("query"))).alias("term")))
+    met = sent(terms).join(postings.select("*", "x.*").drop("x"), "term").groupBy("request", "id", "file_path", "coverage").agg(F.sum("w").alias("score"), F.max(F.col("term") == F.col("symbol")).alias("exact"))
     kind = F.when(F.col("id") % 10 == 3, "file").otherwise("symbol").alias("kind")
     from pyspark.sql import Window
 
@@ -83,7 +83,7 @@ def located(s: SparkSession, d: str) -> tuple[DataFrame, localize.Localization]:
         if key not in _DONE:
             found = symbols(s, d)
             edges = views.edges(s, d).where("valid_to is null").select((F.col("source") + 1).alias("source"), (F.col("target") + 1).alias("target"), "relation", "confidence")
-            flows = edges.join(found.select(F.col("id").alias("source"), F.col("file_path").alias("source_path")), "source").select("source_path", "target", "relation", "confidence")
+            flows = edges.join(found.select(F.col("id").alias("source"), F.col("file_path").alias("source_path")).hint("merge"), "source").select("source_path", "target", "relation", "confidence")
             _DONE[key] = localize.Localization(asked, hits(asked, found), found, edges, flows)
     return asked, _DONE[key]
 
@@ -228,7 +228,7 @@ REASONS = {
 
 def items(asked: DataFrame, recalled: DataFrame, found: DataFrame, most: int = 30) -> DataFrame:
     """The first rows of each request, with their reasons."""
-    rows = recalled.where(F.col("rank") <= most).join(found.select("id", "business_terms"), "id").withColumnRenamed("rank", "pos")
+    rows = sent(written(recalled.where(F.col("rank") <= most))).join(found.select("id", "business_terms"), "id").withColumnRenamed("rank", "pos")
     reasons = F.array_compact(F.array(*(F.when(F.expr(v), k) for k, v in REASONS.items())))
     lanes = F.when((F.col("id") % 2 == 0) | (F.col("pos") == 1), F.array(F.lit("method_body_fts")))
     return rows.select("request", F.col("pos").alias("position"), "id", "file_path", *(F.expr(v).alias(k) for k, v in ITEM.items()), reasons.alias("reasons"), lanes.alias("lanes"))

@@ -1,9 +1,12 @@
 """Results of queries that grew beyond their limits, against brute force, and what keeps them within."""
 
 import random
+import re
 
 import pytest
+from pyspark.sql.readwriter import DataFrameWriter
 
+from gleanery import catalog
 from gleanery.operators import conflicts, dispatch
 
 
@@ -97,3 +100,28 @@ def test_records_that_say_the_same_are_compared_once(spark, monkeypatch):
     found = conflicts.conflicting_procedures(spark.createDataFrame(rows, PARTS))
     assert sorted(map(tuple, found.collect())) == conflicting(rows) != []
     assert compared == [1]
+
+
+def sent_through_driver(plan: str) -> list[set[str]]:
+    """What each broadcast of a plan reads: of tables what their columns begin with."""
+    found, depth = [], None
+    for line in plan.splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        depth = None if depth is not None and at <= depth else depth
+        if depth is None and "BroadcastExchange" in line:
+            depth = at
+            found.append(set())
+        elif depth is not None:
+            found[-1] |= {*re.findall(r"FileScan parquet \[([a-z]+)_", line)}
+    return found
+
+
+@pytest.mark.parametrize("name", ["rk36_code_focus"])
+def test_large_tables_do_not_go_through_the_driver(spark, tmp_path, monkeypatch, name):
+    """However small the files look, parts and items are not sent, but for the parts that requests (of nations) name."""
+    (tmp_path / "data").symlink_to("/root/testdata/sf0.001")
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (plans.append(plan_of(self._df)), write(self, *a, **k))[1])
+    plans.append(plan_of(catalog.queries()[name](spark, str(tmp_path / "data"))))
+    sent = [t for p in plans for t in sent_through_driver(p)]
+    assert all("n" in t or not {"p", "l"} & t for t in sent) and any("BroadcastHashJoin" in p for p in plans)
