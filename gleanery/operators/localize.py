@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .graph import sent, written
 from .tables import top_per_group
 
 #: Limits of the stages, and weights of a callable's fields. Fixed values.
@@ -64,7 +65,8 @@ def file_candidates(hits: DataFrame, symbols: DataFrame, requests: DataFrame, mo
     has behaviour words, for a named path or symbol and for the most behaviour words. Places that folders leave free are
     filled in order.
     """
-    types = symbols.where(F.col("symbol_type").isin(*TYPE_KINDS)).select(F.col("id"), F.lit(True).alias("__type"))
+    types = symbols.where(F.col("symbol_type").isin(*TYPE_KINDS)).join(sent(hits.select("id").distinct()), "id", "left_semi")
+    types = written(types.select("id", F.lit(True).alias("__type")))
     told = hits.where(F.col("kind").isin("file", "symbol") & (F.coalesce("file_path", F.lit("")) != "")).join(types, "id", "left")
     defined = (F.col("kind") == "symbol") & F.col("exact") & F.coalesce("__type", F.lit(False))
     files = told.groupBy("request", "file_path").agg(
@@ -93,6 +95,7 @@ def callable_pool(files: DataFrame, symbols: DataFrame, hits: DataFrame, most: i
     and are counted once.
     """
     own = Window.partitionBy("file_path")
+    symbols = symbols.join(sent(files.select("file_path").distinct()), "file_path", "left_semi")
     placed = symbols.where(F.col("symbol_type").isin(*CALLABLE_TYPES)).withColumns({"__rank": F.row_number().over(own.orderBy("start_line", "id")), "__count": F.count("*").over(own)})
     found = hits.where("kind = 'symbol' and id > 0").join(files.select("request", "file_path"), ["request", "file_path"], "left_semi")
     found = found.groupBy("request", "id").agg(F.max_by("score", "rank").alias("direct"), F.min("rank").alias("rank"), F.max("exact").alias("exact"))
@@ -180,11 +183,13 @@ def owners(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, flows: DataFr
     a seed's file (its build method before others)."""
     callables = symbols.where(F.col("symbol_type").isin(*CALLABLE_TYPES))
     relations = F.array_sort(F.collect_set("relation")).alias("graph_relations")
-    links = edges.where(F.col("relation").isin(*OWNER_RELATIONS)).join(seeds.select("request", F.col("id").alias("target")), "target")
-    direct = links.groupBy("request", F.col("source").alias("id")).agg(F.max("confidence").alias("graph_confidence"), relations).join(callables, "id").withColumn("__flow", F.lit(0))
-    parts = symbols.where("symbol_type = 'component'").select(F.col("id").alias("target"), "file_path").join(seeds.select("request", "file_path").distinct(), "file_path").select("request", "target")
-    shown = flows.where(F.col("relation").isin(*FLOW_RELATIONS)).join(parts, "target").groupBy("request", F.col("source_path").alias("file_path")).agg(F.max("confidence").alias("graph_confidence"), relations)
-    first = top_per_group(callables, ["file_path"], [F.when(F.col("symbol") == "build", 0).otherwise(1), F.col("start_line"), F.col("id")], 1)
+    links = edges.where(F.col("relation").isin(*OWNER_RELATIONS)).join(sent(seeds.select("request", F.col("id").alias("target"))), "target")
+    before = written(links.groupBy("request", F.col("source").alias("id")).agg(F.max("confidence").alias("graph_confidence"), relations))
+    direct = sent(before).join(callables, "id").withColumn("__flow", F.lit(0))
+    parts = symbols.where("symbol_type = 'component'").select(F.col("id").alias("target"), "file_path").join(sent(seeds.select("request", "file_path").distinct()), "file_path").select("request", "target")
+    shown = flows.where(F.col("relation").isin(*FLOW_RELATIONS)).join(sent(written(parts)), "target").groupBy("request", F.col("source_path").alias("file_path"))
+    shown = written(shown.agg(F.max("confidence").alias("graph_confidence"), relations))
+    first = top_per_group(callables.join(sent(shown.select("file_path").distinct()), "file_path", "left_semi"), ["file_path"], [F.when(F.col("symbol") == "build", 0).otherwise(1), F.col("start_line"), F.col("id")], 1)
     flow = shown.join(first, "file_path").withColumn("__flow", F.lit(1))
     order = [F.col("__flow"), F.desc("graph_confidence"), F.col("id")]
     # The limit counts what each kind offers; a callable that both offer takes its place among the edges.
@@ -218,9 +223,7 @@ class Localization:
     """All stages for all requests. What several stages read is written once."""
 
     def __init__(self, requests: DataFrame, hits: DataFrame, symbols: DataFrame, edges: DataFrame, flows: DataFrame):
-        from .graph import written
-
-        requests = written(described(requests))
+        requests, hits = written(described(requests)), written(hits)
         self.files = written(file_candidates(hits, symbols, requests))
         pool = callable_pool(self.files, symbols, hits).withColumns({"graph_depth": F.lit(0), "graph_confidence": F.lit(0.0), "graph_relations": F.array().cast("array<string>")})
         self.pool = written(pool)

@@ -116,7 +116,7 @@ def sent_through_driver(plan: str) -> list[set[str]]:
     return found
 
 
-@pytest.mark.parametrize("name", ["rk36_code_focus"])
+@pytest.mark.parametrize("name", ["rk33_localised", "rk36_code_focus"])
 def test_large_tables_do_not_go_through_the_driver(spark, tmp_path, monkeypatch, name):
     """However small the files look, parts and items are not sent, but for the parts that requests (of nations) name."""
     (tmp_path / "data").symlink_to("/root/testdata/sf0.001")
