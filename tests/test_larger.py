@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql.readwriter import DataFrameWriter
 
 from gleanery import catalog
-from gleanery.operators import conflicts, dispatch
+from gleanery.operators import conflicts, dispatch, progress
 
 
 def plan_of(df) -> str:
@@ -125,3 +125,36 @@ def test_large_tables_do_not_go_through_the_driver(spark, tmp_path, monkeypatch,
     plans.append(plan_of(catalog.queries()[name](spark, str(tmp_path / "data"))))
     sent = [t for p in plans for t in sent_through_driver(p)]
     assert all("n" in t or not {"p", "l"} & t for t in sent) and any("BroadcastHashJoin" in p for p in plans)
+
+
+def told_plans(spark, seed=11):
+    """Steps in chains and circles, with evidence of all kinds; plans without steps, and steps, errors and tests without a plan."""
+    r = random.Random(seed)
+    steps = [(p, i, r.randrange(4), r.choice(["add", "modify", "review_consumer", "verify"]), r.choice(["symbol:a", "test:1", "observe:2", "b"]), r.choice(["f", "g", "", None]), r.choice([None, [], [r.randrange(8)], [max(0, i - 1), r.randrange(6)], [None]]) if i else []) for p in range(40) for i in range(r.randrange(1, 8))]
+    some = lambda k, values: [(p, r.choice(values)) for p in range(42) for _ in range(k) if r.random() < 0.5]
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    return (
+        table([(p, f"r{p % 3}") for p in range(5, 45)], "plan long, revision string"), table(steps, "plan long, step long, position long, operation string, target string, file_path string, depends_on array<long>"),
+        table(some(3, range(6)), "plan long, step long"), table(some(1, ["f", "g"]), "plan long, path string"), table(some(1, ["symbol:a", "b"]), "plan long, target string"), table(some(2, ["1", "2"]), "plan long, ref string"),
+        table([(*x, r.choice(["complete", "partial"])) for x in some(2, ["f", "g"])], "plan long, path string, state string"), table(some(1, ["e", "d"])[::4], "plan long, code string"),
+        table([(p, int(p % 9 == 0), f"r{p % 3 if p % 7 else 9}") for p in range(43)], "plan long, failed int, revision string"),
+    )
+
+
+def test_progress_in_rows_equals_progress_in_rounds(spark, monkeypatch):
+    tables, told = told_plans(spark), []
+    for large in (32, 3, 0):
+        monkeypatch.setattr(progress, "LARGE", large, raising=False)
+        told.append([sorted(map(repr, map(tuple, df.collect()))) for df in progress.progress(*tables)])
+    assert told[0] == told[1] == told[2] and {r["status"] for r in progress.progress(*tables)[0].collect()} == {*progress.STATUSES}
+
+
+def test_steps_of_a_plan_move_once(spark, tmp_path, monkeypatch):
+    """One table is written, whose plan deals items and orders to their plans and joins the two once."""
+    (tmp_path / "data").symlink_to("/root/testdata/sf0.001")
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (plans.append(plan_of(self._df)), write(self, *a, **k))[1])
+    found = catalog.queries()["xo21_step_progress"](spark, str(tmp_path / "data"))
+    plans.append(plan_of(found))
+    assert found.count() == 6000 and len(plans) == 2 and "Exchange" not in plans[-1]
+    assert plans[0].count("FileScan parquet [l_orderkey") == 1
