@@ -13,9 +13,11 @@ micro-batch events count in the order of time and id; one that arrives later tha
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -24,6 +26,8 @@ from .events import importable
 RESULT = "cohort long, event_id long, kind string, task_id string, reason string, sequence int, digest string, previous string, status string"
 STATE = "presented int, active string, entry string, head string, seen string"
 START = (0, "", "", "", "")
+#: Rows of a sorted run, and of what is in memory of a run.
+RUN, STEP = 1 << 16, 1 << 11
 
 
 def digest(*parts: object) -> str:
@@ -62,9 +66,74 @@ def advanced(events: Iterable[dict], state: tuple, places: int) -> tuple[list[tu
     return out, (presented, active, entry, head, seen)
 
 
-def _ordered(frames: Iterable[pd.DataFrame]) -> list[dict]:
-    rows = [r for frame in frames for r in frame.to_dict("records")]
-    return sorted(({k: None if pd.isna(v) else v for k, v in r.items()} for r in rows), key=lambda r: (r["at"], r["event_id"]))
+def _frame(frames: Iterable[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(frames), ignore_index=True).sort_values(["at", "event_id"], kind="stable", ignore_index=True)
+
+
+def ordered(frames: Iterable[pd.DataFrame], run: int = RUN, step: int = STEP) -> Iterator[pd.DataFrame]:
+    """The rows of many frames in the order of time and id, a few at a time.
+
+    Runs of rows are sorted and lie in the task's own temporary files; of each run one stretch is in memory while they merge.
+    """
+    with tempfile.TemporaryDirectory() as folder:
+        runs: list[str] = []
+        held: list[pd.DataFrame] = []
+
+        def put() -> None:
+            runs.append(f"{folder}/{len(runs)}")
+            table = pa.Table.from_pandas(_frame(held), preserve_index=False)
+            with pa.OSFile(runs[-1], "wb") as f, pa.ipc.new_file(f, table.schema) as out:
+                out.write_table(table, max_chunksize=step)
+            held.clear()
+
+        for frame in frames:
+            if frame["at"].isna().any() or frame["event_id"].isna().any():
+                raise ValueError("an event has no time or no id")
+            for i in range(0, len(frame), step):
+                held.append(frame.iloc[i : i + step])
+                if sum(map(len, held)) >= run:
+                    put()
+        if not runs:
+            if held:
+                yield _frame(held)
+            return
+        if held:
+            put()
+        yield from _merged([_stretches(r) for r in runs])
+
+
+def _stretches(path: str) -> Iterator[pd.DataFrame]:
+    with pa.OSFile(path) as f, pa.ipc.open_file(f) as stored:
+        for i in range(stored.num_record_batches):
+            yield stored.get_batch(i).to_pandas()
+
+
+def _merged(runs: list[Iterator[pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+    """Sorted rows of sorted runs: all up to the least last row of the stretches that may have successors."""
+    now = {i: x for i, r in enumerate(runs) if (x := next(r, None)) is not None}
+    while now:
+        at, event = min((x["at"].iloc[-1], x["event_id"].iloc[-1]) for x in now.values())
+        out = []
+        for i, x in list(now.items()):
+            times = x["at"].to_numpy()
+            k, m = times.searchsorted(at, "left"), times.searchsorted(at, "right")
+            k += x["event_id"].to_numpy()[k:m].searchsorted(event, "right")
+            out.append(x.iloc[:k])
+            rest = x.iloc[k:]
+            if rest.empty and (rest := next(runs[i], None)) is None:
+                del now[i]
+            else:
+                now[i] = rest
+        yield _frame(out)
+
+
+def _told(frames: Iterable[pd.DataFrame], state: tuple, places: int, keep: Callable[[tuple], None] = lambda _: None) -> Iterator[pd.DataFrame]:
+    for frame in ordered(frames):
+        for i in range(0, len(frame), STEP):
+            rows = frame.iloc[i : i + STEP].astype(object)
+            out, state = advanced(rows.where(rows.notna(), None).to_dict("records"), state, places)
+            yield pd.DataFrame(out, columns=_NAMES)
+    keep(state)
 
 
 _NAMES = [c.split()[0] for c in RESULT.split(", ")]
@@ -74,9 +143,7 @@ def enrolled(events: DataFrame, places: int) -> DataFrame:
     """The stream of what becomes of each event; run it in append mode."""
 
     def go(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows, after = advanced(_ordered(frames), state.get if state.exists else START, places)
-        state.update(after)
-        yield pd.DataFrame(rows, columns=_NAMES)
+        yield from _told(frames, state.get if state.exists else START, places, state.update)
 
     importable(events.sparkSession)
     return events.groupBy("cohort").applyInPandasWithState(go, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)
@@ -84,8 +151,12 @@ def enrolled(events: DataFrame, places: int) -> DataFrame:
 
 def replayed(events: DataFrame, places: int) -> DataFrame:
     """The same for a table of events, from the start."""
+
+    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _told(frames, START, places)
+
     importable(events.sparkSession)
-    return events.groupBy("cohort").applyInPandas(lambda frame: pd.DataFrame(advanced(_ordered([frame]), START, places)[0], columns=_NAMES), RESULT)
+    return events.groupBy("cohort").applyInPandas(go, RESULT)
 
 
 def chain_valid(entries: DataFrame) -> DataFrame:

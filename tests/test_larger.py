@@ -3,11 +3,13 @@
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql.readwriter import DataFrameWriter
 
 from gleanery import catalog
 from gleanery.operators import conflicts, dispatch, progress
+from gleanery.streaming import cohort
 
 
 def plan_of(df) -> str:
@@ -158,3 +160,20 @@ def test_steps_of_a_plan_move_once(spark, tmp_path, monkeypatch):
     plans.append(plan_of(found))
     assert found.count() == 6000 and len(plans) == 2 and "Exchange" not in plans[-1]
     assert plans[0].count("FileScan parquet [l_orderkey") == 1
+
+
+def test_events_of_a_cohort_merge_from_runs_on_disk():
+    """Frames in any order, with ties of time, come sorted, and no more than a stretch of each run is held."""
+    r = random.Random(9)
+    rows = [(r.randrange(300), i, r.choice(["enrol", "complete", None])) for i in range(5000)]
+    r.shuffle(rows)
+    frames = (pd.DataFrame(rows[i : i + 700], columns=["at", "event_id", "kind"]) for i in range(0, 5000, 700))
+    found = list(cohort.ordered(frames, run=1000, step=50))
+    assert [(*x[:2], None if pd.isna(x[2]) else x[2]) for f in found for x in f.itertuples(index=False)] == sorted(rows, key=lambda x: x[:2])
+    assert max(map(len, found)) <= 6 * 50
+
+
+@pytest.mark.parametrize("rows", [[], [(5, 1)], [(5, 2), (5, 1)]])
+def test_few_events_of_a_cohort(rows):
+    frames = [pd.DataFrame(rows, columns=["at", "event_id"])]
+    assert [x for f in cohort.ordered(frames) for x in f.itertuples(index=False, name=None)] == sorted(rows)
