@@ -97,27 +97,37 @@ def _kind_and_ref(target: Column) -> tuple[Column, Column]:
     return F.regexp_extract(target, "^(symbol|test|observe):", 1), F.regexp_replace(target, "^(test|observe):", "")
 
 
-def _within() -> tuple[Column, Column]:
-    """The waves of the steps of a plan that lies in one row, and the steps with their evidence (which reads __waves)."""
-    ids, steps = F.transform("steps", lambda x: x["step"]), F.col("steps")
-    waits = F.transform(steps, lambda x: F.transform(F.coalesce(x["depends_on"], F.filter(ids, lambda _: F.lit(False))), lambda d: F.array_position(ids, d)))
+def _within(rows: DataFrame) -> DataFrame:
+    """Plans that lie in one row each, with the waves of their steps (__waves) and the steps with their evidence (__told)."""
+    ids = F.transform("steps", lambda x: x["step"])
+    waits = F.transform("steps", lambda x: F.transform(F.coalesce(x["depends_on"], F.filter(ids, lambda _: F.lit(False))), lambda d: F.array_position(ids, d)))
 
-    def round_(found: Column, _: Column) -> Column:
+    def freed(found: Column, on: Column) -> Column:
         wave = lambda j: F.get(found, j - 1)
-        freed = lambda p: F.when(F.coalesce(F.forall(p, lambda j: (j > 0) & wave(j).isNotNull()), F.lit(False)), 1 + F.coalesce(F.array_max(F.transform(p, wave)), F.lit(0)))
-        return F.transform(waits, lambda p, i: F.coalesce(F.get(found, i), freed(p)))
+        return F.when(F.coalesce(F.forall(on, lambda j: (j > 0) & wave(j).isNotNull()), F.lit(False)), 1 + F.coalesce(F.array_max(F.transform(on, wave)), F.lit(0)))
 
-    none = F.transform(steps, lambda x: F.lit(None).cast("int"))
-    placed = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1))), none, round_)
+    # In the order of steps most find their wave at once; rounds are for those that wait for later ones.
+    once = F.aggregate("__waits", F.array().cast("array<int>"), lambda found, on: F.concat(found, F.array(freed(found, on))))
+    round_ = lambda found, _: F.transform("__waits", lambda on, i: F.coalesce(F.get(found, i), freed(found, on)))
+    waves = F.when(F.exists("__once", lambda w: w.isNull()), F.aggregate("__waits", F.col("__once"), round_)).otherwise(F.col("__once"))
 
-    def told(x: Column, i: Column) -> Column:
+    has = lambda name, value: F.coalesce(F.array_contains(name, value), F.lit(False))
+
+    def read(x: Column, i: Column) -> Column:
         kind, ref = _kind_and_ref(x["target"])
-        has = lambda name, value: F.coalesce(F.array_contains(name, value), F.lit(False))
         state = F.array_min(F.transform(F.filter("additions", lambda a: a["path"] == x["file_path"]), lambda a: a["state"]))
-        evidence, by_hand = _evidence(x["operation"], kind, x["file_path"], has("manual", x["step"]), has("files", x["file_path"]), has("symbols", x["target"]), has("verified", ref), state)
-        return F.struct(x["step"].alias("step"), x["position"].alias("position"), x["operation"].alias("operation"), x["depends_on"].alias("depends_on"), evidence.alias("evidence"), state.alias("state"), (has("manual", x["step"]) & ~by_hand).alias("refused"), F.get("__waves", i).alias("wave"))
+        return F.struct(x.alias("s"), kind.alias("kind"), has("verified", ref).alias("verified"), state.alias("state"), has("manual", x["step"]).alias("manual"), F.get("__waves", i).alias("wave"))
+
+    def told(y: Column) -> Column:
+        x = y["s"]
+        evidence, by_hand = _evidence(x["operation"], y["kind"], x["file_path"], y["manual"], has("files", x["file_path"]), has("symbols", x["target"]), y["verified"], y["state"])
+        kept = [x[c].alias(c) for c in ("step", "position", "operation", "depends_on")]
+        return F.struct(*kept, evidence.alias("evidence"), y["state"].alias("state"), (y["manual"] & ~by_hand).alias("refused"), y["wave"].alias("wave"))
 
-    return placed, F.transform(steps, told)
+    rows = rows.withColumn("steps", F.array_sort("steps"))
+    for name, value in (("__waits", waits), ("__once", once), ("__waves", waves), ("__told", F.transform(F.transform("steps", read), told))):
+        rows = rows.withColumn(name, F.when(F.col("__small"), value))
+    return rows
 
 
 def gathered(steps: DataFrame, manual: DataFrame, files: DataFrame, symbols: DataFrame, verified: DataFrame, additions: DataFrame) -> DataFrame:
@@ -144,9 +154,8 @@ def progress_of(plans: DataFrame, held_by: DataFrame, errors: DataFrame, tests:
     codes = codes.unionByName(plans.select("plan", F.lit(None).cast("string").alias("code"), F.lit(True).alias("known"))).groupBy("plan").agg(F.collect_set("code").alias("codes"), F.max("known").alias("known"))
     every = held_by.join(codes, "plan", "full_outer")  # the only join: rows of plans move once
     small = F.coalesce(F.size("steps") <= LARGE, F.lit(False))
-    placed, told = _within()
     done = F.transform(F.filter("__told", lambda x: x["evidence"].isNotNull()), lambda x: x["step"])
-    every = every.withColumn("__small", small).withColumn("__waves", F.when(F.col("__small"), placed)).withColumn("__told", F.when(F.col("__small"), told))
+    every = _within(every.withColumn("__small", small))
     every = every.withColumn("__done", done).withColumn("blockers", F.array_sort(F.array_distinct(F.concat(F.coalesce("codes", F.array().cast("array<string>")), F.when(F.exists("__waves", lambda w: w.isNull()), F.array(F.lit(CYCLE))).otherwise(F.array().cast("array<string>"))))))
     waits = lambda x: F.coalesce(F.exists(x["depends_on"], lambda d: ~F.coalesce(F.array_contains("__done", d), F.lit(False))), F.lit(False))
     out = lambda x: F.struct(x["step"].alias("step"), x["position"].alias("position"), _status(x["evidence"], x["operation"], x["state"], F.size("blockers") > 0, waits(x)).alias("status"), x["evidence"].alias("evidence"), x["wave"].alias("wave"), x["refused"].alias("refused"))
